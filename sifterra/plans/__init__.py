@@ -1 +1,6 @@
+"""Queries of the library's own operators over the driver's tables, with SQL oracles."""
 
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict[str, str] = {}
