@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifterra.llm import chat, jaccard, media, mixing, packing, quality, token_counts, toxicity
+from sifterra.llm import chat, jaccard, media, mixing, packing, pii, quality, token_counts, toxicity
 
 #: The conversation that the contract of op8 adds: control strings inside texts.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
@@ -62,6 +62,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.surrogate_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_jaccard": op7_jaccard,
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
