@@ -12,6 +12,8 @@ collision check over the distinct entities of the table confirms distinctness.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +48,7 @@ FIRST_NAMES = {
 TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof)\. "
 PATTERNS = {
     "secret": r"\b(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|[Aa]pi[_-]?[Kk]ey)\b\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_.\-]{8,}",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_%+\-][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1[ .\-(])\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
@@ -54,7 +56,16 @@ PATTERNS = {
     "card": r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\d])",
     "person": r"(?<!\p{L})(?:" + TITLE + r")?(?:" + "|".join(n for names in FIRST_NAMES.values() for n in names) + r")(?: \p{Lu}\.)? [\p{Lu}\p{Lo}][\p{L}'’\-]+|(?<!\p{L})" + TITLE + r"\p{Lu}[\p{L}'’\-]+",
 }
-DETECT = "|".join(PATTERNS.values())
+#: One expression for all, ordered so that within a word nothing is tried: entities that
+#: start with a letter start a word, the others with a digit, '+' or '('.
+DETECT = (
+    r"(?<![\p{L}\p{N}._%+\-])(?=[\p{L}\p{N}_])(?:(?=[AaPpSsTt])" + PATTERNS["secret"] + "|" + PATTERNS["email"].split(")", 1)[1]
+    + r"|(?=[\p{Lu}\p{Lo}])(?:" + PATTERNS["iban"] + "|" + PATTERNS["person"] + "))"
+    + r"|(?=[\d+(])(?:" + "|".join(PATTERNS[k] for k in ("ssn", "phone", "ip", "card")) + ")"
+)
+#: A cheap look at the whole text: where this finds nothing, DETECT would find nothing.
+_NAMES = [n for names in FIRST_NAMES.values() for n in names]
+QUICK = r"@|\d[\d .()\-]{4}|[\"'][\w+/.\-]{8}|[" + "".join(sorted({n[0] for n in _NAMES} | set("MDP"))) + "](?:" + "|".join([n[1:] for n in _NAMES] + [r"rs?\. ", r"s\. ", r"rof\. "]) + ")"
 #: Tried until a surrogate obeys its rule; a miss has a probability below 1e-12.
 WALK = 30
 DEFAULT_KEY = "sifterra-surrogates"
@@ -76,25 +87,26 @@ def _let(value: str, body) -> str:
 _ALPHABETS = "array(" + ", ".join(map(_quoted, CLASSES)) + ")"
 
 
-def permuted(value: str, key: str, tweak: str, rounds: int = 6) -> str:
+def permuted(value: str, alphabets: str, salt: str, rounds: int = 6) -> str:
     """SQL of the Feistel permutation of a string: in each round the characters of one
     parity move within their class by amounts that depend on those of the other parity."""
     n = next(_serial)
     st, r, c, i, a, d = (f"{x}{n}" for x in ("st", "r", "c", "i", "a", "d"))
-    digest = f"sha2(concat_ws('|', {_quoted(key)}, {_quoted(tweak)}, cast({r} as string), cast(size({st}) as string), array_join(filter({st}, ({c}, {i}) -> {i} % 2 <> {r} % 2), '')), 256)"
+    digest = f"sha2(concat_ws('|', {salt}, cast({r} as string), cast(size({st}) as string), array_join(filter({st}, ({c}, {i}) -> {i} % 2 <> {r} % 2), '')), 256)"
     move = f"cast(conv(substr({d}, pmod({i} * 4, 60) + 1, 4), 16, 10) as bigint) + {i}"
-    moved = f"coalesce(try_element_at(transform(filter({_ALPHABETS}, {a} -> instr({a}, {c}) > 0), {a} -> substr({a}, cast(pmod(instr({a}, {c}) - 1 + {move}, length({a})) as int) + 1, 1)), 1), {c})"
+    moved = f"coalesce(try_element_at(transform(filter({alphabets}, {a} -> instr({a}, {c}) > 0), {a} -> substr({a}, cast(pmod(instr({a}, {c}) - 1 + {move}, length({a})) as int) + 1, 1)), 1), {c})"
     one = f"transform(array({digest}), {d} -> transform({st}, ({c}, {i}) -> if({i} % 2 = {r} % 2, {moved}, {c})))[0]"
     return f"array_join(aggregate(sequence(0, {rounds - 1}), regexp_extract_all({value}, '(?s).', 0), ({st}, {r}) -> {one}), '')"
 
 
-def _walked(value: str, rule, key: str, tweak: str) -> str:
-    """SQL: the permutation, applied again until the rule holds as it does for the value."""
+def _walked(value: str, alphabets: str, salt: str, rule) -> str:
+    """SQL: the permutation, and again until the rule holds as it does for the value."""
     n = next(_serial)
     x, k = f"x{n}", f"k{n}"
-    start = f"named_struct('v', {permuted(value, key, tweak)}, 'want', {rule(value)})"
-    again = f"if({rule(f'{x}.v')} = {x}.want, {x}, named_struct('v', {permuted(f'{x}.v', key, tweak)}, 'want', {x}.want))"
-    return f"aggregate(sequence(1, {WALK}), {start}, ({x}, {k}) -> {again}).v"
+    start = f"named_struct('v', {value}, 'want', {rule(value)}, 'open', true)"
+    moved = permuted(f"{x}.v", alphabets, salt)
+    step = _let(moved, lambda v: f"named_struct('v', {v}, 'want', {x}.want, 'open', {rule(v)} <> {x}.want)")
+    return f"aggregate(sequence(1, {WALK}), {start}, ({x}, {k}) -> if({x}.open, {step}, {x})).v"
 
 
 def _luhn(digits: str) -> str:
@@ -109,11 +121,6 @@ def _area(digits: str) -> str:
     return f"({digits} rlike '^[2-9][0-9]{{2}}[2-9]')"
 
 
-def _octets(digits: str) -> str:
-    """Twelve digits that are four numbers up to 255."""
-    return f"({digits} rlike '^(([01][0-9]{{2}}|2[0-4][0-9]|25[0-5])){{4}}$')"
-
-
 def _refilled(value: str, digits: str) -> str:
     """SQL: ``value`` with its digits replaced in order by ``digits`` (as many)."""
     n = next(_serial)
@@ -122,74 +129,73 @@ def _refilled(value: str, digits: str) -> str:
     return f"aggregate(regexp_extract_all({value}, '(?s).', 0), named_struct('o', '', 'd', {digits}), ({acc}, {c}) -> {step}).o"
 
 
-def _only_digits(value: str) -> str:
-    return f"regexp_replace({value}, '[^0-9]', '')"
-
-
 def kind_sql(m: str) -> str:
     """SQL of the type of a detected entity, the first pattern that matches all of it."""
     inner = {k: p.replace(r"(?<![\d.])", "").replace(r"(?<!\p{L})", "") for k, p in PATTERNS.items()}
     return "case " + " ".join(f"when {m} rlike {_quoted('^(?:' + p + ')$')} then '{k}'" for k, p in inner.items()) + " else 'card' end"
 
 
+def _first_name(word: str, key: str) -> str:
+    """SQL: a first name of the same gender and script, or null for other words."""
+    cases = []
+    for group, names in FIRST_NAMES.items():
+        table = "array(" + ", ".join(map(_quoted, names)) + ")"
+        turn = 1 + int(hashlib.sha256(f"{key}|{group}".encode()).hexdigest()[:8], 16) % (len(names) - 1)
+        cases.append(f"when array_contains({table}, {word}) then {table}[cast((array_position({table}, {word}) - 1 + {turn}) % {len(names)} as int)]")
+    return "case " + " ".join(cases) + " end"
+
+
 def surrogate_sql(m: str, key: str = DEFAULT_KEY) -> str:
-    """SQL of the surrogate of a detected entity ``m`` (a lambda variable or column)."""
-
-    def person(v: str) -> str:
-        cases = []
-        for group, names in FIRST_NAMES.items():
-            table = "array(" + ", ".join(map(_quoted, names)) + ")"
-            turn = f"1 + pmod(cast(conv(substr(sha2({_quoted(key + '|' + group)}, 256), 1, 8), 16, 10) as bigint), {len(names) - 1})"
-            cases.append(f"when array_contains({table}, W) then {table}[cast(pmod(array_position({table}, W) - 1 + {turn}, {len(names)}) as int)]")
-        n = next(_serial)
-        w, i = f"w{n}", f"i{n}"
-        named = " ".join(c.replace(", W)", f", {w})") for c in cases)
-        title = f"{w} rlike '^(Mr|Mrs|Ms|Dr|Prof)[.]$'"
-        word = f"case when {title} then {w} {named} else {permuted(w, key, 'name')} end"
-        return f"array_join(transform(split({v}, ' '), ({w}, {i}) -> {word}), ' ')"
-
-    digits = _only_digits(m)
-    email = f"concat({permuted(f'substring_index({m}, {chr(39)}@{chr(39)}, 1)', key, 'local')}, '@', {permuted(f'regexp_replace(substring_index({m}, {chr(39)}@{chr(39)}, -1), {chr(39)}[.][^.]+${chr(39)}, {chr(39)}{chr(39)})', key, 'domain')}, regexp_extract({m}, '[.][^.]+$', 0))"
-    nanp = f"({m} rlike '^[+]1[^0-9]?[(]?[0-9]{{3}}')"
-    phone_nanp = _let(digits, lambda d: _refilled(m, f"concat('1', {_walked(f'substr({d}, 2)', _area, key, 'phone')})"))
-    country = "'^[+][0-9]{1,3}(?=[ .(-])'"
-    phone_int = f"concat(regexp_extract({m}, {country}, 0), {permuted(f'regexp_replace({m}, {country}, {chr(39)}{chr(39)})', key, 'phone')})"
-    phone = f"case when {nanp} then {phone_nanp} when {m} like '+%' then {phone_int} else {_refilled(m, _walked(digits, _area, key, 'phone'))} end"
-    n = next(_serial)
-    o, p = f"o{n}", f"p{n}"
-    twelve = f"array_join(transform(split({m}, '[.]'), {o} -> lpad({o}, 3, '0')), '')"
-    # an octet mapped as a number: 32 bits walk on twelve digits until all are octets
-    ip = _let(_walked(twelve, _octets, key, "ip"), lambda v: f"array_join(transform(sequence(0, 3), {p} -> cast(cast(substr({v}, 3 * {p} + 1, 3) as int) as string)), '.')")
-    secret_head = "'^.*?[=:]\\\\s{0,3}[\"\\']'"
-    secret_tail = f"regexp_replace({m}, {secret_head}, '')"
-    hexed = f"({secret_tail} rlike '^[0-9a-f]+$')"
-    to_hex = _hex_permuted(secret_tail, key)
-    secret = f"concat(regexp_extract({m}, {secret_head}, 0), if({hexed}, {to_hex}, {_walked(secret_tail, lambda v: f'({v} rlike {chr(39)}^[0-9a-f]+${chr(39)})', key, 'secret')}))"
-    card = _refilled(m, _walked(digits, _luhn, key, "card"))
-    ssn = _refilled(m, permuted(digits, key, "ssn"))
-    iban = f"concat(substr({m}, 1, 2), {permuted(f'substr({m}, 3)', key, 'iban')})"
-    each = {"secret": secret, "email": email, "iban": iban, "ssn": ssn, "phone": phone, "ip": ip, "card": card, "person": person(m)}
-    return _let(kind_sql(m), lambda k: f"case {k} " + " ".join(f"when '{name}' then {sql}" for name, sql in each.items()) + " end")
-
-
-def _hex_permuted(value: str, key: str) -> str:
-    """SQL: a permutation of lower-case hexadecimal strings of one length."""
+    """SQL of struct(kind, surrogate) of a detected entity ``m`` (a lambda variable or column).
+
+    Each kind says which part stays in front, which part is permuted in which classes,
+    which rule the permuted part obeys, and whether it fills the digits of the entity.
+    """
+    digits = f"regexp_replace({m}, '[^0-9]', '')"
+    secret_head = _quoted(r"""^[^=:]*[=:]\s{0,3}["']""")
+    country = _quoted(r"^[+](?:1(?=[^0-9]?[(]?[0-9]{3}[^0-9]?[0-9]{3}[^0-9]?[0-9]{4}$)|[0-9]{1,3}(?=[ .(-])|)")
+    last = _quoted(r"[^ ]+$")
     n = next(_serial)
-    st, r, c, i, d = (f"{x}{n}" for x in ("st", "r", "c", "i", "d"))
-    digest = f"sha2(concat_ws('|', {_quoted(key)}, 'hex', cast({r} as string), array_join(filter({st}, ({c}, {i}) -> {i} % 2 <> {r} % 2), '')), 256)"
-    moved = f"substr('0123456789abcdef', cast((instr('0123456789abcdef', {c}) - 1 + instr('0123456789abcdef', substr({d}, pmod({i}, 64) + 1, 1)) - 1) % 16 as int) + 1, 1)"
-    one = f"transform(array({digest}), {d} -> transform({st}, ({c}, {i}) -> if({i} % 2 = {r} % 2, {moved}, {c})))[0]"
-    return f"array_join(aggregate(sequence(0, 5), regexp_extract_all({value}, '(?s).', 0), ({st}, {r}) -> {one}), '')"
+    w = f"w{n}"
+    fronts = f"transform(split(regexp_replace({m}, {last}, ''), ' '), {w} -> coalesce({_first_name(w, key)}, {w}))"
+
+    def parts(k: str) -> str:
+        front = f"case {k} when 'secret' then regexp_extract({m}, {secret_head}, 0) when 'iban' then substr({m}, 1, 2) when 'phone' then regexp_extract({m}, {country}, 0) when 'person' then array_join({fronts}, ' ') else '' end"
+        core = (
+            f"case {k} when 'secret' then regexp_replace({m}, {secret_head}, '') when 'iban' then substr({m}, 3) when 'phone' then regexp_replace(regexp_replace({m}, {country}, ''), '[^0-9]', '')"
+            f" when 'person' then regexp_extract({m}, {last}, 0) when 'email' then regexp_replace({m}, '[.][^.]+$', '') when 'ip' then array_join(transform(split({m}, '[.]'), {w}x -> lower(lpad(hex(cast({w}x as bigint)), 2, '0'))), '') else {digits} end"
+        )
+        rest = f"case {k} when 'phone' then regexp_replace({m}, {country}, '') when 'email' then regexp_extract({m}, '[.][^.]+$', 0) else {m} end"
+        return f"named_struct('kind', {k}, 'front', {front}, 'core', {core}, 'rest', {rest})"
+
+    def moved(e: str) -> str:
+        def rule(v: str) -> str:
+            return f"case {e}.kind when 'card' then {_luhn(v)} when 'phone' then {_area(v)} when 'secret' then {v} rlike '^[0-9a-f]+$' else true end"
+
+        hexed = f"({e}.kind = 'ip' or {e}.kind = 'secret' and {e}.core rlike '^[0-9a-f]+$')"
+        alphabets = f"if({hexed}, array('0123456789abcdef'), {_ALPHABETS})"
+        return _walked(f"{e}.core", alphabets, f"concat({_quoted(key + '|')}, {e}.kind)", rule)
+
+    def written(e: str) -> str:
+        def use(v: str) -> str:
+            octet = f"o{next(_serial)}"
+            ip = f"array_join(transform(sequence(0, 3), {octet} -> conv(substr({v}, 2 * {octet} + 1, 2), 16, 10)), '.')"
+            out = f"case when {e}.kind in ('secret', 'iban', 'person') then concat({e}.front, {v}) when {e}.kind = 'email' then concat({v}, {e}.rest) when {e}.kind = 'ip' then {ip} else concat({e}.front, {_refilled(f'{e}.rest', v)}) end"
+            return f"named_struct('kind', {e}.kind, 'surrogate', {out})"
+
+        return _let(moved(e), use)
+
+    return _let(_let(kind_sql(m), parts), written)
 
 
 def _found(text: str) -> str:
-    return f"regexp_extract_all({text}, {_quoted(DETECT)}, 0)"
+    return f"if({text} rlike {_quoted(QUICK)}, regexp_extract_all({text}, {_quoted(DETECT)}, 0), array())"
 
 
 def entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
-    """(value, kind, surrogate, n) for each distinct entity of the table."""
+    """(value, n, kind, surrogate) for each distinct entity of the table."""
     each = docs.select(F.explode(F.expr(_found("text"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    return each.select("value", F.expr(kind_sql("value")).alias("kind"), F.expr(surrogate_sql("value", key)).alias("surrogate"), "n")
+    return each.withColumn("made", F.expr(surrogate_sql("value", key))).select("value", "n", "made.*")
 
 
 def collisions(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
@@ -198,37 +204,38 @@ def collisions(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     return by.where("n_values > 1")
 
 
+def _replaced(docs: DataFrame, key: str, check: bool) -> DataFrame:
+    """``docs`` with __pii: the replaced text and the kinds found in it."""
+    if check and (bad := collisions(docs.select("text"), key).limit(1).collect()):
+        raise ValueError(f"two values of kind {bad[0]['kind']} share a surrogate: take another key")
+
+    def whole(made: str) -> str:
+        text = f"if(size({made}) = 0, text, array_join(zip_with(split(text, {_quoted(DETECT)}, -1), {made}, (p, e) -> concat(p, coalesce(e.surrogate, ''))), ''))"
+        return f"named_struct('text', {text}, 'kinds', transform({made}, e -> e.kind))"
+
+    made = f"transform({_found("coalesce(text, '')")}, m -> {surrogate_sql('m', key)})"
+    return docs.withColumn("__pii", F.expr(_let(made, whole)))
+
+
 def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY, check: bool = True) -> DataFrame:
     """``docs``, all columns, with the entities in ``text`` replaced by surrogates.
 
     Rows are independent: nothing is joined, and a table of any size is one pass (two
     with ``check``, which raises ValueError if two values of the table share a surrogate).
     Null texts stay null, empty and clean ones unchanged; repeated rows give repeated
-    results; only ``text`` is read, whatever the other columns are called.
+    results; only ``text`` is read, whatever the other columns are called (``__pii``
+    excepted).  An empty table gives an empty one.
     """
-    if check and (bad := collisions(docs.select("text"), key).limit(1).collect()):
-        raise ValueError(f"two values of kind {bad[0]['kind']} share a surrogate: take another key")
-    return docs.withColumn("text", F.expr(replaced_sql("text", key)))
-
-
-def replaced_sql(text: str, key: str = DEFAULT_KEY) -> str:
-    """SQL of a text with surrogates."""
-    n = next(_serial)
-    p, m = f"p{n}", f"m{n}"
-    whole = lambda found: f"if(size({found}) = 0, {text}, array_join(zip_with(split({text}, {_quoted(DETECT)}, -1), {found}, ({p}, {m}) -> concat({p}, if({m} is null, '', {surrogate_sql(m, key)}))), ''))"
-    return _let(_found(text), whole)
+    made = _replaced(docs, key, check)
+    return made.select(*[F.col("__pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
 def surrogate_report(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(doc_id, n_entities, kinds, text): each document with its replaced text.
 
     ``kinds`` are the types in the order of the text, separated by commas.  A null text
-    counts as empty for n_entities (0) and kinds ('') and stays null; see ``replace_pii``.
+    has no entities (0 and '') and stays null; see ``replace_pii``.
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = _found("coalesce(text, '')")
-    n = next(_serial)
-    kinds = f"array_join(transform({found}, k{n} -> {kind_sql(f'k{n}')}), ',')"
-    if bad := collisions(base.select("text"), key).limit(1).collect():
-        raise ValueError(f"two values of kind {bad[0]['kind']} share a surrogate: take another key")
-    return base.select("doc_id", F.expr(f"size({found})").alias("n_entities"), F.expr(kinds).alias("kinds"), F.expr(replaced_sql("text", key)).alias("text"))
+    made = _replaced(base, key, True)
+    return made.select("doc_id", F.size("__pii.kinds").alias("n_entities"), F.array_join("__pii.kinds", ",").alias("kinds"), "__pii.text")
