@@ -33,8 +33,9 @@ MIN_TEXTS, DECAY = 3, 3e-6
 #: Clean texts that one clean text of the balanced sample stands for when the offset is placed.
 CLEAN_WEIGHT = 5
 #: Bounds of the training sample: labelled rows of each class, and bytes of one text.
-MAX_ROWS_PER_CLASS = 1500
-MAX_TEXT_BYTES = 40_000
+MAX_ROWS_PER_CLASS = 1200
+MAX_TEXT_BYTES = 16_000
+TRAIN_BLOCK = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -124,27 +125,35 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
         check, y_check = [t for t, a in zip(texts, aside, strict=True) if a], y[aside]
         texts, y = [t for t, a in zip(texts, aside, strict=True) if not a], y[~aside]
     raw, at = text_bytes(pa.array(texts, pa.string()))
-    rows, cols, docs, base = [], [], [], 0
-    for lo, hi in blocks(at):
+    cols, counts, docs = [], [], []
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for lo, hi in blocks(at, TRAIN_BLOCK):
         low, starts = _padded(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
         begin, doc = _windows(low, starts)
+        if not len(begin):
+            continue
+        col, row = [], []
         for bucket, ok in _grams(low):
             p = np.flatnonzero(ok)
-            rows.append((np.searchsorted(begin, p, "right") - 1 + base).astype(np.int32))
-            cols.append(bucket[p])
+            row.append((np.searchsorted(begin, p, "right") - 1).astype(np.int32))
+            col.append(bucket[p])
+        row, col = np.concatenate(row), np.concatenate(col)
+        order = np.argsort(row, kind="stable")
+        cols.append(col[order])
+        counts.append(np.bincount(row, minlength=len(begin)))
         docs.append(doc + lo)
-        base += len(begin)
-    row, col, doc = np.concatenate(rows), np.concatenate(cols), np.concatenate(docs)
-    del rows, cols
-    size = np.maximum(1, np.bincount(row, minlength=base)).astype(np.float32)
-    order = np.argsort(row, kind="stable")
-    col, ends = col[order], np.concatenate([[0], np.cumsum(np.bincount(row, minlength=base))]).astype(np.int64)
-    del row, order
+        both = np.unique(doc[row] * BUCKETS + col)
+        texts_with += np.bincount(both % BUCKETS, minlength=BUCKETS).astype(np.int32)
+    if not cols:
+        return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0)
+    col, doc, size = np.concatenate(cols), np.concatenate(docs), np.concatenate(counts)
+    del cols, counts, docs, raw
+    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+    size = np.maximum(1, size).astype(np.float32)
     some, first = np.unique(doc, return_index=True)
     last = np.append(first[1:], len(doc))
     y = y[some]
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
-    texts_with = np.bincount(np.unique(np.repeat(doc, np.diff(ends)) * BUCKETS + col) % BUCKETS, minlength=BUCKETS)
     common = texts_with >= MIN_TEXTS  # others would only learn single texts by heart
     emb = (rng.normal(0, 0.02, (BUCKETS, DIM)) * common[:, None]).astype(np.float32)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
