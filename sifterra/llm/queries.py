@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifterra.llm import chat, jaccard, media, mixing, packing, pii, quality, token_counts, toxicity
+from sifterra.llm import chat, hnsw, jaccard, media, mixing, packing, pii, quality, token_counts, toxicity
 
 #: The conversation that the contract of op8 adds: control strings inside texts.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
@@ -38,6 +38,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokenize_pieces(_table(spark, sf_dir, "documents"), *tokenizer_paths()))
 
 
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_quality": op2_quality,
     "op3_packing": op3_packing,
+    "op4_embeddings": op4_embeddings,
     "op5_mixing": op5_mixing,
     "op6_media": op6_media,
     "op7_jaccard": op7_jaccard,
