@@ -369,18 +369,50 @@ def shingle_arrays(docs: DataFrame) -> DataFrame:
 MAX_BROADCAST_IDS = 500_000
 
 
-def _sets_of(spark: SparkSession, docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Shingle arrays of the sets in ``wanted`` (set_key), each once, read again from one
-    document of each (or, where ids are null, from those rows)."""
+def _sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Shingle arrays that hold those of the sets in ``wanted`` (set_key), read again from
+    one document of each (or, where ids are null, from those rows); others may be among
+    them, and where ids are repeated a set may come twice."""
     hits = rows.join(wanted, rows["c"] == wanted["set_key"], "left_semi")
     one = hits.groupBy("c").agg(F.min("a").alias("doc_id"))
-    ids = one.where("doc_id is not null").select("doc_id").distinct()
+    ids = materialize(one.select("doc_id").distinct(), "ids")
     n = ids.count()
     found = docs.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
-    if one.where("doc_id is null").limit(1).count():
+    if ids.where("doc_id is null").limit(1).count():
         found = found.unionAll(docs.where("doc_id is null"))
-    arrays = shingle_arrays(found)
-    return arrays.join(wanted, "set_key", "left_semi").dropDuplicates(["set_key"])
+    return shingle_arrays(found)
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, block, set_key, shingles) sorted so that the pivot's own set comes first
+    in its block: intersection of each of the others with it."""
+    place, pivot = None, None
+    for batch in batches:
+        a, b, na, nb, inter = [], [], [], [], []
+        for p, k, m, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), strict=True):
+            own = s.values.to_numpy().view(np.uint64)
+            if (p, k) != place:
+                place, pivot = (p, k), own
+            if m != p:
+                spot = np.minimum(np.searchsorted(pivot, own), len(pivot) - 1)
+                a.append(p)
+                b.append(m)
+                na.append(len(pivot))
+                nb.append(len(own))
+                inter.append(int((pivot[spot] == own).sum()))
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, na, nb, inter)], ["a", "b", "na", "nb", "i"])
+
+
+def _checked(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, na, nb, i) of each pair: sizes and intersection.  The sets of the second ends go
+    to the first end's task; a first end of many pairs is split in blocks."""
+    split = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / GROUP_BLOCK).alias("k"))
+    blocked = pairs.join(split, "a").select(F.col("a").alias("pivot"), F.pmod(F.xxhash64("b"), F.col("k")).alias("block"), F.col("b").alias("set_key"))
+    own = blocked.select("pivot", "block").distinct().withColumn("set_key", F.col("pivot"))
+    members = blocked.unionAll(own)
+    rows = members.join(sets.select("set_key", "shingles"), "set_key").withColumn("__other", F.col("pivot") != F.col("set_key"))
+    rows = rows.repartition(partitions(spark), "pivot", "block").sortWithinPartitions("pivot", "block", "__other")
+    return rows.select("pivot", "block", "set_key", "shingles").mapInArrow(_compare, "a long, b long, na long, nb long, i long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -403,16 +435,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     rows = made.where(F.col("kind") == _DOC).select("a", "b", "c")
     pairs = made.where(F.col("kind") == _PAIR).select("a", "b").distinct()
     members = made.where(F.col("kind") == _MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_key"))
-    pairs = materialize(pairs, "pairs")
+    sizes = rows.where("c <> 0").groupBy("c").agg(F.max("b").alias("n"))
+    near = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
+    pairs = materialize(near.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
-    sets = materialize(_sets_of(spark, docs, rows, wanted), "sets")
-    x = sets.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
-    compared = pairs.join(x, "a").join(y.where("nb > 0"), "b").where("4 * least(na, nb) * 5 >= 16 * greatest(na, nb)")
-    checked = materialize(compared.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("i")), "checked")
+    checked = materialize(_checked(spark, pairs, _sets_of(docs, rows, wanted)), "checked")
     links = checked.where(_linked(F.col("i"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if members.limit(1).count():
-        links = links.unionAll(_large_groups(members, checked, links, sets))
+        links = links.unionAll(_large_groups(docs, rows, members, checked, links))
     comp = connected_components(links)
     key_of = rows.select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
     # each set's smallest id, then each component's
@@ -422,11 +452,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     of_set = of_set.join(lows, "comp").select("key", "component_id")
     out = key_of.join(of_set, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
     discard(pairs)
-    discard(sets)
     return out
 
 
-def _large_groups(members: DataFrame, checked: DataFrame, links: DataFrame, sets: DataFrame) -> DataFrame:
+def _large_groups(docs: DataFrame, docs_sets: DataFrame, members: DataFrame, checked: DataFrame, links: DataFrame) -> DataFrame:
     """Links of the large groups that the stars have not found.
 
     Groups within one component are done.  In others, a set whose link to the star's
@@ -451,6 +480,8 @@ def _large_groups(members: DataFrame, checked: DataFrame, links: DataFrame, sets
     # a set goes to each pair of blocks that has its own
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key")
+    rows = materialize(rows, "tasks")
+    sets = _sets_of(docs, docs_sets, rows.select("set_key").distinct())
     tasks = rows.join(sets.select("set_key", "shingles"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task").select("task", "set_key", "shingles")
     return tasks.mapInArrow(_within, "src long, dst long")
 
