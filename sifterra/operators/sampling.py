@@ -113,9 +113,10 @@ def shuffle_options(rows: DataFrame, options: str, answer_key: str, ident: str,
     keys = F.array_sort(F.map_keys(o))
     # values in the order of a hash of (seed, id, old key)
     dealt = F.transform(F.array_sort(F.transform(keys, lambda k: F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(ident).cast("string"), F.lit(":"), k)).alias("h"), o[k].alias("v")))), lambda x: x["v"])
-    right = o[F.col(answer_key)]
-    place = F.array_position(dealt, right)
-    return rows.withColumns({options: F.map_from_arrays(keys, dealt), answer_key: F.when(place > 0, F.try_element_at(keys, place.cast("int"))).otherwise(F.col(answer_key))})
+    dealt_rows = rows.withColumns({"__dealt": dealt, "__right": o[F.col(answer_key)], "__keys": keys})
+    place = F.array_position("__dealt", F.col("__right")).cast("int")
+    moved = F.when(place > 0, F.get("__keys", place - 1)).otherwise(F.col(answer_key))
+    return dealt_rows.withColumns({options: F.map_from_arrays("__keys", "__dealt"), answer_key: moved}).drop("__dealt", "__right", "__keys")
 
 
 def sample_per_source(rows: DataFrame, source: str, ident: str, k: int = 20, seed: int = 42) -> DataFrame:

@@ -1,6 +1,6 @@
 """Queries of the library's own operators over the driver's tables, with SQL oracles."""
 
-from __future__ import annotations
+from sifterra.plans import curation, evaluation, texts  # noqa: F401
+from sifterra.plans.registry import ORACLES, QUERIES
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
