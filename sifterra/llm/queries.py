@@ -83,4 +83,42 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_pii": op10_pii,
 }
 
-ORACLES: dict[str, str] = {}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+#: Components over ``links`` (i, j) with both directions, for all ids of ``nodes`` (id).
+_COMPONENTS = (
+    "both_ as (select i, j from links union select j, i from links), reach as (select i as node, i as r from both_ union select node, j from reach join both_ on i = r), "
+    "comp as (select node, least(node, min(r)) as c from reach group by node)"
+)
+
+ORACLES: dict[str, str] = {
+    "op4_embeddings": (
+        "with recursive v as (select vec_id as id, embedding::double[] as e from embeddings), u as (select id, e, sqrt(list_inner_product(e, e)) as n from v), "
+        "links as (select a.id as i, b.id as j from u a join u b on a.id < b.id and a.n > 0 and b.n > 0 and list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95), "
+        + _COMPONENTS
+        + ", n as (select i, count(*) as n from both_ group by i) select id as vec_id, coalesce(n.n, 0)::bigint as n_links, coalesce(c, id) as component_id, coalesce(c, id) = id as kept from v left join n on n.i = id left join comp on comp.node = id"
+    ),
+    "op5_mixing": (
+        "with s as (select source, count(*) as n from documents group by 1), k as (select count(*)::double as k, sum(n)::double as total from s), r as (select source, n, (1.0::double / k) * total / n as rate from s, k), "
+        "g as (select source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 20)::int + 1)) as x from r), f as (select source, rate, x, sum(case when x > 0 then ln(x::double) else 0.0 end) over (partition by source order by x) as lf from g), "
+        "c as (select source, rate, x, sum(exp(-rate + x * ln(rate) - lf)) over (partition by source order by x) as cdf, max(x) over (partition by source) as top from f), "
+        "d as (select *, (('0x' || substr(md5('mix|' || source || '|' || doc_id), 1, 13))::bigint)::double / 4503599627370496 as u from documents), "
+        "m as (select d.doc_id, least(count(*) filter (where cdf <= u), any_value(top)) as n, any_value(rate) as rate from d join c using (source) group by 1) "
+        "select documents.*, unnest(range(0, m.n))::int as copy, m.n::int as n_copies, m.rate as rate from documents join m using (doc_id) where m.n > 0"
+    ),
+    "op7_jaccard": (
+        f"with recursive w as (select doc_id, regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '[^ \\t\\n\\x0B\\f\\r]+') as w from documents), "
+        "s as (select doc_id, list_distinct(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w), "
+        "n as (select doc_id, len(s) as n from s), t as (select doc_id, unnest(s) as t from s), x as (select a.doc_id as i, b.doc_id as j, count(*) as c from t a join t b on a.t = b.t and a.doc_id < b.doc_id group by 1, 2), "
+        "links as (select i, j from x join n a on a.doc_id = i join n b on b.doc_id = j where 100 * c >= 80 * (a.n + b.n - c)), "
+        + _COMPONENTS
+        + " select doc_id, n::bigint as n_shingles, coalesce(c, doc_id) as component_id from n left join comp on node = doc_id"
+    ),
+    "op8_chat": (
+        f"with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all select -1, 0, 'user', '{CONFLICT}' union all select -1, 1, 'assistant', '{CONFLICT}'), "
+        "x as (select *, text like '%<|im_start|>%' or text like '%<|im_end|>%' or text like '%<|esc|>%' as esc from c) "
+        "select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256, "
+        "coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, "
+        "sum(24 + length(role) + length(text) + case when esc then 7 + length(text) - length(replace(text, '\\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2 else 0 end)::bigint as formatted_chars from x group by conv_id"
+    ),
+}
