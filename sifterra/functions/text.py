@@ -12,6 +12,7 @@ from collections.abc import Callable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Code point ranges and characters.
 URDU06 = "\\u0600-\\u06FF"
@@ -74,12 +75,12 @@ def normalize_quotes(x: Column) -> Column:
     return F.when(odd, F.concat(F.lit('"'), plain)).otherwise(plain)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfc(x: pd.Series) -> pd.Series:
     return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
 
