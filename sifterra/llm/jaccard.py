@@ -133,6 +133,26 @@ def set_keys(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.where(n > 0, np.maximum(key, 1), 0).astype(np.uint64)
 
 
+def parity_sketch(s: np.ndarray) -> bytes:
+    """One bit for each of about 2 |s| hash buckets: the parity of its elements.
+
+    The number of bits in which the sketches of two sets differ is at most the number of
+    elements in which the sets do."""
+    width = 1 << max(6, (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Lower bound of the elements in which two sets differ; the longer sketch is folded."""
+    a, b = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _instances(size: int) -> list[int]:
     """Upper bounds u of the bands where a set of this size takes part."""
     u = 1 << (size - 1).bit_length()
@@ -223,7 +243,7 @@ def _emit(frequent, n_buckets: int, flush_at: int = 1 << 21):
                 key = set_keys(values, at)
                 doc = part.column(0)
                 salt = (_mix(key + np.arange(lo, lo + len(key)).astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-                yield _rows(len(key), kind=np.full(len(key), _DOC, np.int32), bucket=salt, a=doc, b=np.diff(at), c=key.view(np.int64))
+                yield _rows(len(key), kind=np.full(len(key), _DOC, np.int32), bucket=salt, a=doc, b=np.diff(at), c=key.view(np.int64), sigs=[parity_sketch(values[i:j]) for i, j in zip(at[:-1], at[1:])])
                 for i, k in enumerate(key.tolist()):
                     if k and k not in seen:
                         seen.add(k)
@@ -249,7 +269,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(mine):
             yield mine
         for s, k in zip(batch.column(5), batch.column(6), strict=True):
-            if s.is_valid:
+            if k.is_valid:
                 sigs.append(np.frombuffer(s.as_py(), np.uint64))
                 keys.append(np.frombuffer(k.as_py(), np.uint64))
     if not sigs:
@@ -369,13 +389,11 @@ def shingle_arrays(docs: DataFrame) -> DataFrame:
 MAX_BROADCAST_IDS = 500_000
 
 
-def _sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
+def _sets_of(docs: DataFrame, info: DataFrame, wanted: DataFrame) -> DataFrame:
     """Shingle arrays that hold those of the sets in ``wanted`` (set_key), read again from
     one document of each (or, where ids are null, from those rows); others may be among
     them, and where ids are repeated a set may come twice."""
-    hits = rows.join(wanted, rows["c"] == wanted["set_key"], "left_semi")
-    one = hits.groupBy("c").agg(F.min("a").alias("doc_id"))
-    ids = materialize(one.select("doc_id").distinct(), "ids")
+    ids = materialize(info.join(wanted, "set_key", "left_semi").select("doc_id").distinct(), "ids")
     n = ids.count()
     found = docs.join(F.broadcast(ids) if n <= MAX_BROADCAST_IDS else ids, "doc_id", "left_semi")
     if ids.where("doc_id is null").limit(1).count():
@@ -383,6 +401,15 @@ def _sets_of(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return shingle_arrays(found)
 
 
+def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, na, nb, sketch of a, sketch of b): at least how much the sets differ."""
+    for batch in batches:
+        na, nb = (batch.column(i).to_numpy() for i in (2, 3))
+        by_sketch = np.array([least_difference(x.as_py(), y.as_py()) for x, y in zip(batch.column(4), batch.column(5), strict=True)], np.int64)
+        differ = np.maximum(by_sketch, np.abs(na - nb)) if len(na) else by_sketch
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(differ)], ["a", "b", "na", "nb", "differ"])
+
+
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pivot, block, set_key, shingles) sorted so that the pivot's own set comes first
     in its block: intersection of each of the others with it."""
@@ -433,16 +460,21 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     emitted = docs.mapInArrow(_emit(frequent, buckets), _MADE)
     made = materialize(emitted.repartition(buckets, "bucket").mapInArrow(_collide, _MADE), "signatures")
     rows = made.where(F.col("kind") == _DOC).select("a", "b", "c")
-    pairs = made.where(F.col("kind") == _PAIR).select("a", "b").distinct()
+    pairs = materialize(made.where(F.col("kind") == _PAIR).select("a", "b").distinct(), "pairs")
     members = made.where(F.col("kind") == _MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_key"))
-    sizes = rows.where("c <> 0").groupBy("c").agg(F.max("b").alias("n"))
-    near = pairs.join(sizes.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = materialize(near.where("5 * least(na, nb) >= 4 * greatest(na, nb)").select("a", "b"), "pairs")
     wanted = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
-    checked = materialize(_checked(spark, pairs, _sets_of(docs, rows, wanted)), "checked")
+    info = made.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_key"), F.col("sigs").alias("sketch")).join(wanted, "set_key", "left_semi")
+    info = materialize(info.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "info")
+    x = info.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
+    y = info.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ka", "kb")
+    bounded = materialize(both.mapInArrow(_bounded, "a long, b long, na long, nb long, differ long"), "bounded")
+    near = bounded.where("9 * differ <= na + nb").select("a", "b")
+    wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
+    checked = materialize(_checked(spark, near, _sets_of(docs, info, wanted)), "checked")
     links = checked.where(_linked(F.col("i"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
     if members.limit(1).count():
-        links = links.unionAll(_large_groups(docs, rows, members, checked, links))
+        links = links.unionAll(_large_groups(docs, info, members, bounded, checked, links))
     comp = connected_components(links)
     key_of = rows.select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
     # each set's smallest id, then each component's
@@ -455,7 +487,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _large_groups(docs: DataFrame, docs_sets: DataFrame, members: DataFrame, checked: DataFrame, links: DataFrame) -> DataFrame:
+def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, bounded: DataFrame, checked: DataFrame, links: DataFrame) -> DataFrame:
     """Links of the large groups that the stars have not found.
 
     Groups within one component are done.  In others, a set whose link to the star's
@@ -465,8 +497,11 @@ def _large_groups(docs: DataFrame, docs_sets: DataFrame, members: DataFrame, che
     comp = connected_components(links)
     named = members.join(comp, members["set_key"] == comp["node"], "left").select("sig", "set_key", F.coalesce("component", "set_key").alias("comp"))
     centre = named.groupBy("sig").agg(F.min_by("set_key", F.expr("concat(if(set_key < 0, '1', '0'), lpad(hex(set_key), 16, '0'))")).alias("centre"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig", "centre")
-    star = checked.select(F.col("a").alias("centre"), F.col("b").alias("set_key"), ((F.col("na") + F.col("nb") - 2 * F.col("i")) / (F.col("na") + F.col("nb") - F.col("i"))).alias("d"))
-    far = named.join(centre, "sig").join(star, ["centre", "set_key"], "left").withColumn("d", F.when(F.col("set_key") == F.col("centre"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
+    # exact distances where they were computed, else lower bounds (which are above 0.2)
+    exact = checked.select("a", "b", ((F.col("na") + F.col("nb") - 2 * F.col("i")) / (F.col("na") + F.col("nb") - F.col("i"))).alias("e"))
+    least = bounded.select("a", "b", (2 * F.col("differ") / (F.col("na") + F.col("nb") + F.col("differ"))).alias("l"))
+    star = least.join(exact, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("set_key"), F.coalesce("e", "l").alias("d"))
+    far = named.join(centre, "sig").join(star, ["centre", "set_key"], "left").withColumn("d", F.when(F.col("set_key") == F.col("centre"), 0.0).otherwise(F.col("d")))
     # the nearest set outside the star decides how far inside can matter
     edge = far.where("d > 0.2").groupBy("sig").agg(F.min("d").alias("nearest"))
     left = far.join(edge, "sig").where("d > 0.2 or d >= nearest - 0.2 - 1e-9").select("sig", "set_key")
@@ -481,7 +516,7 @@ def _large_groups(docs: DataFrame, docs_sets: DataFrame, members: DataFrame, che
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
     rows = rows.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key")
     rows = materialize(rows, "tasks")
-    sets = _sets_of(docs, docs_sets, rows.select("set_key").distinct())
+    sets = _sets_of(docs, info, rows.select("set_key").distinct())
     tasks = rows.join(sets.select("set_key", "shingles"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task").select("task", "set_key", "shingles")
     return tasks.mapInArrow(_within, "src long, dst long")
 
@@ -489,16 +524,14 @@ def _large_groups(docs: DataFrame, docs_sets: DataFrame, members: DataFrame, che
 def keep_representatives(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, that represent their component: the smallest doc_id.
 
-    Rows that repeat the kept id with the same text stay one; rows without an id stay only
-    if nothing with an id links with them, one for each text.
+    Of rows that repeat the kept id one stays.  Rows without an id stay only if nothing
+    with an id links with them, one of each component.
     """
-    comp = jaccard_components(docs)
-    ids = comp.where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(ids, "doc_id", "left_semi").select(*docs.columns)
-    lone = comp.where("doc_id is null and component_id is null").limit(1).count()
-    repeated = comp.where("doc_id = component_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    if lone:
-        kept = kept.unionAll(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return kept
+    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
+    named = docs.withColumn("__sft_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
+    comp = jaccard_components(named.select(F.col("__sft_id").alias("doc_id"), "text"))
+    ids = materialize(comp.where("doc_id = component_id").groupBy("doc_id").count(), "kept")
+    kept = named.join(ids.select(F.col("doc_id").alias("__sft_id")), "__sft_id", "left_semi")
+    if ids.where("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["__sft_id"])
+    return kept.select(*docs.columns)
