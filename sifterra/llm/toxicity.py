@@ -4,7 +4,8 @@ A word is the bag of its character n-grams (3 to 6 UTF-8 bytes of the lower-case
 with a space at either end, hashed to ``BUCKETS`` rows).  The embeddings of a window of
 ``WINDOW`` words are averaged and enter a linear softmax of two classes; embeddings and
 softmax are trained together.  A text is scored by each of its windows, and the most
-toxic window counts, so that a few words in a very long text are not averaged away.
+toxic window counts, so that a few words in a very long text are not averaged away
+(windows of one word told held-out texts apart best).
 Misspelled words share most of their n-grams with the words they come from.
 
 At scoring time embedding and softmax fold into one number per bucket (both are
@@ -26,10 +27,14 @@ from sifterra.llm.columns import blocks, held_out, text_bytes
 SIZES = (3, 4, 5, 6)
 BITS = 17
 BUCKETS = 1 << BITS
-WINDOW = 8
+WINDOW = 1
 DIM = 8
 #: N-grams of fewer training texts keep an embedding of zero; weight decay of the rest.
 MIN_TEXTS, DECAY = 3, 3e-6
+#: How sharply the best windows of a text are preferred at the end of the training.
+SHARPNESS = 1.0
+#: Share of the largest gradient scale that is added to each one.
+DAMPING = 0.1
 #: Clean texts that one clean text of the balanced sample stands for when the offset is placed.
 CLEAN_WEIGHT = 5
 #: Bounds of the training sample: labelled rows of each class, and bytes of one text.
@@ -112,8 +117,8 @@ class ToxicityModel:
 def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together by Adam on the whole sample at each step.
 
-    The gradient of a text goes to its most toxic window, and the two classes weigh
-    alike.  A fifth of the sample is kept aside to place the offset.  No texts: score 1/2.
+    A text's gradient goes to its windows by their scores, first evenly, in the end to the
+    most toxic ones; the two classes weigh alike.  A fifth of the sample is kept aside to place the offset.  No texts: score 1/2.
     """
     rng = np.random.default_rng(seed)
     y = np.asarray(labels, np.float32)
@@ -159,30 +164,32 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, out, bias)]
+    text_of = np.repeat(np.arange(len(some)), last - first)
+    parts = list(range(0, len(size), 1 << 16))  # windows whose n-grams are handled at once
     for step in range(1, epochs + 1):
-        margin = emb @ (out[:, 1] - out[:, 0])
+        side = out[:, 1] - out[:, 0]
+        margin = (emb @ side).astype(np.float32)
         window = np.add.reduceat(margin[col], np.minimum(ends[:-1], len(col) - 1)) / size
-        top = np.array([a + int(np.argmax(window[a:b])) for a, b in zip(first, last)])
-        # the averaged embedding of the chosen windows only
-        span = [col[ends[t] : ends[t + 1]] for t in top]
-        lens = np.array([len(s) for s in span])
-        flat = np.concatenate(span)
-        owner = np.repeat(np.arange(len(top)), lens)
-        each = np.zeros((len(top), DIM), np.float32)
-        for d in range(DIM):
-            each[:, d] = np.bincount(owner, emb[flat, d], len(top)) / np.maximum(1, lens)
-        logits = each @ out + bias
-        p1 = 1 / (1 + np.exp(np.clip(logits[:, 0] - logits[:, 1], -60, 60)))
-        g1 = ((p1 - y) * weight).astype(np.float32)
-        grad_logits = np.stack([-g1, g1], 1)
-        grad_each = grad_logits @ out.T / np.maximum(1, lens)[:, None]
-        grad_emb = np.zeros_like(emb)
-        for d in range(DIM):
-            grad_emb[:, d] = np.bincount(flat, grad_each[owner, d], BUCKETS)
-        for (m, v), value, grad, rate in zip(moments, (emb, out, bias), (grad_emb * common[:, None] + DECAY * emb, each.T @ grad_logits, grad_logits.sum(0)), (0.05, 0.05, 0.05), strict=True):
+        # windows share a text's gradient by their scores, ever more sharply
+        sharp = np.exp(np.minimum(1.0, step / (0.7 * epochs)) * SHARPNESS * (window - np.maximum.reduceat(window, first)[text_of]))
+        share = sharp / np.add.reduceat(sharp, first)[text_of]
+        logit = np.add.reduceat(share * window, first) + bias[1] - bias[0]
+        g = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * weight
+        each = (g[text_of] * share / size).astype(np.float32)
+        flow = np.zeros(BUCKETS)
+        for lo in parts:
+            hi = min(lo + (1 << 16), len(size))
+            a, b = ends[lo], ends[hi]
+            flow += np.bincount(col[a:b], np.repeat(each[lo:hi], np.diff(ends[lo : hi + 1])), BUCKETS)
+        flow *= common
+        pull = (flow @ emb).astype(np.float32)
+        grads = ((flow[:, None] * side).astype(np.float32) + DECAY * emb, np.stack([-pull, pull], 1), np.array([-g.sum(), g.sum()], np.float32))
+        for (m, v), value, grad in zip(moments, (emb, out, bias), grads, strict=True):
             m += 0.1 * (grad - m)
             v += 0.02 * (grad * grad - v)
-            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-8)
+            scale = np.sqrt(v / (1 - 0.98**step))
+            # n-grams of few texts have small gradients and shall not move as far as others
+            value -= 0.05 * (m / (1 - 0.9**step)) / (scale + DAMPING * scale.max() + 1e-8)
     model = ToxicityModel((emb @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
     return model if not check else _calibrated(model, check, y_check)
 
