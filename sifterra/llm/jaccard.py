@@ -15,9 +15,10 @@ A set with too few non-empty partitions emits all it has and again under the nex
 ``SEEDS`` partitionings, and after the last one a signature of its band.
 
 Candidates are checked exactly.  Small groups with a common signature give all their
-pairs; larger ones give a star to one member, and only what the star has not united
-is compared further, in tasks of bounded size, with the triangle inequality of the
-Jaccard distance pruning most of it.  Sets are identified by 64-bit hashes.
+pairs; larger ones give a star to one member, and what the star has not united is
+screened further in tasks of bounded size.  Before sets are compared, parity sketches
+(a bit for each of about 2 |a| hash buckets) bound their difference from below, which
+rejects most candidates.  Sets are identified by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -36,7 +37,7 @@ from sifterra.storage import discard, materialize, partitions
 WORDS = 5
 SEEDS = 6
 #: Groups up to this size give all pairs; a task of the large groups holds so many sets.
-SMALL_GROUP, GROUP_BLOCK = 12, 2048
+SMALL_GROUP, GROUP_BLOCK = 40, 2048
 #: The sample that says which shingles are frequent: texts, and texts a shingle is in.
 SAMPLE_TEXTS, SAMPLE_HITS = 2000, 3
 #: Rows of ``documents`` for each bucket of signatures.
@@ -321,53 +322,47 @@ def _linked(inter, na, nb):
     return 100 * inter >= 80 * (na + nb - inter)
 
 
-def _within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links among the sets of one block of a large group (or between two blocks of it).
-
-    Rows: (group, side, set_key, shingles), sorted by group.  A pivot is compared with all that is
-    left; linked sets leave, and only sets within distance 0.4 of the pivot are compared
-    with those that left, as the triangle inequality allows.
-    """
-    group, members = None, []
-    out: list[tuple[int, int]] = []
+def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of different components in one block of a large group (or between two blocks of
+    it) whose sketches leave them a chance.  Rows: (task, set_key, n, comp, sketch), sorted
+    by task; a task has at most two blocks."""
+    task, members = None, []
+    left: list[np.ndarray] = []
+    right: list[np.ndarray] = []
 
     def solve() -> None:
-        left = list(range(len(members)))
-        while len(left) > 1:
-            p, rest = left[0], left[1:]
-            pivot = members[p][1]
-            sizes = np.array([len(members[i][1]) for i in rest])
-            flat = np.concatenate([members[i][1] for i in rest])
-            spot = np.minimum(np.searchsorted(pivot, flat), len(pivot) - 1)
-            inter = np.add.reduceat((pivot[spot] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            union = sizes + len(pivot) - inter
-            link = 100 * inter >= 80 * union
-            gone = [(rest[k], 1 - inter[k] / union[k]) for k in np.flatnonzero(link)]
-            out.extend((members[p][0], members[i][0]) for i, _ in gone)
-            ring = [(rest[k], 1 - inter[k] / union[k]) for k in np.flatnonzero(~link & (10 * (union - inter) <= 4 * union))]
-            for i, d in ring:
-                for j, e in gone:
-                    if d - e <= 0.2 + 1e-9:
-                        x, y = members[i][1], members[j][1]
-                        n = len(np.intersect1d(x, y, True))
-                        if _linked(n, len(x), len(y)):
-                            out.append((members[i][0], members[j][0]))
-                            break  # one link to that component is enough
-            left = [rest[k] for k in np.flatnonzero(~link)]
+        if len(members) < 2:
+            return
+        width = min(len(m[3]) for m in members)
+        rows = []
+        for m in members:
+            x = np.frombuffer(m[3], np.uint8)
+            while len(x) > width:
+                x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+            rows.append(x)
+        sketch = np.stack(rows)
+        key, n, comp = (np.array([m[k] for m in members], np.int64) for k in range(3))
+        for i in range(len(members) - 1):
+            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+            differ = np.maximum(np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(n[other] - n[i]))
+            near = other[9 * differ <= n[other] + n[i]]
+            left.append(np.full(len(near), key[i]))
+            right.append(key[near])
 
     def flush() -> pa.RecordBatch:
-        x = np.array(out, np.int64).reshape(-1, 2)
-        out.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["src", "dst"])
+        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
+        left.clear()
+        right.clear()
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     for batch in batches:
-        for g, k, s in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if g != group:
+        for t, *m in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if t != task:
                 solve()
-                group, members = g, []
-            members.append((k, s.values.to_numpy().view(np.uint64)))
-        if len(out) > 50_000:
-            yield flush()
+                task, members = t, []
+                if len(left) > 1000:
+                    yield flush()
+            members.append(m)
     solve()
     yield flush()
 
@@ -471,10 +466,9 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     bounded = materialize(both.mapInArrow(_bounded, "a long, b long, na long, nb long, differ long"), "bounded")
     near = bounded.where("9 * differ <= na + nb").select("a", "b")
     wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
-    checked = materialize(_checked(spark, near, _sets_of(docs, info, wanted)), "checked")
-    links = checked.where(_linked(F.col("i"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+    links = materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links")
     if members.limit(1).count():
-        links = links.unionAll(_large_groups(docs, info, members, bounded, checked, links))
+        links = links.unionAll(_large_groups(docs, info, members, links))
     comp = connected_components(links)
     key_of = rows.select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
     # each set's smallest id, then each component's
@@ -487,38 +481,33 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return out
 
 
-def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, bounded: DataFrame, checked: DataFrame, links: DataFrame) -> DataFrame:
+def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
     """Links of the large groups that the stars have not found.
 
-    Groups within one component are done.  In others, a set whose link to the star's
-    centre is known stays only where a set further out could reach it.
+    Groups within one component are done.  Of the others, all pairs of sets from different
+    components are screened by their sketches, in tasks of two blocks at most, and what
+    passes is compared like other candidates.
     """
     spark = members.sparkSession
     comp = connected_components(links)
     named = members.join(comp, members["set_key"] == comp["node"], "left").select("sig", "set_key", F.coalesce("component", "set_key").alias("comp"))
-    centre = named.groupBy("sig").agg(F.min_by("set_key", F.expr("concat(if(set_key < 0, '1', '0'), lpad(hex(set_key), 16, '0'))")).alias("centre"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("sig", "centre")
-    # exact distances where they were computed, else lower bounds (which are above 0.2)
-    exact = checked.select("a", "b", ((F.col("na") + F.col("nb") - 2 * F.col("i")) / (F.col("na") + F.col("nb") - F.col("i"))).alias("e"))
-    least = bounded.select("a", "b", (2 * F.col("differ") / (F.col("na") + F.col("nb") + F.col("differ"))).alias("l"))
-    star = least.join(exact, ["a", "b"], "left").select(F.col("a").alias("centre"), F.col("b").alias("set_key"), F.coalesce("e", "l").alias("d"))
-    far = named.join(centre, "sig").join(star, ["centre", "set_key"], "left").withColumn("d", F.when(F.col("set_key") == F.col("centre"), 0.0).otherwise(F.col("d")))
-    # the nearest set outside the star decides how far inside can matter
-    edge = far.where("d > 0.2").groupBy("sig").agg(F.min("d").alias("nearest"))
-    left = far.join(edge, "sig").where("d > 0.2 or d >= nearest - 0.2 - 1e-9").select("sig", "set_key")
-    # groups with the same members are compared once
-    left = materialize(left, "groups")
-    prints = left.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum")).where("size > 1")
-    once = prints.groupBy("size", "sum").agg(F.min("sig").alias("sig")).select("sig", "size")
-    blocks_of = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
-    rows = left.join(once.withColumn("n_blocks", blocks_of), "sig")
-    own = F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int")
+    named = materialize(named, "groups")
+    # groups with the same members are screened once
+    prints = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+    once = prints.groupBy("size", "sum").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("n_blocks"))
+    rows = named.join(once, "sig").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
     # a set goes to each pair of blocks that has its own
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key")
-    rows = materialize(rows, "tasks")
-    sets = _sets_of(docs, info, rows.select("set_key").distinct())
-    tasks = rows.join(sets.select("set_key", "shingles"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task").select("task", "set_key", "shingles")
-    return tasks.mapInArrow(_within, "src long, dst long")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+    rows = rows.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key", "comp")
+    tasks = rows.join(info.select("set_key", "n", "sketch"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task")
+    near = materialize(tasks.select("task", "set_key", "n", "comp", "sketch").mapInArrow(_screen, "a long, b long").distinct(), "screened")
+    discard(named)
+    wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
+    return _links(_checked(spark, near, _sets_of(docs, info, wanted)))
+
+
+def _links(checked: DataFrame) -> DataFrame:
+    return checked.where(_linked(F.col("i"), F.col("na"), F.col("nb"))).select(F.col("a").alias("src"), F.col("b").alias("dst"))
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
