@@ -50,9 +50,11 @@ class QualityModel:
 def _layout(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts padded with zero bytes to whole chunks, and each text's first chunk.
 
-    One group of STRIDE bytes is one step; a chunk has _STEPS steps.
+    One group of STRIDE bytes is one step; a chunk has _STEPS steps.  The padding is
+    enough for the last steps of a text, which would look into the next, to hold none.
     """
-    chunks = np.maximum(1, -(-np.diff(at) // CHUNK))
+    chunks = -(-(np.diff(at) + WIDTH - STRIDE) // CHUNK)
+    chunks = np.maximum(1, chunks)
     first = np.concatenate([[0], np.cumsum(chunks)])
     padded = np.zeros((first[-1] * CHUNK,), np.uint8)
     padded[np.repeat(first[:-1] * CHUNK - at[:-1], np.diff(at)) + np.arange(len(raw))] = raw
@@ -68,9 +70,16 @@ def _pool(model: QualityModel, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     total = each[:, :FILTERS].copy()
     for k in range(1, _TAPS):  # the last steps of a chunk look into the next one: the overlap
         total[: len(total) - k] += each[k:, k * FILTERS : (k + 1) * FILTERS]
+    _close(total, first)
     return total.reshape(-1, _STEPS, FILTERS).max(1) + model.shift, padded, first
 
 
+def _close(total: np.ndarray, first: np.ndarray) -> None:
+    """No maximum at the steps whose windows end in the next text."""
+    for k in range(1, _TAPS):
+        total[first[1:] * _STEPS - k] = -1e30
+
+
 def _features(pooled: np.ndarray, first: np.ndarray) -> np.ndarray:
     relu = np.maximum(pooled, 0)
     mean = np.add.reduceat(relu, first[:-1], 0) / np.diff(first)[:, None]
@@ -113,6 +122,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int | None = None, batch
             total = each[:, :FILTERS].copy()
             for k in range(1, _TAPS):
                 total[: len(total) - k] += each[k:, k * FILTERS : (k + 1) * FILTERS]
+            _close(total, first)
             cube = total.reshape(-1, _STEPS, FILTERS)
             where = cube.argmax(1)
             pooled = np.take_along_axis(cube, where[:, None], 1)[:, 0] + shift
