@@ -95,7 +95,7 @@ def test_quality_learns_and_covers_chunks():
 def test_quality_pooling_against_brute_force():
     rng = np.random.default_rng(0)
     model = quality.QualityModel(rng.normal(size=(256, quality.DIM)).astype(np.float32), rng.normal(size=(quality.WIDTH * quality.DIM, quality.FILTERS)).astype(np.float32), np.zeros(quality.FILTERS, np.float32), rng.normal(size=2 * quality.FILTERS).astype(np.float32), 0.1)
-    text = bytes(rng.integers(97, 122, 700)).decode()
+    text = bytes(rng.integers(97, 122, 700).astype(np.uint8)).decode()
     padded = np.zeros(3 * quality.CHUNK + quality.WIDTH, np.uint8)
     padded[:700] = np.frombuffer(text.encode(), np.uint8)
     pooled = []
