@@ -38,6 +38,8 @@ WORDS = 5
 SEEDS = 6
 #: Groups up to this size give all pairs; a task of the large groups holds so many sets.
 SMALL_GROUP, GROUP_BLOCK = 40, 2048
+#: Rounds of large groups that pass only so many nearest sets of each set.
+NEAREST, NEAREST_ROUNDS = 2, 2
 #: The sample that says which shingles are frequent: texts, and texts a shingle is in.
 SAMPLE_TEXTS, SAMPLE_HITS = 2000, 3
 #: Rows of ``documents`` for each bucket of signatures.
@@ -322,17 +324,12 @@ def _linked(inter, na, nb):
     return 100 * inter >= 80 * (na + nb - inter)
 
 
-def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _screen(nearest: int):
     """Pairs of different components in one block of a large group (or between two blocks of
-    it) whose sketches leave them a chance.  Rows: (task, set_key, n, comp, sketch), sorted
-    by task; a task has at most two blocks."""
-    task, members = None, []
-    left: list[np.ndarray] = []
-    right: list[np.ndarray] = []
-
-    def solve() -> None:
-        if len(members) < 2:
-            return
+    it) whose sketches leave them a chance; if ``nearest``, of each set only so many with the
+    least bounds.  Rows: (task, set_key, n, comp, sketch), sorted by task."""
+
+    def pairs(members: list) -> tuple[np.ndarray, np.ndarray]:
         width = min(len(m[3]) for m in members)
         rows = []
         for m in members:
@@ -342,29 +339,35 @@ def _screen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows.append(x)
         sketch = np.stack(rows)
         key, n, comp = (np.array([m[k] for m in members], np.int64) for k in range(3))
-        for i in range(len(members) - 1):
-            other = np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
+        left, right = [], []
+        for i in range(len(members)):
+            other = np.flatnonzero(comp != comp[i]) if nearest else np.flatnonzero(comp[i + 1 :] != comp[i]) + i + 1
             differ = np.maximum(np.bitwise_count(sketch[other] ^ sketch[i]).sum(1, dtype=np.int64), np.abs(n[other] - n[i]))
-            near = other[9 * differ <= n[other] + n[i]]
+            fit = 9 * differ <= n[other] + n[i]
+            near, differ = other[fit], differ[fit]
+            if nearest and len(near) > nearest:
+                near = near[np.argpartition(differ, nearest - 1)[:nearest]]
             left.append(np.full(len(near), key[i]))
             right.append(key[near])
+        return np.concatenate(left), np.concatenate(right)
 
-    def flush() -> pa.RecordBatch:
-        a, b = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (left, right))
-        left.clear()
-        right.clear()
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, members = None, []
 
-    for batch in batches:
-        for t, *m in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            if t != task:
-                solve()
-                task, members = t, []
-                if len(left) > 1000:
-                    yield flush()
-            members.append(m)
-    solve()
-    yield flush()
+        def solve() -> Iterator[pa.RecordBatch]:
+            if len(members) > 1:
+                a, b = pairs(members)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+        for batch in batches:
+            for t, *m in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                if t != task:
+                    yield from solve()
+                    task, members = t, []
+                members.append(m)
+        yield from solve()
+
+    return run
 
 
 def shingle_arrays(docs: DataFrame) -> DataFrame:
@@ -468,7 +471,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
     links = materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links")
     if members.limit(1).count():
-        links = links.unionAll(_large_groups(docs, info, members, links))
+        links = _large_groups(docs, info, members, links)
     comp = connected_components(links)
     key_of = rows.select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
     # each set's smallest id, then each component's
@@ -482,28 +485,39 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
 
 
 def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """Links of the large groups that the stars have not found.
+    """``links`` and those of the large groups that the stars have not found.
 
-    Groups within one component are done.  Of the others, all pairs of sets from different
-    components are screened by their sketches, in tasks of two blocks at most, and what
-    passes is compared like other candidates.
+    Groups within one component are done.  In the others sets of different components are
+    screened by their sketches, in tasks of two blocks at most, and what passes is compared
+    like other candidates.  The first rounds pass only the ``NEAREST`` sets of each set, in
+    its largest group, which unites most of what belongs together with a few rows for each
+    set; the last round passes all pairs of what are then different components.
     """
     spark = members.sparkSession
-    comp = connected_components(links)
-    named = members.join(comp, members["set_key"] == comp["node"], "left").select("sig", "set_key", F.coalesce("component", "set_key").alias("comp"))
-    named = materialize(named, "groups")
-    # groups with the same members are screened once
-    prints = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-    once = prints.groupBy("size", "sum").agg(F.min("sig").alias("sig")).select("sig", F.ceil(F.col("size") / GROUP_BLOCK).cast("int").alias("n_blocks"))
-    rows = named.join(once, "sig").withColumn("own", F.pmod(F.xxhash64("set_key"), F.col("n_blocks")).cast("int"))
-    # a set goes to each pair of blocks that has its own
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    rows = rows.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key", "comp")
-    tasks = rows.join(info.select("set_key", "n", "sketch"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task")
-    near = materialize(tasks.select("task", "set_key", "n", "comp", "sketch").mapInArrow(_screen, "a long, b long").distinct(), "screened")
-    discard(named)
-    wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
-    return _links(_checked(spark, near, _sets_of(docs, info, wanted)))
+    for nearest in (*[NEAREST] * NEAREST_ROUNDS, 0):
+        comp = connected_components(links)
+        named = members.join(comp, members["set_key"] == comp["node"], "left").select("sig", "set_key", F.coalesce("component", "set_key").alias("comp"))
+        # groups with the same members are screened once
+        prints = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        once = prints.groupBy("size", "sum").agg(F.min("sig").alias("sig")).select("sig", "size")
+        rows = materialize(named.join(once, "sig"), "groups")
+        if not rows.limit(1).count():
+            discard(rows)
+            break
+        some = rows
+        if nearest:
+            some = rows.groupBy("set_key").agg(F.max_by(F.struct("sig", "comp", "size"), F.struct("size", "sig")).alias("x")).select("x.sig", "set_key", "x.comp", "x.size")
+        n_blocks = F.ceil(F.col("size") / GROUP_BLOCK).cast("int")
+        # a set goes to each pair of blocks that has its own
+        own = F.pmod(F.xxhash64("set_key"), n_blocks).cast("int")
+        dealt = some.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+        dealt = dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key", "comp")
+        tasks = dealt.join(info.select("set_key", "n", "sketch"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task")
+        near = materialize(tasks.select("task", "set_key", "n", "comp", "sketch").mapInArrow(_screen(nearest), "a long, b long").distinct(), "screened")
+        discard(rows)
+        wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
+        links = links.unionAll(materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links"))
+    return links
 
 
 def _links(checked: DataFrame) -> DataFrame:
