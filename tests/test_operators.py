@@ -132,8 +132,9 @@ def test_inference_stub_and_breaker(spark):
 
 def test_streaming_upsert_and_windows(spark, tmp_path):
     schema = "k string, v int, ts timestamp"
-    pd.DataFrame({"k": ["a", "b"], "v": [1, 2], "ts": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:30"]).astype("datetime64[us]")}).to_parquet(tmp_path / "1.parquet")
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path))
+    (tmp_path / "in").mkdir()
+    pd.DataFrame({"k": ["a", "b"], "v": pd.array([1, 2], "int32"), "ts": pd.to_datetime(["2024-01-01 00:00", "2024-01-01 00:30"]).astype("datetime64[us]")}).to_parquet(tmp_path / "in" / "1.parquet")
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     q = stream.writeStream.foreachBatch(incremental.upsert(["k"], ["ts", "v"], str(tmp_path / "t"))).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     q.awaitTermination(60)
     assert spark.read.schema(schema).parquet(str(tmp_path / "t/v0")).count() == 2
