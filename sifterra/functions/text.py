@@ -226,8 +226,8 @@ def without_level(x: Column) -> Column:
 
 
 def host(url: Column) -> Column:
-    """Host of a URL, lower case, without 'www.'."""
-    return F.regexp_replace(F.lower(F.parse_url(url, F.lit("HOST"))), "^www\\.", "")
+    """Host of a URL, lower case, without 'www.'; null for what is no URL."""
+    return F.regexp_replace(F.lower(F.try_parse_url(url, F.lit("HOST"))), "^www\\.", "")
 
 
 def source_name(name: Column, url: Column, display: Mapping[str, str]) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sifterra.functions import text as tx
+from sifterra.storage import materialize
 
 LETTERS = "ABCDE"
 RELEASE_KEYS = ["id", "question", "options", "correct_key", "domain", "subdomain", "level", "length_tier", "source"]
@@ -68,7 +69,8 @@ def anonymized(rows: DataFrame, annotators: str, prefix: str = "ann_") -> DataFr
     numbered = names.withColumn("__ann", F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy("name")) - 1).cast("string")))
     if numbered.limit(100_001).count() <= 100_000:
         numbered = F.broadcast(numbered)
-    keyed = rows.withColumn("__row", F.monotonically_increasing_id())
+    # written once, so that both uses see the same row numbers
+    keyed = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     entries = keyed.select("__row", F.explode(annotators).alias("name", "v")).join(numbered, "name")
     maps = entries.groupBy("__row").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("__ann", "v")))).alias("__m"))
     return keyed.join(maps, "__row", "left").withColumn(annotators, F.col("__m")).drop("__m", "__row")
@@ -94,8 +96,6 @@ def contiguous_ids(rows: DataFrame, order: list[Column | str], name: str = "id")
     those before it (a small table of one row for each partition).
     """
     ranged = rows.repartitionByRange(*order).withColumn("__p", F.spark_partition_id())
-    from sifterra.storage import materialize
-
     ranged = materialize(ranged.sortWithinPartitions(*order), "ranged")
     sizes = ranged.groupBy("__p").count()
     before = sizes.withColumn("__b", F.coalesce(F.sum("count").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
