@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sifterra.operators.components import connected_components
-from sifterra.storage import discard, materialize
+from sifterra.storage import discard, materialize, partitions
 
 THRESHOLD = 0.95
 #: Vectors of a shard at most (about), and shards at least.
@@ -269,7 +269,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard
         graph = build(base.astype(np.float32))
         return pa.table({"shard": t["shard"][:1], "graph": pa.array([graph.dumps()], pa.large_binary()).cast(pa.binary()), "nodes": pa.array([t["node"].to_numpy().tobytes()], pa.binary()), "copies": pa.array([t["copies"].to_numpy().tobytes()], pa.binary()), "base": pa.array([base.tobytes()], pa.binary())})
 
-    graphs = materialize(dealt.groupBy("shard").applyInArrow(index, "shard int, graph binary, nodes binary, copies binary, base binary"), "graphs")
+    graphs = materialize(dealt.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(index, "shard int, graph binary, nodes binary, copies binary, base binary"), "graphs")
 
     def query(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -304,6 +304,9 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard
 
     queries = distinct.select(F.col("key").alias("node"), "e", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
     copies_of = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # a fixed number of partitions: adaptive execution would join these small, slow ones
+    spread = partitions(spark, 4 * shards * slices)
+    queries, copies_of = (x.repartition(spread, "shard", "slice") for x in (queries, copies_of))
     found = materialize(queries.groupBy("shard", "slice").cogroup(copies_of.groupBy("shard", "slice")).applyInArrow(query, "node long, other long, links long"), "links")
     discard(graphs)
     counts = found.where("other is null").groupBy(F.col("node").alias("key")).agg(F.sum("links").alias("linked"))
