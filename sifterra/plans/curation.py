@@ -42,6 +42,8 @@ def canonical_dedup(t: Tables):
 
 
 SWEEP = [0.85, 0.9, 0.95, 1.0]
+#: The reference's thresholds (src/deduplicate/build.py).
+FULL_SWEEP = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]
 _PAIRS = (
     f"with recursive tok as (select doc_id, unnest(list_distinct(list_filter(string_split({fingerprint_sql('text')}, ' '), lambda w: w <> ''))) as t from documents), "
     "m as (select doc_id, count(*) as m from tok group by 1 having count(*) >= 4), lt as (select tok.* from tok join m using (doc_id)), df as (select t, count(*) as df from lt group by 1), "
@@ -52,8 +54,8 @@ _PAIRS = (
 )
 
 
-def _pairs(t: Tables):
-    return dd.jaccard_pairs(t.documents, "doc_id", tx.tokens(F.col("text")), 0.85)
+def _pairs(t: Tables, threshold: float = 0.85):
+    return dd.jaccard_pairs(t.documents, "doc_id", tx.tokens(F.col("text")), threshold)
 
 
 @query(_PAIRS + "select i, j, inter::int as inter, n_i::int as n_i, n_j::int as n_j from pairs")
@@ -68,6 +70,12 @@ def threshold_sweep(t: Tables):
     return dd.threshold_sweep(_pairs(t), t.documents.count(), SWEEP)
 
 
+@query()
+def threshold_sweep_full(t: Tables):
+    """CMP4 at all thresholds of the reference, over pairs from the lowest of them up."""
+    return dd.threshold_sweep(_pairs(t, min(FULL_SWEEP)), t.documents.count(), FULL_SWEEP)
+
+
 @query(_PAIRS + ", both_ as (select i as u, j as v from pairs union select j, i from pairs), reach as (select u as node, u as r from both_ union select node, v from reach join both_ on both_.u = reach.r), comp as (select node, min(r) as c from reach group by 1), g as (select coalesce(c, d.doc_id) as c, coalesce(quality::varchar, '∅') as a from documents d left join labels using (doc_id) left join comp on node = d.doc_id) select c as doc_id, count(*) as group_size from g group by c having count(distinct a) = 1")
 def fuzzy_dedup(t: Tables):
     """CMP5 and CMP6: components at 0.85; those whose labels differ go."""

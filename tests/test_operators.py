@@ -147,3 +147,43 @@ def test_streaming_upsert_and_windows(spark, tmp_path):
 @pytest.mark.parametrize("name,want", [("Answer key: B", "B"), ("ERROR: x", None), ("", None), (None, None), ("no letter here", None)])
 def test_parse_key(spark, name, want):
     assert spark.createDataFrame([(name,)], "x string").select(tx.parse_key(F.col("x"))).first()[0] == want
+
+
+def test_full_sweep_against_brute_force(spark, tmp_path):
+    from sifterra.plans import QUERIES
+
+    rng = random.Random(5)
+    texts = []
+    for g in range(25):
+        base = [f"g{g}x{i}" for i in range(rng.randrange(4, 30))] + [f"c{rng.randrange(8)}" for _ in range(3)]
+        for _ in range(5):
+            words = list(base)
+            for _ in range(rng.randrange(0, 9)):
+                words[rng.randrange(len(words))] = f"n{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    rows = list(enumerate(texts))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    sets = {i: frozenset(t.split()) for i, t in rows}
+    df = {}
+    for s in sets.values():
+        for w in s:
+            df[w] = df.get(w, 0) + 1
+    assert max(df.values()) <= 200 and min(map(len, sets.values())) >= 4
+    want = []
+    for threshold in (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0):
+        root = list(range(len(rows)))
+
+        def find(a):
+            while root[a] != a:
+                a = root[a]
+            return a
+
+        for i in sets:
+            for j in range(i):
+                if len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9:
+                    a, b = find(i), find(j)
+                    root[max(a, b)] = min(a, b)
+        removed = sum(find(i) != i for i in sets)
+        want.append((threshold, len(rows) - removed, removed))
+    assert len({r for *_, r in want}) > 5
+    assert sorted(map(tuple, QUERIES["threshold_sweep_full"](spark, str(tmp_path)).collect())) == want
