@@ -46,26 +46,29 @@ FIRST_NAMES = {
 
 # What is detected, in order of preference.
 TITLE = r"(?:Mr|Mrs|Ms|Dr|Prof)\. "
+_PERSON = r"(?:" + TITLE + r")?(?:" + "|".join(n for names in FIRST_NAMES.values() for n in names) + r")(?: \p{Lu}\.)? [\p{Lu}\p{Lo}][\p{L}'’\-]+"
+#: Names of secrets in any case; a prefix (``access_token``) stays in front of the match.
+SECRET_NAME = r"(?i:token|secret|passw(?:or)?d|api[_-]?key)"
 PATTERNS = {
-    "secret": r"\b(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Pp]asswd|[Aa]pi[_-]?[Kk]ey)\b\s{0,3}[=:]\s{0,3}[\"'][A-Za-z0-9+/_.\-]{8,}",
+    "secret": SECRET_NAME + r"(?i:[_-]?(?:access[_-]?)?key)?(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"']|(?!" + _PERSON + r"))[A-Za-z0-9+/_.\-]{8,}+(?!@)",
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1[ .\-(])\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\d|\.\d)",
     "card": r"(?<![\d.])\d{4}(?:[ \-]?\d{4}){2}[ \-]?\d{1,7}(?![\d])",
-    "person": r"(?<!\p{L})(?:" + TITLE + r")?(?:" + "|".join(n for names in FIRST_NAMES.values() for n in names) + r")(?: \p{Lu}\.)? [\p{Lu}\p{Lo}][\p{L}'’\-]+|(?<!\p{L})" + TITLE + r"\p{Lu}[\p{L}'’\-]+",
+    "person": r"(?<!\p{L})" + _PERSON + r"|(?<!\p{L})" + TITLE + r"\p{Lu}[\p{L}'’\-]+",
 }
-#: One expression for all, ordered so that within a word nothing is tried: entities that
-#: start with a letter start a word, the others with a digit, '+' or '('.
+#: One expression for all, each part with its own boundary; a look at the next character
+#: comes first, so that most places are passed without trying any.
 DETECT = (
-    r"(?<![\p{L}\p{N}._%+\-])(?=[\p{L}\p{N}_])(?:(?=[AaPpSsTt])" + PATTERNS["secret"] + "|" + PATTERNS["email"].split(")", 1)[1]
-    + r"|(?=[\p{Lu}\p{Lo}])(?:" + PATTERNS["iban"] + "|" + PATTERNS["person"] + "))"
+    "(?=[AaPpSsTt])" + PATTERNS["secret"] + "|" + PATTERNS["email"]
+    + r"|(?=[\p{Lu}\p{Lo}])(?:" + PATTERNS["iban"] + "|" + PATTERNS["person"] + ")"
     + r"|(?=[\d+(])(?:" + "|".join(PATTERNS[k] for k in ("ssn", "phone", "ip", "card")) + ")"
 )
 #: A cheap look at the whole text: where this finds nothing, DETECT would find nothing.
 _NAMES = [n for names in FIRST_NAMES.values() for n in names]
-QUICK = r"@|\d[\d .()\-]{4}|[\"'][\w+/.\-]{8}|[" + "".join(sorted({n[0] for n in _NAMES} | set("MDP"))) + "](?:" + "|".join([n[1:] for n in _NAMES] + [r"rs?\. ", r"s\. ", r"rof\. "]) + ")"
+QUICK = r"@|\d[\d .()\-]{4}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}|" + SECRET_NAME + "|[" + "".join(sorted({n[0] for n in _NAMES} | set("MDP"))) + "](?:" + "|".join([n[1:] for n in _NAMES] + [r"rs?\. ", r"s\. ", r"rof\. "]) + ")"
 #: Tried until a surrogate obeys its rule; a miss has a probability below 1e-12.
 WALK = 30
 DEFAULT_KEY = "sifterra-surrogates"
@@ -152,7 +155,7 @@ def surrogate_sql(m: str, key: str = DEFAULT_KEY) -> str:
     which rule the permuted part obeys, and whether it fills the digits of the entity.
     """
     digits = f"regexp_replace({m}, '[^0-9]', '')"
-    secret_head = _quoted(r"""^[^=:]*[=:]\s{0,3}["']""")
+    secret_head = _quoted(r"""^[^=:]*[=:]\s{0,3}(?:\\?["'])?""")
     country = _quoted(r"^[+](?:1(?=[^0-9]?[(]?[0-9]{3}[^0-9]?[0-9]{3}[^0-9]?[0-9]{4}$)|[0-9]{1,3}(?=[ .(-])|)")
     last = _quoted(r"[^ ]+$")
     n = next(_serial)
@@ -170,10 +173,12 @@ def surrogate_sql(m: str, key: str = DEFAULT_KEY) -> str:
 
     def moved(e: str) -> str:
         def rule(v: str) -> str:
-            return f"case {e}.kind when 'card' then {_luhn(v)} when 'phone' then {_area(v)} when 'secret' then {v} rlike '^[0-9a-f]+$' else true end"
+            hexes = f"case when {v} rlike '^[0-9a-f]+$' then 1 when {v} rlike '^[0-9A-F]+$' then 2 else 0 end"
+            return f"case {e}.kind when 'card' then cast({_luhn(v)} as int) when 'phone' then cast({_area(v)} as int) when 'secret' then {hexes} else 1 end"
 
         hexed = f"({e}.kind = 'ip' or {e}.kind = 'secret' and {e}.core rlike '^[0-9a-f]+$')"
-        alphabets = f"if({hexed}, array('0123456789abcdef'), {_ALPHABETS})"
+        upper = f"({e}.kind = 'secret' and {e}.core rlike '^[0-9A-F]+$')"
+        alphabets = f"case when {hexed} then array('0123456789abcdef') when {upper} then array('0123456789ABCDEF') else {_ALPHABETS} end"
         return _walked(f"{e}.core", alphabets, f"concat({_quoted(key + '|')}, {e}.kind)", rule)
 
     def written(e: str) -> str:

@@ -268,3 +268,45 @@ def test_keys_matter_and_no_python_runs(spark):
     a, b = (pii.replace_pii(docs, k, check=False) for k in ("k1", "k2"))
     assert a.first()[0] != b.first()[0]
     assert "Python" not in a._jdf.queryExecution().executedPlan().toString()
+
+
+SECRETS = [
+    ('TOKEN = "9233A8ECF7C5B09FE5949719B6B8"', "9233A8ECF7C5B09FE5949719B6B8"),
+    ('access_token = "abc12345xyz"', "abc12345xyz"),
+    ("db_password='hunter2hunter2'", "hunter2hunter2"),
+    ("AWS_SECRET_KEY=wJalrXUtnFEMI", "wJalrXUtnFEMI"),
+    ("aws_secret_access_key: wJalrXUtnFEMI", "wJalrXUtnFEMI"),
+    ('{"password": "hunter2hunter2"}', "hunter2hunter2"),
+    ("password: correcthorse", "correcthorse"),
+    ('{\\"apiKey\\": \\"k3y-k3y-k3y\\"}', "k3y-k3y-k3y"),
+]
+
+
+def test_secrets_in_all_forms(spark):
+    docs = spark.createDataFrame([(i, f"so {t} then") for i, (t, _) in enumerate(SECRETS)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogate_report(docs).collect()}
+    for i, (text, value) in enumerate(SECRETS):
+        head, tail = f"so {text} then".split(value)
+        assert got[i]["kinds"] == "secret" and value not in got[i]["text"], text
+        assert got[i]["text"].startswith(head) and got[i]["text"].endswith(tail)
+        assert len(got[i]["text"]) == len(f"so {text} then")
+    assert re.fullmatch(r'so TOKEN = "[0-9A-F]{28}" then', got[0]["text"])
+
+
+def test_each_kind_keeps_its_boundary(spark):
+    texts = [("see:-GB82 WEST 1234 5698 7654 32 now", "iban"), ("by 7Mary Brown.", "person"), ("x.Mr. Brown", "person"), ("-Mary Brown", "person"), ("secret: Elizabeth Brown", "person"), ("password: annabella@mail.example.org", "email"), ("XX12 ABCD EFGH IJKL", "iban")]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogate_report(docs).collect()}
+    assert [got[i]["kinds"] for i in range(len(texts))] == [k for _, k in texts]
+    assert all("Brown" not in r["text"] and "annabella" not in r["text"] for r in got.values())
+
+
+def test_quick_look_and_plain_words(spark):
+    docs = spark.createDataFrame([(0, "the token of thanks, secretly: passwords matter"), (1, "a secret = x")], "doc_id long, text string")
+    assert [r["n_entities"] for r in pii.surrogate_report(docs).collect()] == [0, 0]
+
+
+def test_upper_case_hex_secrets_stay_distinct(spark):
+    rows = [f'TOKEN = "{i:08X}"' for i in range(0, 600_000_000, 400_000)] + [f'token = "{i:08x}"' for i in range(0, 600_000_000, 400_000)]
+    docs = spark.createDataFrame([(" ; ".join(rows[i : i + 50]),) for i in range(0, len(rows), 50)], "text string")
+    assert pii.collisions(docs).count() == 0
