@@ -4,8 +4,10 @@ Distinct vectors are dealt to shards by hash; each shard builds a graph of layer
 Every vector then queries every shard.  Searches run for blocks of queries at once, and
 so does insertion (a batch sees the graph before it and its own members).  A beam that
 ends above the threshold has more to find and is widened until it does not; a sample of
-each block is compared with brute force, and the whole block's beam is widened until that
-audit finds what it must.  Links count only if the cosine in double precision does.
+each block (without the hits of vectors on themselves) and perturbed copies of its nodes,
+which have true links for certain, are compared with brute force, and the whole block's
+beam is widened until that audit finds what it must, at last to brute force for all.
+Links count only if the cosine in double precision does.
 """
 
 from __future__ import annotations
@@ -26,8 +28,9 @@ THRESHOLD = 0.95
 SHARD_ROWS, MIN_SHARDS = 60_000, 4
 #: Links of a node above and on the ground layer, beam while building, first beam of a query.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 40, 24
-#: Share of true links that the audit of a block must find, and its sample of queries.
-AUDIT_RECALL, AUDIT_SAMPLE = 0.995, 24
+#: Share of true links that the audit of a block must find, its queries at most, and the
+#: links after which no more are drawn; as many perturbed copies of nodes are searched too.
+AUDIT_RECALL, AUDIT_QUERIES, AUDIT_LINKS = 0.995, 512, 200
 BATCH = 256
 #: Nodes of a block that are expanded at each step.
 EXPAND = 3
@@ -194,41 +197,94 @@ def build(x: np.ndarray, seed: int = 3) -> Graph:
     return Graph(x1, layers, int(order[0]))
 
 
-def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of cosine >= threshold; ``exact`` and ``base`` are the unit
-    vectors of queries and nodes in double precision."""
+def _brute(exact: np.ndarray, base: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """All (query, node) pairs of cosine >= threshold."""
+    step = max(1, (1 << 21) // max(1, len(base)))
+    pairs = [np.nonzero(exact[lo : lo + step] @ base.T >= threshold) for lo in range(0, len(exact), step)]
+    a = [i + k * step for k, (i, _) in enumerate(pairs)]
+    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *(j for _, j in pairs)])
+
+
+def _probes(base: np.ndarray, threshold: float, count: int, seed: int = 5) -> np.ndarray:
+    """Unit vectors near nodes drawn at random, of cosines from threshold to 1 with them."""
+    rng = np.random.default_rng(seed)
+    x = base[rng.integers(0, len(base), count)]
+    side = rng.standard_normal(x.shape)
+    side -= (side * x).sum(1)[:, None] * x
+    norm = np.sqrt((side * side).sum(1))[:, None]
+    side = np.divide(side, norm, out=np.zeros_like(side), where=norm > 1e-9)
+    cosine = threshold + (1 - threshold) * rng.uniform(0.02, 0.98, (count, 1))
+    p = cosine * x + np.sqrt(1 - cosine * cosine) * side
+    return p / np.sqrt((p * p).sum(1))[:, None]
+
+
+def _audit(exact: np.ndarray, base: np.ndarray, threshold: float, keys: tuple[np.ndarray, np.ndarray] | None) -> tuple[np.ndarray, np.ndarray]:
+    """True links (query, node) of a sample of queries, those of a vector with itself left
+    out; more queries are drawn until there are AUDIT_LINKS or AUDIT_QUERIES are used."""
+    order = np.random.default_rng(4).permutation(len(exact))[:AUDIT_QUERIES]
+    found_q, found_n, links = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for lo in range(0, len(order), 64):
+        rows = order[lo : lo + 64]
+        i, j = _brute(exact[rows], base, threshold)
+        i = rows[i]
+        if keys is not None:
+            other = keys[0][i] != keys[1][j]
+            i, j = i[other], j[other]
+        found_q.append(i)
+        found_n.append(j)
+        links += len(i)
+        if links >= AUDIT_LINKS:
+            break
+    return np.concatenate(found_q), np.concatenate(found_n)
+
+
+def _search(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs that beams find, each widened while it ends above the threshold."""
     n = len(graph.x) - 1
     floor = np.float32(threshold - 1e-4)
+    found_q, found_n = [], []
+    for lo in range(0, len(q), BATCH):
+        rows = np.arange(lo, min(lo + BATCH, len(q)))
+        width = beam
+        while len(rows):
+            step = max(16, min(BATCH, 1 << 21 >> int(np.log2(width))))
+            wider = []
+            for a in range(0, len(rows), step):
+                part = rows[a : a + step]
+                ids, sims = graph.search(q[part], width)
+                full = (sims[:, -1] >= floor) & (width < n)
+                wider.append(part[full])
+                i, j = np.nonzero((sims >= floor) & (ids >= 0) & ~full[:, None])
+                found_q.append(part[i])
+                found_n.append(ids[i, j])
+            rows, width = np.concatenate(wider), min(n, width * 4)
+    a, b = np.concatenate(found_q), np.concatenate(found_n)
+    keep = np.zeros(len(a), bool)
+    for lo in range(0, len(a), 1 << 16):
+        s = slice(lo, lo + (1 << 16))
+        keep[s] = np.einsum("kd,kd->k", exact[a[s]], base[b[s]]) >= threshold
+    return a[keep], b[keep]
+
+
+def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float = THRESHOLD, keys: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(query, node) pairs of cosine >= threshold; ``exact`` and ``base`` are the unit
+    vectors of queries and nodes in double precision, ``keys`` tell which are the same."""
+    n = len(graph.x) - 1
     beam = min(BEAM, n)
-    sample = np.linspace(0, len(q) - 1, min(AUDIT_SAMPLE, len(q))).astype(int)
-    truth = [np.flatnonzero(base @ exact[i] >= threshold) for i in sample]
+    probes = _probes(base, threshold, AUDIT_LINKS)
+    truths = [_audit(exact, base, threshold, keys), _brute(probes, base, threshold)]
+
+    def enough(found: tuple[np.ndarray, np.ndarray], truth: tuple[np.ndarray, np.ndarray]) -> bool:
+        got = np.isin(truth[0] * n + truth[1], found[0].astype(np.int64) * n + found[1]).sum()
+        return got >= AUDIT_RECALL * len(truth[0])
+
     while True:
-        found_q, found_n = [], []
-        for lo in range(0, len(q), BATCH):
-            rows = np.arange(lo, min(lo + BATCH, len(q)))
-            width = beam
-            while len(rows):
-                step = max(16, min(BATCH, 1 << 21 >> int(np.log2(width))))
-                wider = []
-                for a in range(0, len(rows), step):
-                    part = rows[a : a + step]
-                    ids, sims = graph.search(q[part], width)
-                    full = (sims[:, -1] >= floor) & (width < n)
-                    wider.append(part[full])
-                    i, j = np.nonzero((sims >= floor) & (ids >= 0) & ~full[:, None])
-                    found_q.append(part[i])
-                    found_n.append(ids[i, j])
-                rows, width = np.concatenate(wider), min(n, width * 4)
-        a, b = np.concatenate(found_q), np.concatenate(found_n)
-        keep = np.zeros(len(a), bool)
-        for lo in range(0, len(a), 1 << 16):
-            s = slice(lo, lo + (1 << 16))
-            keep[s] = np.einsum("kd,kd->k", exact[a[s]], base[b[s]]) >= threshold
-        a, b = a[keep], b[keep]
-        got = sum(len(np.intersect1d(t, b[a == i])) for i, t in zip(sample, truth, strict=True))
-        all_ = sum(map(len, truth))
-        if beam >= n or got >= AUDIT_RECALL * all_:
-            return a, b
+        if enough(_search(graph, probes.astype(np.float32), probes, base, threshold, beam), truths[1]):
+            found = _search(graph, q, exact, base, threshold, beam)
+            if enough(found, truths[0]):
+                return found
+        if beam >= n:
+            return _brute(exact, base, threshold)
         beam = min(n, beam * 2)
 
 
@@ -279,7 +335,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard
         base = np.frombuffer(right["base"][0].as_py(), np.float64).reshape(len(nodes), dim)
         exact = _unit(left["e"].combine_chunks(), dim)
         mine = left["node"].to_numpy()
-        a, b = near(graph, exact.astype(np.float32), exact, base, threshold)
+        a, b = near(graph, exact.astype(np.float32), exact, base, threshold, (mine, nodes))
         other = mine[a] != nodes[b]
         a, b = a[other], b[other]
         links = np.bincount(a, copies[b], len(mine)).astype(np.int64)

@@ -124,3 +124,34 @@ def test_embedding_edges(spark):
     got = sorted(map(tuple, hnsw.embedding_components(df).collect()), key=str)
     assert got == sorted([(4, 3, 2, False), (2, 3, 2, True), (4, 3, 2, False), (None, 3, 2, False), *[(i, 0, i, True) for i in (9, 10, 11, 12, 13, 14, 15, 16)]], key=str)
     assert hnsw.embedding_components(df.limit(0)).count() == 0
+
+
+def test_audit_notices_a_graph_that_finds_only_itself():
+    rng = np.random.default_rng(7)
+    x = rng.standard_normal((600, 24))
+    x[1::2] = x[::2] + 0.02 * rng.standard_normal((300, 24))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    keys = np.arange(600)
+    want = set(zip(*hnsw._brute(x, x, 0.95)))
+
+    class Lost(hnsw.Graph):
+        def search(self, q, beam):
+            hit = (q @ self.x[:-1].T).argmax(1)
+            ids, sims = np.full((len(q), beam), -1, np.int32), np.full((len(q), beam), -2, np.float32)
+            own = np.isclose((q * self.x[hit]).sum(1), 1, atol=1e-5)
+            ids[own, 0], sims[own, 0] = hit[own], 1
+            return ids, sims
+
+    g = hnsw.build(x.astype(np.float32))
+    assert len(want) > 600
+    for graph in (g, Lost(g.x, g.layers, g.entry)):
+        assert set(zip(*hnsw.near(graph, x.astype(np.float32), x, x, 0.95, (keys, keys)))) == want
+    # without any partner only perturbed copies can tell
+    y = x[::2]
+    h = hnsw.build(y.astype(np.float32))
+    lost, seen = Lost(h.x, h.layers, h.entry), []
+    lost.search = lambda q, beam: seen.append(beam) or Lost.search(lost, q, beam)
+    hnsw.near(lost, y.astype(np.float32), y, y, 0.95, (keys[:300], keys[:300]))
+    assert max(seen) == 300
+    a, b = hnsw._audit(x, x, 0.95, (keys, keys))
+    assert len(a) >= 200 and (a != b).all()
