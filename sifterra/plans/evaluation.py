@@ -162,3 +162,11 @@ def edits_merged(t: Tables):
     """TXT31/SRT6."""
     rows = t.spark.createDataFrame([(i, e, o) for i, e, o, _ in _EDITS], "i string, e array<string>, original string")
     return rows.select("i", "original", ag.merge_edits(F.col("e"), F.col("original")).alias("result"))
+
+
+@query()
+def edits_merged_whole(t: Tables):
+    """TXT31/SRT6 over whole texts: two transforms as the edits of each text."""
+    x = F.col("text")
+    edits = F.array(tx.normalize_blanks(x), tx.clean_text(x))
+    return t.documents.select("doc_id", ag.merge_edits(edits, x).alias("result"))

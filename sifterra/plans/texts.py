@@ -148,3 +148,46 @@ def txt_match_options(t: Tables):
     given = t.spark.createDataFrame([(i, a) for i, a, _ in _MATCH], "i string, given string")
     options = F.create_map(*[F.lit(x) for x in ("A", "Lahore", "B", "Karachi", "C", "Quetta", "D", "Multan")])
     return given.select("i", "given", tx.parse_key_from_options(F.col("given"), options).alias("result"))
+
+
+#: Table, key columns and text of the operators whose literal queries end in these names;
+#: they run over whole tables as well, where SQL cannot follow.
+WHOLE: dict[str, tuple[str, list[str], str]] = {
+    name: {
+        "txt_host": ("pages", ["page_id"], "url"),
+        "txt_page_number": ("pages", ["page_id"], "url"),
+        "txt_safe_name": ("documents", ["doc_id"], "source"),
+        "txt_subdomain": ("documents", ["doc_id"], "source"),
+        "txt_parse_key": ("conversations", ["conv_id", "turn"], "text"),
+        "txt_fence": ("conversations", ["conv_id", "turn"], "text"),
+    }.get(name, ("documents", ["doc_id"], "text"))
+    for name in LITERALS
+}
+
+
+def _whole(name: str) -> None:
+    table, keys, column = WHOLE[name]
+    change = LITERALS[name][1]
+
+    @query(name=f"{name}_whole")
+    def make(t: Tables):
+        return getattr(t, table).select(*keys, change(F.col(column)).alias("result"))
+
+
+for _name in WHOLE:
+    _whole(_name)
+
+
+@query()
+def txt_option_prefix_whole(t: Tables):
+    """TXT4 over whole texts, each with the letter that its id gives."""
+    key = F.array(*map(F.lit, "ABCD"))[F.pmod("doc_id", F.lit(4)).cast("int")]
+    return t.documents.select("doc_id", key.alias("k"), tx.strip_option_prefix(F.col("text"), key).alias("result"))
+
+
+@query()
+def txt_match_options_whole(t: Tables):
+    """TXT26 over turns: options are the words 1, 3, 5 and 7 of each text, so that some match."""
+    w = tx.words(F.col("text"))
+    options = F.create_map(*[x for i, k in enumerate("ABCD") for x in (F.lit(k), F.coalesce(F.get(w, F.lit(2 * i)), F.lit("")))])
+    return t.conversations.select("conv_id", "turn", tx.parse_key_from_options(F.col("text"), options).alias("result"))

@@ -187,3 +187,18 @@ def test_full_sweep_against_brute_force(spark, tmp_path):
         want.append((threshold, len(rows) - removed, removed))
     assert len({r for *_, r in want}) > 5
     assert sorted(map(tuple, QUERIES["threshold_sweep_full"](spark, str(tmp_path)).collect())) == want
+
+
+def test_literal_operators_run_over_whole_tables(spark, sf_dir):
+    from sifterra.plans import ORACLES, QUERIES
+    from sifterra.plans.texts import LITERALS, WHOLE
+
+    names = [*LITERALS, "txt_option_prefix", "txt_match_options", "edits_merged"]
+    assert len(names) == 17
+    for name in names:
+        table, *_ = WHOLE.get(name, ("conversations" if name == "txt_match_options" else "documents",))
+        want = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
+        out = QUERIES[f"{name}_whole"](spark, sf_dir)
+        assert len(out.collect()) == want and f"{name}_whole" not in ORACLES, name
+    hosts = QUERIES["txt_host_whole"](spark, sf_dir).where("result <> ''").count()
+    assert hosts > 0
