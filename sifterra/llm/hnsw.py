@@ -1,10 +1,11 @@
 """Embedding near-duplicates by hierarchical navigable small-world graphs.
 
-Distinct vectors are dealt to shards by hash; each shard builds a graph of layers.
-Every vector then queries every shard.  Searches run for blocks of queries at once, and
-so does insertion (a batch sees the graph before it and its own members).  A beam that
-ends above the threshold has more to find and is widened until it does not; a sample of
-each block (without the hits of vectors on themselves) and perturbed copies of its nodes,
+Distinct vectors are dealt to shards by hash; each shard builds a graph of layers.  A
+vector in a dense neighbourhood becomes a member of its nearest node, so that thousands
+of near copies make few nodes.  Every vector then queries every shard: a graph travels
+once to each of its lanes and queries stream past it in blocks.  A beam goes on along
+links as long as it meets nodes that are near enough, members included.  A sample of each
+block (without the hits of vectors on themselves) and perturbed copies of its vectors,
 which have true links for certain, are compared with brute force, and the whole block's
 beam is widened until that audit finds what it must, at last to brute force for all.
 Links count only if the cosine in double precision does.
@@ -24,8 +25,8 @@ from sifterra.operators.components import connected_components
 from sifterra.storage import discard, materialize, partitions
 
 THRESHOLD = 0.95
-#: Vectors of a shard at most (about), and shards at least.
-SHARD_ROWS, MIN_SHARDS = 60_000, 4
+#: Vectors of a shard at most (about), shards at least, and lanes of that least number at most.
+SHARD_ROWS, MIN_SHARDS, MAX_LANES = 60_000, 4, 3
 #: Links of a node above and on the ground layer, beam while building, first beam of a query.
 M, M0, BUILD_BEAM, BEAM = 12, 24, 40, 24
 #: Share of true links that the audit of a block must find, its queries at most, and the
@@ -34,23 +35,36 @@ AUDIT_RECALL, AUDIT_QUERIES, AUDIT_LINKS = 0.995, 512, 200
 BATCH = 256
 #: Nodes of a block that are expanded at each step.
 EXPAND = 3
+#: A vector with so many nodes within the threshold becomes a member of the nearest one.
+DENSE = 16
+#: Queries of a shard that are searched and audited together.
+QUERY_BLOCK = 8192
 
 
 class Graph:
-    """Vectors (unit, float32) and one link table for each layer; -1 means no link."""
+    """Nodes of one shard: rows of unit vectors ``x`` (float32), a link table for each layer
+    (-1 means no link), and the members that nodes of dense neighbourhoods represent.
 
-    def __init__(self, x: np.ndarray, layers: list[np.ndarray], entry: int) -> None:
-        self.x, self.layers, self.entry = x, layers, entry
+    ``owner[i]`` is the node that vector i belongs to (itself if it is a node) and
+    ``reach[i]`` the widest angle between node i and one of its members.
+    """
+
+    def __init__(self, x: np.ndarray, layers: list[np.ndarray], entry: int, owner: np.ndarray, reach: np.ndarray) -> None:
+        self.x, self.layers, self.entry, self.owner, self.reach = x, layers, entry, owner, reach
+        self.members = np.argsort(owner, kind="stable")  # by owner
+        self.first = np.searchsorted(owner[self.members], np.arange(len(owner) + 1))
 
     def dumps(self) -> bytes:
+        """Links, owners and reaches; the vectors travel as they were given."""
         out = io.BytesIO()
-        np.savez(out, x=self.x, entry=np.array(self.entry), **{f"l{i}": a for i, a in enumerate(self.layers)})
+        np.savez(out, entry=np.array(self.entry), owner=self.owner.astype(np.int32), reach=self.reach, **{f"l{i}": a for i, a in enumerate(self.layers)})
         return out.getvalue()
 
     @staticmethod
-    def loads(data: bytes) -> Graph:
+    def loads(data: bytes, x: np.ndarray) -> Graph:
+        """The graph of ``dumps`` over its unit vectors (float32)."""
         z = np.load(io.BytesIO(data))
-        return Graph(z["x"], [z[f"l{i}"] for i in range(len(z.files) - 2)], int(z["entry"]))
+        return Graph(_with_void(x), [z[f"l{i}"] for i in range(len(z.files) - 3)], int(z["entry"]), z["owner"].astype(np.int64), z["reach"])
 
     def search(self, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and similarities of the beam nearest nodes of each query, best first."""
@@ -59,6 +73,38 @@ class Graph:
             at = _beam(self.x, links, q, at, 1)[0][:, :1]
         return _beam(self.x, self.layers[0], q, at, beam)
 
+    def around(self, q: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """(query, node) pairs where the node, or one of its members, may be as near as
+        ``threshold``: those of a beam, and from them on along links as long as there are
+        more, so that a beam that ends above the threshold widens by what is there."""
+        floor = np.cos(np.minimum(np.arccos(threshold) + self.reach, np.pi)).astype(np.float32) - np.float32(1e-4)
+        ids, sims = self.search(q, beam)
+        i, j = np.nonzero((ids >= 0) & (sims >= floor[ids]))
+        rows, nodes = i, ids[i, j]
+        width = len(self.x)
+        seen = np.zeros(len(q) * width, bool)
+        seen[rows * width + nodes] = True
+        found = [(rows, nodes)]
+        while len(rows):
+            near = self.layers[0][nodes]
+            at = np.repeat(rows, near.shape[1]) * width + near.reshape(-1)
+            at = at[(near.reshape(-1) >= 0) & ~seen[at]]
+            seen[at] = True
+            at = np.unique(at)
+            rows, nodes = at // width, at % width
+            keep = np.zeros(len(at), bool)
+            for lo in range(0, len(at), 1 << 16):
+                s = slice(lo, lo + (1 << 16))
+                keep[s] = np.einsum("kd,kd->k", self.x[nodes[s]], q[rows[s]]) >= floor[nodes[s]]
+            rows, nodes = rows[keep], nodes[keep]
+            found.append((rows, nodes))
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+
+def _with_void(x: np.ndarray) -> np.ndarray:
+    """``x`` and a row of zeros, the place of id -1."""
+    return np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])
+
 
 def _beam(x: np.ndarray, links: np.ndarray, q: np.ndarray, start: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """Beam search on one layer for all queries at once (unused places: id -1, sim -2)."""
@@ -127,10 +173,10 @@ def _diverse(x: np.ndarray, cand: np.ndarray, sims: np.ndarray, most: int) -> np
     return out
 
 
-def _insert(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, start: np.ndarray, most: int) -> np.ndarray:
-    """Link ``nodes`` (not yet in the layer) into it; returns each node's best neighbour."""
+def _insert(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, ids: np.ndarray, sims: np.ndarray, most: int) -> np.ndarray:
+    """Link ``nodes`` (not yet in the layer) into it, given the beam of each; returns each
+    node's best neighbour."""
     q = x[nodes]
-    ids, sims = _beam(x, links, q, start, BUILD_BEAM)
     own = q @ q.T
     own[np.arange(len(nodes)), np.arange(len(nodes))] = -2
     k = min(BUILD_BEAM // 2, len(nodes))
@@ -172,37 +218,70 @@ def _insert(x: np.ndarray, links: np.ndarray, nodes: np.ndarray, start: np.ndarr
     return all_ids[:, :1]
 
 
-def build(x: np.ndarray, seed: int = 3) -> Graph:
-    """Graph over unit vectors; levels fall off by a factor M."""
+def build(x: np.ndarray, threshold: float = THRESHOLD, seed: int = 3) -> Graph:
+    """Graph over unit vectors; levels fall off by a factor M.
+
+    A vector that finds DENSE nodes within the threshold becomes a member of the nearest
+    one instead of a node, so that a dense neighbourhood has few nodes and links.
+    """
     n = len(x)
     rng = np.random.default_rng(seed)
     level = np.minimum((-np.log(1 - rng.random(n)) / np.log(M)).astype(int), 6) if n > 1 else np.zeros(n, int)
     order = np.argsort(-level, kind="stable").astype(np.int32)  # upper layers first
     top = int(level[order[0]])
-    x1 = np.concatenate([x, np.zeros((1, x.shape[1]), np.float32)])  # the place of id -1
+    x1 = _with_void(x)
     layers = [np.full((n + 1, M0 if i == 0 else M), -1, np.int32) for i in range(top + 1)]
+    owner, reach = np.arange(n), np.zeros(n + 1, np.float64)
     at, size = 1, 1
     while at < n:
         nodes = order[at : at + size]
-        start = np.full((len(nodes), 1), order[0], np.int32)
-        for i in range(top, -1, -1):
-            here = level[nodes] >= i
-            if here.any():
-                found = _insert(x1, layers[i], nodes[here], start[here], layers[i].shape[1])
-                start[here] = np.where(found >= 0, found, start[here])
-            if (~here).any():
-                start[~here] = _beam(x1, layers[i], x1[nodes[~here]], start[~here], 1)[0][:, :1]
         at += len(nodes)
+        start = np.full((len(nodes), 1), order[0], np.int32)
+        lowest = level[nodes] == 0
+        if lowest.all():
+            for i in range(top, 0, -1):
+                start = _beam(x1, layers[i], x1[nodes], start, 1)[0][:, :1]
+            ids, sims = _beam(x1, layers[0], x1[nodes], start, BUILD_BEAM)
+            inside = sims[:, min(DENSE, sims.shape[1]) - 1] >= threshold
+            if inside.any():
+                mine, own = nodes[inside], ids[inside, 0].astype(np.int64)
+                owner[mine] = own
+                cosine = np.einsum("nd,nd->n", x[mine].astype(np.float64), x[own].astype(np.float64))
+                np.maximum.at(reach, own, np.arccos(np.clip(cosine - 1e-6, -1, 1)))
+                nodes, start, ids, sims = nodes[~inside], start[~inside], ids[~inside], sims[~inside]
+            if len(nodes):
+                _insert(x1, layers[0], nodes, ids, sims, M0)
+        else:
+            for i in range(top, -1, -1):
+                here = level[nodes] >= i
+                if here.any():
+                    ids, sims = _beam(x1, layers[i], x1[nodes[here]], start[here], BUILD_BEAM)
+                    found = _insert(x1, layers[i], nodes[here], ids, sims, layers[i].shape[1])
+                    start[here] = np.where(found >= 0, found, start[here])
+                if (~here).any():
+                    start[~here] = _beam(x1, layers[i], x1[nodes[~here]], start[~here], 1)[0][:, :1]
         size = min(BATCH, max(1, at // 4))
-    return Graph(x1, layers, int(order[0]))
+    return Graph(x1, layers, int(order[0]), owner, reach)
+
+
+Pairs = tuple[np.ndarray, np.ndarray]
 
 
-def _brute(exact: np.ndarray, base: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (query, node) pairs of cosine >= threshold."""
+def _brute_blocks(exact: np.ndarray, base: np.ndarray, threshold: float) -> Iterator[Pairs]:
+    """All (query, vector) pairs of cosine >= threshold, some queries at a time."""
     step = max(1, (1 << 21) // max(1, len(base)))
-    pairs = [np.nonzero(exact[lo : lo + step] @ base.T >= threshold) for lo in range(0, len(exact), step)]
-    a = [i + k * step for k, (i, _) in enumerate(pairs)]
-    return np.concatenate([np.zeros(0, np.int64), *a]), np.concatenate([np.zeros(0, np.int64), *(j for _, j in pairs)])
+    for lo in range(0, len(exact), step):
+        i, j = np.nonzero(exact[lo : lo + step] @ base.T >= threshold)
+        yield i + lo, j
+
+
+def _joined(blocks: Iterator[Pairs]) -> Pairs:
+    both = [(np.zeros(0, np.int64), np.zeros(0, np.int64)), *blocks]
+    return np.concatenate([a for a, _ in both]), np.concatenate([b for _, b in both])
+
+
+def _brute(exact: np.ndarray, base: np.ndarray, threshold: float) -> Pairs:
+    return _joined(_brute_blocks(exact, base, threshold))
 
 
 def _probes(base: np.ndarray, threshold: float, count: int, seed: int = 5) -> np.ndarray:
@@ -238,139 +317,214 @@ def _audit(exact: np.ndarray, base: np.ndarray, threshold: float, keys: tuple[np
     return np.concatenate(found_q), np.concatenate(found_n)
 
 
-def _search(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs that beams find, each widened while it ends above the threshold."""
-    n = len(graph.x) - 1
-    floor = np.float32(threshold - 1e-4)
-    found_q, found_n = [], []
+def _search(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float, beam: int) -> Iterator[Pairs]:
+    """(query, vector) pairs of cosine >= threshold that the graph finds, BATCH queries at a time."""
     for lo in range(0, len(q), BATCH):
-        rows = np.arange(lo, min(lo + BATCH, len(q)))
-        width = beam
-        while len(rows):
-            step = max(16, min(BATCH, 1 << 21 >> int(np.log2(width))))
-            wider = []
-            for a in range(0, len(rows), step):
-                part = rows[a : a + step]
-                ids, sims = graph.search(q[part], width)
-                full = (sims[:, -1] >= floor) & (width < n)
-                wider.append(part[full])
-                i, j = np.nonzero((sims >= floor) & (ids >= 0) & ~full[:, None])
-                found_q.append(part[i])
-                found_n.append(ids[i, j])
-            rows, width = np.concatenate(wider), min(n, width * 4)
-    a, b = np.concatenate(found_q), np.concatenate(found_n)
-    keep = np.zeros(len(a), bool)
-    for lo in range(0, len(a), 1 << 16):
-        s = slice(lo, lo + (1 << 16))
-        keep[s] = np.einsum("kd,kd->k", exact[a[s]], base[b[s]]) >= threshold
-    return a[keep], b[keep]
-
-
-def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float = THRESHOLD, keys: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs of cosine >= threshold; ``exact`` and ``base`` are the unit
-    vectors of queries and nodes in double precision, ``keys`` tell which are the same."""
+        rows, nodes = graph.around(q[lo : lo + BATCH], threshold, beam)
+        rows = rows + lo
+        found = []
+        size = graph.first[nodes + 1] - graph.first[nodes]
+        alone = size <= 4
+        # nodes of few members: pair by pair
+        count = size[alone]
+        i = np.repeat(rows[alone], count)
+        offset = np.arange(len(i)) - np.repeat(np.cumsum(count) - count, count)
+        j = graph.members[np.repeat(graph.first[nodes[alone]], count) + offset]
+        for at in range(0, len(i), 1 << 16):
+            a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+            fit = np.einsum("kd,kd->k", exact[a], base[b]) >= threshold
+            found.append((a[fit], b[fit]))
+        # those of many: one matrix product for all the queries that reach them
+        rows, nodes = rows[~alone], nodes[~alone]
+        order = np.argsort(nodes, kind="stable")
+        rows, nodes = rows[order], nodes[order]
+        heads = np.append(np.flatnonzero(np.diff(nodes, prepend=-1)), len(nodes)).tolist()
+        for h, e in zip(heads[:-1], heads[1:], strict=True):
+            mine = graph.members[graph.first[nodes[h]] : graph.first[nodes[h] + 1]]
+            i, j = np.nonzero(exact[rows[h:e]] @ base[mine].T >= threshold)
+            found.append((rows[h:e][i], mine[j]))
+        yield _joined(found)
+
+
+def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float = THRESHOLD, keys: Pairs | None = None, beam: int = BEAM, digest=lambda a, b: (a, b)) -> tuple[list, int]:
+    """What ``digest`` makes of the (query, vector) pairs of cosine >= threshold, some queries
+    at a time, and the beam that passed the audits (to be passed on to the next block).
+
+    ``exact`` and ``base`` are the unit vectors of queries and of the shard in double
+    precision, ``keys`` tell which are the same.
+    """
     n = len(graph.x) - 1
-    beam = min(BEAM, n)
+    beam = min(beam, n)
     probes = _probes(base, threshold, AUDIT_LINKS)
-    truths = [_audit(exact, base, threshold, keys), _brute(probes, base, threshold)]
+    truths = _audit(exact, base, threshold, keys), _brute(probes, base, threshold)
 
-    def enough(found: tuple[np.ndarray, np.ndarray], truth: tuple[np.ndarray, np.ndarray]) -> bool:
-        got = np.isin(truth[0] * n + truth[1], found[0].astype(np.int64) * n + found[1]).sum()
+    def enough(found: Pairs, truth: Pairs) -> bool:
+        got = np.isin(truth[0] * n + truth[1], found[0] * n + found[1]).sum()
         return got >= AUDIT_RECALL * len(truth[0])
 
-    while True:
-        if enough(_search(graph, probes.astype(np.float32), probes, base, threshold, beam), truths[1]):
-            found = _search(graph, q, exact, base, threshold, beam)
-            if enough(found, truths[0]):
-                return found
-        if beam >= n:
-            return _brute(exact, base, threshold)
+    audited = np.zeros(len(q), bool)
+    audited[truths[0][0]] = True
+    while beam * 8 < n or beam == n:
+        if enough(_joined(_search(graph, probes.astype(np.float32), probes, base, threshold, beam)), truths[1]):
+            out, checked = [], []
+            for a, b in _search(graph, q, exact, base, threshold, beam):
+                out.append(digest(a, b))
+                checked.append((a[audited[a]], b[audited[a]]))
+            if enough(_joined(checked), truths[0]):
+                return out, beam
+        if beam == n:
+            break
         beam = min(n, beam * 2)
+    return [digest(a, b) for a, b in _brute_blocks(exact, base, threshold)], beam
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rows (end, root) that unite what the pairs (a, b) of non-negative numbers unite: one
+    for each end that is not its component's least."""
+    ends, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    label = np.arange(len(ends))
+    while True:
+        low = np.minimum(label[u], label[v])
+        new = label.copy()
+        # of each label the least one that it meets
+        np.minimum.at(new, label[u], low)
+        np.minimum.at(new, label[v], low)
+        while True:
+            jump = new[new]
+            if (jump == new).all():
+                break
+            new = jump
+        new = new[label]
+        if (new == label).all():
+            break
+        label = new
+        open_ = label[u] != label[v]
+        u, v = u[open_], v[open_]
+    moved = np.flatnonzero(label != np.arange(len(ends)))
+    return np.stack([ends[moved], ends[label[moved]]], 1)
+
+
+def _norms(x: np.ndarray) -> np.ndarray:
+    """Norms of rows as a column; values are scaled first, so that none overflows."""
+    top = np.abs(x).max(1, keepdims=True)
+    return top * np.sqrt(((x / top) ** 2).sum(1, keepdims=True))
 
 
 def _unit(column: pa.Array, dim: int) -> np.ndarray:
     """Rows of a list column as unit vectors in double precision."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-    return flat / np.sqrt((flat * flat).sum(1))[:, None]
+    return flat / _norms(flat)
+
+
+def _index(t: pa.Table) -> pa.Table:
+    """Graph of the shard whose rows (dim, shard, node, copies, e) are ``t``, as one row."""
+    order = np.argsort(t["node"].to_numpy())  # the same graph if the task runs again
+    t = t.take(pa.array(order))
+    x = _unit(t["e"].combine_chunks(), t["dim"][0].as_py()).astype(np.float32)
+    flat = t["e"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    blobs = {"graph": build(x).dumps(), "nodes": t["node"].to_numpy().tobytes(), "copies": t["copies"].to_numpy().tobytes(), "base": flat.tobytes()}
+    return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1]} | {k: pa.array([v], pa.binary()) for k, v in blobs.items()})
+
+
+def _queried(dtype: np.dtype, threshold: float):
+    """Rows (dim, shard, lane, turn, graph, nodes, copies, base, node, e), of each lane the
+    graph first (turn 0) and then its queries: rows (node, other, links)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, shard, beam, waiting, held = None, None, BEAM, [], 0
+
+        def solve() -> Iterator[pa.RecordBatch]:
+            nonlocal beam, waiting, held
+            if waiting and shard is not None:
+                graph, nodes, copies, base = shard
+                mine = np.concatenate([b.column("node").to_numpy() for b in waiting])
+                exact = np.concatenate([_unit(b.column("e"), place[0]) for b in waiting])
+
+                def digest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                    other = mine[a] != nodes[b]
+                    a, b = a[other], b[other]
+                    who, at = np.unique(a, return_inverse=True)
+                    return mine[who], np.bincount(at, copies[b], len(who)).astype(np.int64), spanning(mine[a], nodes[b])
+
+                parts, beam = near(graph, exact.astype(np.float32), exact, base, threshold, (mine, nodes), beam, digest)
+                who, links, e = (np.concatenate(x) for x in zip(*parts, strict=True))
+                e = spanning(e[:, 0], e[:, 1])
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.concatenate([who, e[:, 0]])),
+                    pa.array(np.concatenate([np.zeros(len(who), np.int64), e[:, 1]]), mask=np.arange(len(who) + len(e)) < len(who)),
+                    pa.array(np.concatenate([links, np.zeros(len(e), np.int64)])),
+                ], ["node", "other", "links"])
+            waiting, held = [], 0
+
+        for batch in batches:
+            where = np.stack([batch.column(c).to_numpy() for c in ("dim", "shard", "lane")], 1)
+            turn = batch.column("turn").to_numpy()
+            cuts = np.flatnonzero((np.diff(where, axis=0) != 0).any(1) | (np.diff(turn) != 0)) + 1
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(batch)], strict=True):
+                if tuple(where[lo]) != place:
+                    yield from solve()
+                    place, shard, beam = tuple(where[lo].tolist()), None, BEAM
+                if not turn[lo]:
+                    base = np.frombuffer(batch.column("base")[lo].as_py(), dtype).astype(np.float64).reshape(-1, place[0])
+                    base = base / _norms(base)
+                    nodes, copies = (np.frombuffer(batch.column(c)[lo].as_py(), np.int64) for c in ("nodes", "copies"))
+                    shard = Graph.loads(batch.column("graph")[lo].as_py(), base.astype(np.float32)), nodes, copies, base
+                    continue
+                for at in range(lo, hi, QUERY_BLOCK):
+                    waiting.append(batch.slice(at, min(QUERY_BLOCK, hi - at)))
+                    held += len(waiting[-1])
+                    if held >= QUERY_BLOCK:
+                        yield from solve()
+        yield from solve()
+
+    return run
 
 
 def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
-    Only vec_id and embedding are read.  Vectors that are null, zero, of another length
-    than most, or hold null or non-finite components link with nothing: 0 links, own
-    component.  Equal vectors count as linked with each other and are searched once.
-    component_id is the smallest vec_id reachable; kept: vec_id is it.  A row with a null
-    vec_id counts as a link of others but never as a component_id; it is not kept.
-    Repeated rows link with each other.  An empty table gives an empty one.
+    Only vec_id and embedding are read.  Vectors that are null, zero, or hold null or
+    non-finite components link with nothing: 0 links, own component; vectors link with
+    those of their own length only.  Equal vectors count as linked with each other and are
+    searched once.  component_id is the smallest vec_id reachable; kept: vec_id is it.  A
+    row with a null vec_id counts as a link of others but never as a component_id; it is
+    not kept.  Repeated rows link with each other.  An empty table gives an empty one.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("e"))
+    single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
+    kind, dtype, nought = ("float", np.dtype("<f4"), "0F") if single else ("double", np.dtype("<f8"), "0D")
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(f"array<{kind}>").alias("e"))
     finite = F.expr("e is not null and size(e) > 0 and forall(e, c -> c is not null and not isnan(c) and abs(c) < double('infinity')) and exists(e, c -> c <> 0)")
-    rows = rows.withColumn("ok", F.coalesce(finite, F.lit(False)))
-    usual = rows.where("ok").groupBy(F.size("e").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    dim = usual["n"] if usual else 0
-    # -0.0 equals 0.0
-    keyed = rows.withColumn("ok", F.col("ok") & (F.size("e") == dim)).withColumn("e", F.expr("transform(e, c -> c + 0.0D)"))
-    keyed = keyed.withColumn("key", F.when(F.col("ok"), F.xxhash64("e")))
-    distinct = materialize(keyed.where("ok").groupBy("key", "e").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low")), "vectors")
-    n = distinct.count()
-    shards = max(MIN_SHARDS, -(-n // shard_rows))
-    # every shard is searched by slices of the queries, so that there is work for all tasks
-    slices = max(4, -(-n // 16_384))
-    dealt = distinct.select(F.col("key").alias("node"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(shards)).cast("int").alias("shard"), "e", "copies")
-
-    def index(t: pa.Table) -> pa.Table:
-        base = _unit(t["e"].combine_chunks(), dim)
-        graph = build(base.astype(np.float32))
-        return pa.table({"shard": t["shard"][:1], "graph": pa.array([graph.dumps()], pa.large_binary()).cast(pa.binary()), "nodes": pa.array([t["node"].to_numpy().tobytes()], pa.binary()), "copies": pa.array([t["copies"].to_numpy().tobytes()], pa.binary()), "base": pa.array([base.tobytes()], pa.binary())})
-
-    graphs = materialize(dealt.repartition(4 * shards, "shard").groupBy("shard").applyInArrow(index, "shard int, graph binary, nodes binary, copies binary, base binary"), "graphs")
-
-    def query(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not len(left) or not len(right):
-            return pa.table({"node": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "links": pa.array([], pa.int64())})
-        graph = Graph.loads(right["graph"][0].as_py())
-        nodes, copies = (np.frombuffer(right[c][0].as_py(), np.int64) for c in ("nodes", "copies"))
-        base = np.frombuffer(right["base"][0].as_py(), np.float64).reshape(len(nodes), dim)
-        exact = _unit(left["e"].combine_chunks(), dim)
-        mine = left["node"].to_numpy()
-        a, b = near(graph, exact.astype(np.float32), exact, base, threshold, (mine, nodes))
-        other = mine[a] != nodes[b]
-        a, b = a[other], b[other]
-        links = np.bincount(a, copies[b], len(mine)).astype(np.int64)
-        # who is united in this shard through these queries needs one edge each
-        root = np.arange(len(mine) + len(nodes))
-
-        def find(i: int) -> int:
-            while root[i] != i:
-                root[i] = root[root[i]]
-                i = root[i]
-            return i
-
-        edges = []
-        for i, j in zip(a.tolist(), (b + len(mine)).tolist(), strict=True):
-            p, q = find(i), find(j)
-            if p != q:
-                root[max(p, q)] = min(p, q)
-                edges.append((mine[i], nodes[j - len(mine)]))
-        e = np.array(edges, np.int64).reshape(-1, 2)
-        some = links > 0
-        return pa.table({"node": np.concatenate([mine[some], e[:, 0]]), "other": pa.array(np.concatenate([np.zeros(int(some.sum()), np.int64), e[:, 1]]), mask=np.concatenate([np.ones(int(some.sum()), bool), np.zeros(len(e), bool)])), "links": np.concatenate([links[some], np.zeros(len(e), np.int64)])})
-
-    queries = distinct.select(F.col("key").alias("node"), "e", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(slices)).cast("int").alias("slice"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    copies_of = graphs.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    # -0.0 equals 0.0; vectors are told apart by 128 bits
+    keyed = rows.withColumn("ok", F.coalesce(finite, F.lit(False))).withColumn("e", F.expr(f"transform(e, c -> c + {nought})"))
+    keyed = keyed.withColumn("k", F.when(F.col("ok"), F.struct(F.xxhash64("e").alias("a"), F.xxhash64(F.lit(7), "e").alias("b"))))
+    distinct = keyed.where("ok").groupBy("k").agg(F.any_value("e").alias("e"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("low"))
+    distinct = materialize(distinct.withColumn("node", F.monotonically_increasing_id()).withColumn("dim", F.size("e")), "vectors")
+    # shards of each length; a shard is searched in lanes, so that few shards still fill the cluster
+    dims = {r["dim"]: r["n"] for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each length
+    shards = {d: max(MIN_SHARDS if n > 64 * MIN_SHARDS else 1, -(-n // shard_rows)) for d, n in dims.items()}
+    lanes = max(1, -(-min(MAX_LANES * MIN_SHARDS, partitions(spark)) // max([1, *shards.values()])))
+    table = F.broadcast(spark.createDataFrame(list(shards.items()), "dim int, shards int"))
+    spread = max(1, sum(shards.values()))
+    dealt = distinct.join(table, "dim").withColumn("shard", F.pmod(F.xxhash64("node", F.lit(1)), "shards").cast("int")).select("dim", "shard", "node", "copies", "e")
+    graphs = materialize(dealt.repartition(4 * spread, "dim", "shard").groupBy("dim", "shard").applyInArrow(_index, "dim int, shard int, graph binary, nodes binary, copies binary, base binary"), "graphs")
+    # each graph goes once to each of its lanes, and the queries of the lane stream past it
+    nothing = [F.lit(None).cast(t).alias(c) for c, t in (("graph", "binary"), ("nodes", "binary"), ("copies", "binary"), ("base", "binary"))]
+    guests = distinct.join(table, "dim").withColumn("shard", F.explode(F.expr("sequence(0, shards - 1)")))
+    guests = guests.select("dim", "shard", F.pmod(F.xxhash64("node", F.lit(2)), F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("turn"), *nothing, "node", "e")
+    hosts = graphs.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    hosts = hosts.select("dim", "shard", "lane", F.lit(0).alias("turn"), "graph", "nodes", "copies", "base", F.lit(None).cast("long").alias("node"), F.lit(None).cast(f"array<{kind}>").alias("e"))
     # a fixed number of partitions: adaptive execution would join these small, slow ones
-    spread = partitions(spark, 4 * shards * slices)
-    queries, copies_of = (x.repartition(spread, "shard", "slice") for x in (queries, copies_of))
-    found = materialize(queries.groupBy("shard", "slice").cogroup(copies_of.groupBy("shard", "slice")).applyInArrow(query, "node long, other long, links long"), "links")
+    met = hosts.unionAll(guests).repartition(2 * spread * lanes, "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "turn")
+    found = materialize(met.mapInArrow(_queried(dtype, threshold), "node long, other long, links long"), "links")
     discard(graphs)
-    counts = found.where("other is null").groupBy(F.col("node").alias("key")).agg(F.sum("links").alias("linked"))
+    counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("linked"))
     comp = connected_components(found.where("other is not null"), "node", "other")
-    of_key = distinct.select("key", "copies", "low").join(counts, "key", "left").join(comp.withColumnRenamed("node", "key"), "key", "left")
-    of_key = of_key.select("key", "low", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "key").alias("comp"))
-    lows = of_key.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_key = of_key.join(lows, "comp").select("key", "n_links", "component_id")
-    out = keyed.select("vec_id", "key").join(of_key, "key", "left")
-    own = F.when(F.col("key").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    of_node = distinct.select("node", "k", "copies", "low").join(counts, "node", "left").join(comp, "node", "left")
+    of_node = of_node.select("k", "low", (F.coalesce("linked", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("comp"))
+    lows = of_node.groupBy("comp").agg(F.min("low").alias("component_id"))
+    of_node = of_node.join(lows, "comp").select("k", "n_links", "component_id")
+    out = keyed.select("vec_id", "k").join(of_node, "k", "left")
+    own = F.when(F.col("k").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), own.alias("component_id"), F.coalesce(F.col("vec_id") == own, F.lit(False)).alias("kept"))

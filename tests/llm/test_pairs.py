@@ -1,6 +1,7 @@
 """Jaccard join and embedding near-duplicates against brute force."""
 
 import re
+import time
 
 import numpy as np
 import pytest
@@ -111,18 +112,53 @@ def test_graph_recall_on_clusters():
     centres = rng.normal(size=(20, 32))
     x = np.concatenate([c + rng.normal(size=(60, 32)) * 0.12 for c in centres] + [rng.normal(size=(800, 32))])
     x /= np.sqrt((x * x).sum(1))[:, None]
-    graph = hnsw.Graph.loads(hnsw.build(x.astype(np.float32)).dumps())
-    a, b = hnsw.near(graph, x.astype(np.float32), x, x)
+    graph = hnsw.Graph.loads(hnsw.build(x.astype(np.float32)).dumps(), x.astype(np.float32))
+    a, b = hnsw._joined(hnsw.near(graph, x.astype(np.float32), x, x)[0])
     truth = x @ x.T >= 0.95
     assert truth[a, b].all() and len(a) >= 0.995 * truth.sum()
 
 
+def test_dense_cluster_agrees_with_brute_force_in_bounded_time():
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((5000, 64))
+    x[:4000] = rng.standard_normal(64) / 8 + 0.025 * rng.standard_normal((4000, 64))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    graph = hnsw.build(x.astype(np.float32))
+    assert len(np.unique(graph.owner)) < 2500  # the cluster has few nodes
+    q = x[::5]
+    began = time.perf_counter()
+    truth = hnsw._brute(q, x, 0.95)
+    brute = time.perf_counter() - began
+    a, b = hnsw._joined(hnsw.near(graph, q.astype(np.float32), q, x)[0])
+    assert time.perf_counter() - began < 21 * brute + 3
+    assert len(a) == len(set(zip(a.tolist(), b.tolist()))) >= 0.995 * len(truth[0])
+    assert (np.einsum("kd,kd->k", q[a], x[b]) >= 0.95 - 1e-12).all()
+
+
+def test_spanning_unites_what_the_pairs_unite():
+    rng = np.random.default_rng(8)
+    a, b = rng.integers(0, 300, 200), rng.integers(0, 300, 200)
+    root = {i: i for i in range(300)}
+    for i, j in zip(a.tolist(), b.tolist()):
+        low, high = sorted((root[i], root[j]))
+        root = {k: low if v == high else v for k, v in root.items()}
+    e = hnsw.spanning(a, b)
+    assert {i: r for i, r in e.tolist()} == {i: r for i, r in root.items() if i != r}
+
+
+def test_double_vectors_and_repeated_ids(spark):
+    rows = [(1, [1e200, 0.0]), (1, [0.0, 1e-200]), (2, [2e200, 1e199]), (3, [0.0, 1.0]), (3, [0.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, hnsw.embedding_components(df).collect()))
+    assert got == [(1, 1, 1, True), (1, 2, 1, True), (2, 1, 1, False), (3, 2, 1, False), (3, 2, 1, False)]
+
+
 def test_embedding_edges(spark):
     v = [1.0, 2.0, 3.0]
-    rows = [(4, v), (2, [2.0, 4.0, 6.0]), (4, v), (None, v), (9, None), (10, [0.0, 0.0, 0.0]), (11, [float("nan"), 1.0, 1.0]), (12, [1.0, None, 1.0]), (13, [1.0]), (14, [-1.0, -2.0, -3.0]), (15, [float("inf"), 0.0, 0.0]), (16, [])]
+    rows = [(4, v), (2, [2.0, 4.0, 6.0]), (4, v), (None, v), (9, None), (10, [0.0, 0.0, 0.0]), (11, [float("nan"), 1.0, 1.0]), (12, [1.0, None, 1.0]), (13, [1.0]), (17, [5.0]), (18, [-5.0]), (14, [-1.0, -2.0, -3.0]), (15, [float("inf"), 0.0, 0.0]), (16, [])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<float>, n_links int")
     got = sorted(map(tuple, hnsw.embedding_components(df).collect()), key=str)
-    assert got == sorted([(4, 3, 2, False), (2, 3, 2, True), (4, 3, 2, False), (None, 3, 2, False), *[(i, 0, i, True) for i in (9, 10, 11, 12, 13, 14, 15, 16)]], key=str)
+    assert got == sorted([(4, 3, 2, False), (2, 3, 2, True), (4, 3, 2, False), (None, 3, 2, False), (13, 1, 13, True), (17, 1, 13, False), *[(i, 0, i, True) for i in (9, 10, 11, 12, 14, 15, 16, 18)]], key=str)
     assert hnsw.embedding_components(df.limit(0)).count() == 0
 
 
@@ -144,14 +180,13 @@ def test_audit_notices_a_graph_that_finds_only_itself():
 
     g = hnsw.build(x.astype(np.float32))
     assert len(want) > 600
-    for graph in (g, Lost(g.x, g.layers, g.entry)):
-        assert set(zip(*hnsw.near(graph, x.astype(np.float32), x, x, 0.95, (keys, keys)))) == want
+    for graph in (g, Lost(g.x, g.layers, g.entry, g.owner, g.reach)):
+        assert set(zip(*hnsw._joined(hnsw.near(graph, x.astype(np.float32), x, x, 0.95, (keys, keys))[0]))) == want
     # without any partner only perturbed copies can tell
     y = x[::2]
     h = hnsw.build(y.astype(np.float32))
-    lost, seen = Lost(h.x, h.layers, h.entry), []
+    lost, seen = Lost(h.x, h.layers, h.entry, h.owner, h.reach), []
     lost.search = lambda q, beam: seen.append(beam) or Lost.search(lost, q, beam)
-    hnsw.near(lost, y.astype(np.float32), y, y, 0.95, (keys[:300], keys[:300]))
-    assert max(seen) == 300
+    assert hnsw.near(lost, y.astype(np.float32), y, y, 0.95, (keys[:300], keys[:300]))[1] > max(seen) == hnsw.BEAM
     a, b = hnsw._audit(x, x, 0.95, (keys, keys))
     assert len(a) >= 200 and (a != b).all()
