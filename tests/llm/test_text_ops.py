@@ -59,7 +59,6 @@ def test_packing_of_edge_rows(spark):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_paths()[0])
-    tok.encode_special_tokens = True
     for doc, text in [(r["doc_id"], r["text"]) for r in docs.collect()]:
         ids = np.array([*tok.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
         own = rows[rows.doc_id.isna() if doc is None else rows.doc_id == doc].drop_duplicates("piece").sort_values("piece")
@@ -70,6 +69,25 @@ def test_packing_of_edge_rows(spark):
     assert packing.pack(packing.tokenize_pieces(docs.limit(0), *queries.tokenizer_paths())).count() == 0
 
 
+_WORDS = st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext", "|>", "the", "naïve", "漢字", "🙂", "it's", "don't", "12345", "\n", "\t", " ", "  ", "x" * 70, "\u00a0", "\u3000", "{", "--", "aaaaaaaa"]) | st.text(max_size=8), max_size=30)
+
+
+@settings(max_examples=300, deadline=None)
+@given(_WORDS, st.sampled_from(["", " "]))
+def test_ids_are_those_of_the_plain_call(words, glue):
+    from tokenizers import Tokenizer
+
+    paths = queries.tokenizer_paths()
+    text = glue.join(words)
+    plain = _PLAIN.setdefault("t", None) or _PLAIN.update(t=Tokenizer.from_file(paths[0])) or _PLAIN["t"]
+    ours = packing._tokenizer(*paths)
+    assert ours.fast is not None
+    assert ours.encode(text).tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+_PLAIN: dict = {}
+
+
 # ---- media
 
 
@@ -158,21 +176,63 @@ def test_counts_against_brute_force(spark):
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    trie = token_counts.UnigramTrie(token_counts.zipf_scores(token_counts.vocabulary(path)))
-    words = "the nation tionishly über naïve 日本 x 12345 " .split() + ["a" * 100]
-    for w in words:
-        assert trie.count(token_counts.MARK + w) == _brute(trie.scores, trie.floor, token_counts.MARK + w)
-    docs = _edge(spark, " ".join(words), None, "", " \n ", "the the")
+    scores = token_counts.zipf_scores(token_counts.vocabulary(path))
+    trie = token_counts.UnigramTrie(scores)
+    words = "the nation tionishly über naïve 日本 x 12345 ".split() + ["a" * 100, "nation" * 60]
+    want = [_brute(scores, trie.floor, token_counts.MARK + w) for w in words]
+    assert trie.count_all(words) == want
+    docs = _edge(spark, " ".join(words), None, "", " \n ", "the the").withColumns({"n_tokens": F.lit(7), "n_pretokens": F.lit("x")})
     got = {r["doc_id"]: (r["n_tokens"], r["n_pretokens"]) for r in token_counts.count_tokens(docs, path).collect()}
-    assert got[0][0] == sum(trie.count(token_counts.MARK + w) for w in words) and got[1] == got[2] == got[3] == (0, 0) and got[4] == (2, 2)
+    assert got[0][0] == sum(want) and got[1] == got[2] == got[3] == (0, 0) and got[4] == (2, 2)
+    assert token_counts.count_tokens(docs.limit(0), path).count() == 0
 
 
-def test_trie_shares_prefixes_and_resets():
-    trie = token_counts.UnigramTrie({"a": -1.0, "ab": -1.5, "b": -1.0})
-    trie.count("abab")
-    nodes = len(trie.children)
-    trie.count("abaa")
-    assert len(trie.children) == nodes + 1 and trie.count("abab") == 2
+def test_token_count_query_against_brute_force(spark, sf_dir):
+    import public_tokenizers
+
+    scores = token_counts.zipf_scores(token_counts.vocabulary(public_tokenizers.path("piece_bpe_32k.model")))
+    floor, known = min(scores.values()) - 10.0, {}
+    want = {}
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect():
+        words = (r["text"] or "").split()
+        for w in words:
+            if w not in known:
+                known[w] = _brute(scores, floor, token_counts.MARK + w)
+        want[r["doc_id"]] = sum(known[w] for w in words), len(words)
+    got = queries.op9_token_counts(spark, sf_dir).collect()
+    assert {r["doc_id"]: (r["n_tokens"], r["n_pretokens"]) for r in got} == want and len(got) == len(want)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("abcß漢🙂", min_size=1, max_size=12), unique=True, max_size=60), st.dictionaries(st.text("abcß漢▁", min_size=1, max_size=4), st.sampled_from([-1.0, -1.5, -2.0, -3.0]), max_size=30))
+def test_counts_of_any_vocabulary(words, scores):
+    trie = token_counts.UnigramTrie(scores)
+    assert trie.count_all(words) == [_brute(scores, trie.floor, token_counts.MARK + w) for w in words]
+
+
+def test_trie_shares_prefixes_and_its_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(token_counts, "FEW", 0)
+    scores = {"a": -1.0, "ab": -1.5, "b": -1.0}
+    trie = token_counts.UnigramTrie(scores)
+    assert trie.count_all(["abab", "abaa", "ab"]) == [5, 6, 4]
+    assert trie.nodes == 6  # the mark, a, ab, aba, abab, abaa
+    assert trie.count_texts(["abab ab", None, " ", "abab"]) == [(9, 2), (0, 0), (0, 0), (5, 1)]
+    seen = trie.nodes
+    assert trie.count_texts(["ab\tabab"]) == [(9, 2)] and trie.nodes == seen + 1  # only the mark, for no words
+    monkeypatch.setattr(token_counts, "SLICE", 100)
+    small = token_counts.UnigramTrie(scores, max_kept=300)
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(rng.choice(list("abc"), n)) for n in rng.integers(1, 9, 20)) for _ in range(50)] + ["abc" * 5000]
+    assert small.count_texts(texts) == trie.count_texts(texts)
+    assert small.kept < 20_000 and sum(map(len, small.older)) < 20_000
+
+
+def test_long_texts_are_split_at_gaps(monkeypatch):
+    scores = {"a": -1.0, "ab": -1.5, "b": -1.0}
+    text = " ".join(["abab", "b", "a" * 30] * 50) + "\n"
+    want = token_counts.UnigramTrie(scores).count_texts([text, "b"])
+    monkeypatch.setattr(token_counts, "SLICE", 17)
+    assert token_counts.UnigramTrie(scores).count_texts([text, "b"]) == want
 
 
 # ---- mixing
