@@ -15,6 +15,7 @@ and sums over buckets.  No length, however frequent, is gathered in one task.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -25,31 +26,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sifterra.storage import discard, materialize, partitions
+from sifterra.storage import materialize, partitions
 
 CAPACITY = 1024
 END_ID = 2
 #: Distinct space-separated units whose ids a Python worker keeps.
 CACHE_UNITS = 300_000
-_AUDIT = 50
+#: Texts on which rank file and ``tokenizers`` file must agree before the former is used.
+PROBES = ("It's 2,000 km; isn't it?", " naïve café\n\n\tdef f(x):  return x**2", "Ωμέγα 漢字かな  한국어 ١٢٣ 🙂👍🏽", "aaaaaaaaaaaaaaaaaaaaaaaaa https://x.org/?a=b&c=%20 ---- ====")
 
 
 class UnitTokenizer:
-    """Ids of a byte-level BPE, unit by unit.
+    """Ids of a byte-level BPE, unit by unit: those of ``tokenizers`` with
+    add_special_tokens=False, so the string of a special token in a text is that token.
 
     The pattern of this vocabulary starts a new token at each single space that a
     non-space follows, so texts of single spaces split there and each distinct unit is
-    encoded once.  Other texts are encoded whole.  Encoding runs on the vocabulary's rank
-    file; at the start and then for samples it is compared with the ``tokenizers`` file,
-    and at a difference the latter is used throughout.
+    encoded once, with the vocabulary's rank file if it is given and agrees with the
+    ``tokenizers`` file on ``PROBES``.  Texts with other white space are encoded whole, and
+    those that hold a special token's string by the ``tokenizers`` file alone.
     """
 
     def __init__(self, json_path: str, rank_path: str | None, pattern: str | None) -> None:
         from tokenizers import Tokenizer
 
         self.exact = Tokenizer.from_file(json_path)
-        self.exact.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.exact.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.fast = None
+        self.cache: dict[str, bytes] = {}
         if rank_path:
             import base64
 
@@ -58,28 +63,26 @@ class UnitTokenizer:
             with open(rank_path, "rb") as file:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
             self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.cache: dict[str, bytes] = {}
-        self.audited = 0
+            if any(self._ids(t) != self._exactly(t) for t in PROBES):
+                self.fast = None
 
-    def _ids(self, text: str) -> bytes:
-        if self.fast is not None:
-            try:
-                out = np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
-            except BaseException as error:  # the rank library panics on some very long texts
-                if isinstance(error, KeyboardInterrupt | SystemExit):
-                    raise
-                return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            if self.audited < _AUDIT:
-                self.audited += 1
-                real = np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-                if real != out:
-                    self.fast = None
-                return real
-            return out
+    def _exactly(self, text: str) -> bytes:
         return np.array(self.exact.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _ids(self, text: str) -> bytes:
+        if self.fast is None:
+            return self._exactly(text)
+        try:
+            return np.array(self.fast.encode_ordinary(text), "<u4").tobytes()
+        except BaseException as error:  # the rank library panics on some very long texts
+            if isinstance(error, KeyboardInterrupt | SystemExit):
+                raise
+            return self._exactly(text)
+
     def encode(self, text: str) -> np.ndarray:
         """All ids of ``text`` as unsigned 32-bit integers."""
+        if self.special is not None and self.special.search(text):
+            return np.frombuffer(self._exactly(text), "<u4")
         units = text.split(" ")
         if "" in units or any(u[0].isspace() for u in units):
             return np.frombuffer(self._ids(text), "<u4")
