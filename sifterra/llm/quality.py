@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifterra.llm.columns import blocks, held_out, text_bytes
+from sifterra.llm.columns import BLOCK_BYTES, blocks, held_out, text_bytes
 
 WIDTH, STRIDE, FILTERS, DIM = 12, 4, 24, 6
 CHUNK = 256
@@ -37,15 +37,33 @@ class QualityModel:
     out: np.ndarray  # 2 * FILTERS
     bias: float
 
-    def score_texts(self, column: pa.Array) -> np.ndarray:
-        """Probability of label 1 of each text; an empty text is one chunk of zero bytes."""
+    def score_texts(self, column: pa.Array, block: int = BLOCK_BYTES) -> np.ndarray:
+        """Probability of label 1 of each text; an empty text is one chunk of zero bytes.  A
+        text of more than ``block`` bytes is read slice by slice."""
         raw, at = text_bytes(column)
         p = np.empty(len(column))
-        for lo, hi in blocks(at):
-            pooled, _, first = _pool(self, raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            p[lo:hi] = 1 / (1 + np.exp(-np.clip(_features(pooled, first) @ self.out + self.bias, -60, 60)))
+        for lo, hi in blocks(at, block):
+            own = raw[at[lo] : at[hi]]
+            if len(own) > block:
+                features = self._long(own, max(1, block // CHUNK) * CHUNK)
+            else:
+                pooled, _, first = _pool(self, own, at[lo : hi + 1] - at[lo])
+                features = _features(pooled, first)
+            p[lo:hi] = 1 / (1 + np.exp(-np.clip(features @ self.out + self.bias, -60, 60)))
         return p
 
+    def _long(self, raw: np.ndarray, step: int) -> np.ndarray:
+        """Features of one text from slices of whole chunks; each looks as far into the next as
+        its last windows reach."""
+        total, most, n = np.zeros(FILTERS), np.zeros(FILTERS, np.float32), 0
+        for lo in range(0, len(raw) + WIDTH - STRIDE, step):
+            last = lo + step >= len(raw) + WIDTH - STRIDE
+            part = raw[lo : lo + step + (0 if last else WIDTH - STRIDE)]
+            relu = np.maximum(_pool(self, part, np.array([0, len(part)]))[0], 0)
+            relu = relu if last else relu[: step // CHUNK]
+            total, most, n = total + relu.sum(0, dtype=np.float64), np.maximum(most, relu.max(0)), n + len(relu)
+        return np.concatenate([total / n, most])[None]
+
 
 def _layout(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Texts padded with zero bytes to whole chunks, and each text's first chunk.

@@ -1,12 +1,11 @@
 """Toxicity: subword bags averaged into a linear softmax, trained jointly in numpy.
 
-A word is the bag of its character n-grams (3 to 6 UTF-8 bytes of the lower-cased word
-with a space at either end, hashed to ``BUCKETS`` rows).  The embeddings of a window of
-``WINDOW`` words are averaged and enter a linear softmax of two classes; embeddings and
-softmax are trained together.  A text is scored by each of its windows, and the most
-toxic window counts, so that a few words in a very long text are not averaged away
-(windows of one word told held-out texts apart best).
-Misspelled words share most of their n-grams with the words they come from.
+A text is read in windows of ``WINDOW`` words, one from each word on.  A window is the bag
+of its words' character n-grams (3 to 6 UTF-8 bytes of the lower-cased word with a space
+at either end, hashed to ``BUCKETS`` rows), whose embeddings are averaged and enter a
+linear softmax of two classes; embeddings and softmax are trained together.  The most
+toxic window of a text counts, so that a few words in a very long text are not averaged
+away.  Misspelled words share most of their n-grams with the words they come from.
 
 At scoring time embedding and softmax fold into one number per bucket (both are
 linear), which gives the same score as the two steps.
@@ -22,12 +21,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifterra.llm.columns import blocks, held_out, text_bytes
+from sifterra.llm.columns import BLOCK_BYTES, blocks, held_out, text_bytes
 
 SIZES = (3, 4, 5, 6)
 BITS = 17
 BUCKETS = 1 << BITS
-WINDOW = 1
+WINDOW = 3
 DIM = 8
 #: N-grams of fewer training texts keep an embedding of zero; weight decay of the rest.
 MIN_TEXTS, DECAY = 3, 3e-6
@@ -78,14 +77,20 @@ def _padded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _windows(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start position of each window (the space before its first word) and its text."""
+def _words(raw: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start position of each word (the space before it) and its text."""
     blank = raw == 32
     first = np.flatnonzero(blank[:-1] & ~blank[1:])
-    doc = np.searchsorted(starts, first, "right") - 1
-    order = np.arange(len(first)) - np.searchsorted(doc, doc, "left")
-    lead = order % WINDOW == 0
-    return first[lead], doc[lead]
+    return first, np.searchsorted(starts, first, "right") - 1
+
+
+def _sliding(total: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each word the sum over it and the next WINDOW - 1 words of its text."""
+    out = total.copy()
+    for k in range(1, min(WINDOW, len(total))):
+        same = doc[k:] == doc[:-k]
+        out[: len(total) - k] += total[k:] * same
+    return out
 
 
 @dataclass(frozen=True)
@@ -95,24 +100,55 @@ class ToxicityModel:
     scores: np.ndarray
     offset: float
 
-    def score_texts(self, column: pa.Array) -> np.ndarray:
-        """Probability of label 1 for each text; no words: the offset alone."""
+    def score_texts(self, column: pa.Array, block: int = BLOCK_BYTES) -> np.ndarray:
+        """Probability of label 1 for each text; no words: the offset alone.  A text of more
+        than ``block`` bytes is read slice by slice."""
         raw, at = text_bytes(column)
         out = np.full(len(column), self.offset, np.float64)
-        for lo, hi in blocks(at):
-            low, starts = _padded(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-            begin, doc = _windows(low, starts)
-            if not len(begin):
+        for lo, hi in blocks(at, block):
+            own = raw[at[lo] : at[hi]]
+            if len(own) > block:
+                out[lo] += self._long(own, block)
                 continue
-            total, count = np.zeros(len(low), np.float32), np.zeros(len(low), np.int8)
-            for bucket, ok in _grams(low):
-                total[: len(ok)] += np.where(ok, self.scores[bucket], np.float32(0))
-                count[: len(ok)] += ok
-            mean = np.add.reduceat(total, begin, dtype=np.float64) / np.maximum(1, np.add.reduceat(count, begin, dtype=np.int64))
-            some, first = np.unique(doc, return_index=True)
-            out[lo + some] = np.maximum.reduceat(mean, first) + self.offset
+            sums, counts, doc = self._word_sums(own, at[lo : hi + 1] - at[lo])
+            if len(doc):
+                mean = _sliding(sums, doc) / np.maximum(1, _sliding(counts, doc))
+                some, first = np.unique(doc, return_index=True)
+                out[lo + some] = np.maximum.reduceat(mean, first) + self.offset
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
+    def _word_sums(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(sum of n-gram scores, n-grams, text) of each word."""
+        low, starts = _padded(raw, at)
+        begin, doc = _words(low, starts)
+        total, count = np.zeros(len(low), np.float32), np.zeros(len(low), np.int8)
+        for bucket, ok in _grams(low):
+            total[: len(ok)] += np.where(ok, self.scores[bucket], np.float32(0))
+            count[: len(ok)] += ok
+        if not len(begin):
+            return np.zeros(0), np.zeros(0, np.int64), doc
+        return np.add.reduceat(total, begin, dtype=np.float64), np.add.reduceat(count, begin, dtype=np.int64), doc
+
+    def _long(self, raw: np.ndarray, block: int) -> float:
+        """Best window of one text, in slices that end at spaces; the last words of a slice
+        are carried into the next."""
+        best, sums, counts, lo = -np.inf, np.zeros(0), np.zeros(0, np.int64), 0
+        while lo < len(raw):
+            hi = min(lo + block, len(raw))
+            while hi < len(raw):
+                blank = np.flatnonzero(_LOWER[raw[hi : hi + 4096]] == 32)
+                hi += int(blank[0]) if len(blank) else len(raw[hi : hi + 4096])
+                if len(blank):
+                    break
+            s, c, _ = self._word_sums(raw[lo:hi], np.array([0, hi - lo]))
+            sums, counts = np.concatenate([sums, s]), np.concatenate([counts, c])
+            one = np.zeros(len(sums), np.int32)
+            mean = _sliding(sums, one) / np.maximum(1, _sliding(counts, one))
+            whole = max(0, len(mean) - WINDOW + 1) if hi < len(raw) else len(mean)  # the others go on
+            best = max(best, mean[:whole].max(initial=-np.inf))
+            sums, counts, lo = sums[whole:], counts[whole:], hi
+        return best if best > -np.inf else 0.0
+
 
 def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax together by Adam on the whole sample at each step.
@@ -129,32 +165,10 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
         aside = np.arange(len(y)) % 5 == 4
         check, y_check = [t for t, a in zip(texts, aside, strict=True) if a], y[aside]
         texts, y = [t for t, a in zip(texts, aside, strict=True) if not a], y[~aside]
-    raw, at = text_bytes(pa.array(texts, pa.string()))
-    cols, counts, docs = [], [], []
-    texts_with = np.zeros(BUCKETS, np.int32)
-    for lo, hi in blocks(at, TRAIN_BLOCK):
-        low, starts = _padded(raw[at[lo] : at[hi]], at[lo : hi + 1] - at[lo])
-        begin, doc = _windows(low, starts)
-        if not len(begin):
-            continue
-        col, row = [], []
-        for bucket, ok in _grams(low):
-            p = np.flatnonzero(ok)
-            row.append((np.searchsorted(begin, p, "right") - 1).astype(np.int32))
-            col.append(bucket[p])
-        row, col = np.concatenate(row), np.concatenate(col)
-        order = np.argsort(row, kind="stable")
-        cols.append(col[order])
-        counts.append(np.bincount(row, minlength=len(begin)))
-        docs.append(doc + lo)
-        both = np.unique(doc[row] * BUCKETS + col)
-        texts_with += np.bincount(both % BUCKETS, minlength=BUCKETS).astype(np.int32)
-    if not cols:
+    word_of, doc, grams, ends, texts_with = _bags(texts)
+    if not len(word_of):
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0)
-    col, doc, size = np.concatenate(cols), np.concatenate(docs), np.concatenate(counts)
-    del cols, counts, docs, raw
-    ends = np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
-    size = np.maximum(1, size).astype(np.float32)
+    size = np.maximum(1, _sliding(np.diff(ends)[word_of], doc)).astype(np.float32)
     some, first = np.unique(doc, return_index=True)
     last = np.append(first[1:], len(doc))
     y = y[some]
@@ -165,22 +179,20 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
     bias = np.zeros(2, np.float32)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, out, bias)]
     text_of = np.repeat(np.arange(len(some)), last - first)
-    parts = list(range(0, len(size), 1 << 16))  # windows whose n-grams are handled at once
+    gram_word = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
     for step in range(1, epochs + 1):
         side = out[:, 1] - out[:, 0]
         margin = (emb @ side).astype(np.float32)
-        window = np.add.reduceat(margin[col], np.minimum(ends[:-1], len(col) - 1)) / size
+        word = np.bincount(gram_word, margin[grams], len(ends) - 1)
+        window = _sliding(word[word_of], doc) / size
         # windows share a text's gradient by their scores, ever more sharply
         sharp = np.exp(np.minimum(1.0, step / (0.7 * epochs)) * SHARPNESS * (window - np.maximum.reduceat(window, first)[text_of]))
         share = sharp / np.add.reduceat(sharp, first)[text_of]
         logit = np.add.reduceat(share * window, first) + bias[1] - bias[0]
         g = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * weight
-        each = (g[text_of] * share / size).astype(np.float32)
-        flow = np.zeros(BUCKETS)
-        for lo in parts:
-            hi = min(lo + (1 << 16), len(size))
-            a, b = ends[lo], ends[hi]
-            flow += np.bincount(col[a:b], np.repeat(each[lo:hi], np.diff(ends[lo : hi + 1])), BUCKETS)
+        # a word takes part in the windows that start at it and at the WINDOW - 1 before it
+        each = _sliding((g[text_of] * share / size)[::-1], doc[::-1])[::-1]
+        flow = np.bincount(grams, np.bincount(word_of, each, len(ends) - 1)[gram_word], BUCKETS)
         flow *= common
         pull = (flow @ emb).astype(np.float32)
         grads = ((flow[:, None] * side).astype(np.float32) + DECAY * emb, np.stack([-pull, pull], 1), np.array([-g.sum(), g.sum()], np.float32))
@@ -194,6 +206,41 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
     return model if not check else _calibrated(model, check, y_check)
 
 
+def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words' n-grams, once: (number of each word, text of each word, n-grams of word
+    i at ends[i]:ends[i + 1], ends, texts that hold each n-gram)."""
+    raw, at = text_bytes(pa.array(texts, pa.string()))
+    number: dict[bytes, int] = {}
+    word_of, docs = [], []
+    for lo, hi in blocks(at, TRAIN_BLOCK):
+        for i in range(lo, hi):
+            words = _LOWER[raw[at[i] : at[i + 1]]].tobytes().split(b" ")
+            mine = [number.setdefault(w, len(number)) for w in words if w]
+            word_of.append(np.array(mine, np.int32))
+            docs.append(np.full(len(mine), i, np.int32))
+    word_of, doc = (np.concatenate([*x, np.zeros(0, np.int32)]) for x in (word_of, docs))
+    texts_with = np.zeros(BUCKETS, np.int32)
+    if not number:
+        return word_of, doc, np.zeros(0, np.int32), np.zeros(1, np.int64), texts_with
+    low = np.frombuffer(b" " + b" ".join(number) + b" ", np.uint8)
+    begin, _ = _words(low, np.zeros(2, np.int64))
+    grams, rows = [], []
+    for bucket, ok in _grams(low):
+        p = np.flatnonzero(ok)
+        rows.append((np.searchsorted(begin, p, "right") - 1).astype(np.int32))
+        grams.append(bucket[p])
+    rows, grams = np.concatenate(rows), np.concatenate(grams)
+    order = np.argsort(rows, kind="stable")
+    grams, ends = grams[order], np.concatenate([[0], np.cumsum(np.bincount(rows, minlength=len(number)))])
+    first = np.searchsorted(doc, np.arange(len(texts) + 1))
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        w = np.unique(word_of[a:b])
+        size = ends[w + 1] - ends[w]
+        at_ = np.repeat(ends[w] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        texts_with[np.unique(grams[at_])] += 1
+    return word_of, doc, grams, ends, texts_with
+
+
 def _calibrated(model: ToxicityModel, texts: list[str], y: np.ndarray) -> ToxicityModel:
     """Move the offset to where texts not learnt from are told apart best (F1 at 1/2, clean texts weighted)."""
     p = np.clip(model.score_texts(pa.array(texts, pa.string())), 1e-12, 1 - 1e-12)

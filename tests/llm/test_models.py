@@ -106,3 +106,37 @@ def test_quality_pooling_against_brute_force():
         pooled.append(np.maximum(np.max(rows, 0), 0))
     want = 1 / (1 + np.exp(-(np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)]) @ model.out + 0.1)))
     assert abs(model.score_texts(pa.array([text]))[0] - want) < 1e-4
+
+
+def test_long_texts_score_alike_in_slices(model):
+    rng = np.random.default_rng(4)
+    words = _texts(40, 9, _toxic)
+    net = quality.train(words, np.arange(40) % 2, epochs=2)
+    for n in (300, 5000, 40_000):
+        text = " ".join(rng.choice(" ".join(words).split(), n // 5))[:n] + " \u00e9" * 3
+        for m in (model, net):
+            whole = m.score_texts(pa.array([text, "a", text]))
+            for block in (256, 700, 4096):
+                assert np.allclose(m.score_texts(pa.array([text, "a", text]), block), whole, atol=1e-5)
+    blank = pa.array([" " * 9000, "x" * 9000])
+    assert np.allclose(model.score_texts(blank, 300), model.score_texts(blank))
+
+
+def test_a_window_averages_several_words():
+    assert toxicity.WINDOW > 1
+    scores = np.zeros(toxicity.BUCKETS, np.float32)
+    m = toxicity.ToxicityModel(scores + np.float32(1), 0.0)
+    assert np.allclose(m.score_texts(pa.array(["aa bb cc dd"])), 1 / (1 + np.exp(-1)))
+    total, doc = np.arange(1.0, 7.0), np.array([0, 0, 0, 0, 1, 1])
+    assert toxicity._sliding(total, doc).tolist() == [6.0, 9.0, 7.0, 4.0, 11.0, 6.0]
+
+
+def test_models_take_empty_tables_and_repeated_rows(spark, model):
+    net = quality.train(_texts(20, 9, _toxic), np.arange(20) % 2, epochs=1)
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (None, "idiot", None), (3, None, "y"), (4, "", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
+    for scored in (toxicity.score_toxicity, quality.score_quality):
+        m = model if scored is toxicity.score_toxicity else net
+        got = scored(docs, m).collect()
+        assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got) and sum(r["doc_id"] == 1 for r in got) == 2
+        assert scored(docs.limit(0), m).count() == 0
