@@ -17,6 +17,8 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifterra.storage import partitions
+
 # Character classes of surrogates.
 CLASSES = [
     "0123456789",
@@ -51,7 +53,7 @@ _PERSON = r"(?:" + TITLE + r")?(?:" + "|".join(n for names in FIRST_NAMES.values
 SECRET_NAME = r"(?i:token|secret|passw(?:or)?d|api[_-]?key)"
 PATTERNS = {
     "secret": SECRET_NAME + r"(?i:[_-]?(?:access[_-]?)?key)?(?:\\?[\"'])?\s{0,3}[=:]\s{0,3}(?:\\?[\"']|(?!" + _PERSON + r"))[A-Za-z0-9+/_.\-]{8,}+(?!@)",
-    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]+(?:\.[\p{L}\p{N}\-]+)+",
+    "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}_][\p{L}\p{N}._%+\-]*+@[\p{L}\p{N}\-]++(?:\.[\p{L}\p{N}\-]++)++",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ssn": r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "phone": r"(?<![\d+])(?:\+1[ .\-]?\(?\d{3}\)?[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1[ .\-(])\d{1,3}(?:[ .\-]?\(?\d{2,4}\)?){2,5}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?!\d)",
@@ -66,7 +68,9 @@ DETECT = (
     + r"|(?=[\p{Lu}\p{Lo}])(?:" + PATTERNS["iban"] + "|" + PATTERNS["person"] + ")"
     + r"|(?=[\d+(])(?:" + "|".join(PATTERNS[k] for k in ("ssn", "phone", "ip", "card")) + ")"
 )
-#: A cheap look at the whole text: where this finds nothing, DETECT would find nothing.
+#: A cheap look at the whole text: every match of DETECT holds a match of this.  By kind:
+#: secrets hold their name, e-mails "@", the others a digit and what must follow it at the
+#: least, persons a title or the rest of a first name after its first letter.
 _NAMES = [n for names in FIRST_NAMES.values() for n in names]
 QUICK = r"@|\d[\d .()\-]{4}|[A-Z]{2}\d{2} ?[A-Z0-9]{4}|" + SECRET_NAME + "|[" + "".join(sorted({n[0] for n in _NAMES} | set("MDP"))) + "](?:" + "|".join([n[1:] for n in _NAMES] + [r"rs?\. ", r"s\. ", r"rof\. "]) + ")"
 #: Tried until a surrogate obeys its rule; a miss has a probability below 1e-12.
@@ -200,6 +204,8 @@ def _found(text: str) -> str:
 def entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(value, n, kind, surrogate) for each distinct entity of the table."""
     each = docs.select(F.explode(F.expr(_found("text"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+    # few bytes but much work: a fixed number of partitions, which are not joined
+    each = each.repartition(partitions(docs.sparkSession), "value")
     return each.withColumn("made", F.expr(surrogate_sql("value", key))).select("value", "n", "made.*")
 
 
@@ -210,16 +216,18 @@ def collisions(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
 
 
 def _replaced(docs: DataFrame, key: str, check: bool) -> DataFrame:
-    """``docs`` with __pii: the replaced text and the kinds found in it."""
+    """(row, pii): each row as a struct of all its columns, the replaced text and the kinds
+    found in it."""
     if check and (bad := collisions(docs.select("text"), key).limit(1).collect()):
         raise ValueError(f"two values of kind {bad[0]['kind']} share a surrogate: take another key")
 
     def whole(made: str) -> str:
-        text = f"if(size({made}) = 0, text, array_join(zip_with(split(text, {_quoted(DETECT)}, -1), {made}, (p, e) -> concat(p, coalesce(e.surrogate, ''))), ''))"
+        text = f"if(size({made}) = 0, row.text, array_join(zip_with(split(row.text, {_quoted(DETECT)}, -1), {made}, (p, e) -> concat(p, coalesce(e.surrogate, ''))), ''))"
         return f"named_struct('text', {text}, 'kinds', transform({made}, e -> e.kind))"
 
-    made = f"transform({_found("coalesce(text, '')")}, m -> {surrogate_sql('m', key)})"
-    return docs.withColumn("__pii", F.expr(_let(made, whole)))
+    made = f"transform({_found("coalesce(row.text, '')")}, m -> {surrogate_sql('m', key)})"
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return rows.withColumn("pii", F.expr(_let(made, whole)))
 
 
 def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY, check: bool = True) -> DataFrame:
@@ -228,11 +236,11 @@ def replace_pii(docs: DataFrame, key: str = DEFAULT_KEY, check: bool = True) ->
     Rows are independent: nothing is joined, and a table of any size is one pass (two
     with ``check``, which raises ValueError if two values of the table share a surrogate).
     Null texts stay null, empty and clean ones unchanged; repeated rows give repeated
-    results; only ``text`` is read, whatever the other columns are called (``__pii``
-    excepted).  An empty table gives an empty one.
+    results; only ``text`` is read, whatever the other columns are called.  An empty table
+    gives an empty one.
     """
     made = _replaced(docs, key, check)
-    return made.select(*[F.col("__pii.text").alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+    return made.select(*[F.col("pii.text").alias("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def surrogate_report(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
@@ -243,4 +251,4 @@ def surrogate_report(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = _replaced(base, key, True)
-    return made.select("doc_id", F.size("__pii.kinds").alias("n_entities"), F.array_join("__pii.kinds", ",").alias("kinds"), "__pii.text")
+    return made.select("row.doc_id", F.size("pii.kinds").alias("n_entities"), F.array_join("pii.kinds", ",").alias("kinds"), "pii.text")

@@ -56,7 +56,6 @@ def test_packing_holds_every_token(stages):
     from tokenizers import Tokenizer
 
     tok = Tokenizer.from_file(queries.tokenizer_paths()[0])
-    tok.encode_special_tokens = True
     want = sum(len(tok.encode(r["text"], add_special_tokens=False).ids) + 1 for r in stages[4].collect())
     rows = stages[5].toPandas()
     assert rows.length.sum() == want

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import plain_pii
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -370,3 +371,56 @@ def test_upper_case_hex_secrets_stay_distinct(spark):
     rows = [f'TOKEN = "{i:08X}"' for i in range(0, 600_000_000, 400_000)] + [f'token = "{i:08x}"' for i in range(0, 600_000_000, 400_000)]
     docs = spark.createDataFrame([(" ; ".join(rows[i : i + 50]),) for i in range(0, len(rows), 50)], "text string")
     assert pii.collisions(docs).count() == 0
+
+
+def test_personal_data_query_against_the_plain_version(spark, sf_dir):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    got = queries.op10_pii(spark, sf_dir).collect()
+    assert len(got) == len(docs) and sum(r["n_entities"] for r in got)
+    for r in got:
+        text, kinds = plain_pii.replaced(docs[r["doc_id"]] or "")
+        assert (r["text"] or "", r["kinds"], r["n_entities"]) == (text, ",".join(kinds), len(kinds)), r["doc_id"]
+
+
+_PARTS = ["MT84 MALT ABCD EFGH", "GB82WEST12345698765432", "a.b@x-y.co.uk", "token = 'abcdefgh12'", "AWS_SECRET_KEY: QWERTY123456", "123-45-6789", "+49 30 1234567", "+1 (212) 555-0199", "(212) 555-0199", "212.555.0199",
+          "10.2.3.4", "4111 1111 1111 1111", "4111-1111-1111-1112", "Mr. Bean", "Prof. Özil", "Mary J. Smith", "Анна Павлова", "فاطمہ خان", "James", "password", "x@", "+7", "12", "AB12", ".", "-", " ", "(", "é", "Dr", "=", ":"]
+
+
+def test_the_quick_look_misses_nothing(spark):
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(_PARTS, rng.integers(1, 5))) for _ in range(3000)]
+    texts += ["".join(rng.choice(list("+()-. 0123456789AB@:=tokenMDPrs"), rng.integers(5, 30))) for _ in range(5000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    found, quick = (F.expr(f"text rlike {pii._quoted(p)}") for p in (pii.DETECT, pii.QUICK))
+    assert rows.where(found).count() > 2000 and rows.where(found & ~quick).count() == 0
+
+
+def test_personal_data_in_very_long_texts(spark):
+    texts = ["x a@" + "b." * 100_000 + "com", "1" * 500_000, "a." * 250_000 + "@", "A" * 500_000, "secret=" + "Ab1" * 10_000, None, ""]
+    docs = _edge(spark, *texts).withColumns({"row": F.lit(1), "pii": F.lit("p"), "__pii": F.lit("q")})
+    got = {r["doc_id"]: r for r in pii.surrogate_report(docs).collect()}
+    assert [got[i]["kinds"] for i in range(7)] == ["email", "", "", "", "secret", "", ""]
+    assert all(len(got[i]["text"]) == len(texts[i]) for i in range(5)) and got[5]["text"] is None and got[6]["text"] == ""
+    kept = pii.replace_pii(docs, check=False)
+    assert kept.columns == docs.columns and kept.where("row = 1 and pii = 'p' and __pii = 'q'").count() == 7
+    assert pii.replace_pii(docs.limit(0)).count() == 0
+
+
+def test_mixing_of_large_rates_and_clashing_names(spark):
+    rows = [(1, "a", "s", 7.0, "c", 3), (1, "a", "s", 7.0, "c", 3), (2, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, rate double, copy string, __cdf int").withColumns({"row": F.lit(1), "__at": F.lit(2), "n_copies": F.lit("n")})
+    big = mixing.poisson_tables(mixing.repetition_rates(docs, total=1e9)).agg(F.max(F.size("__cdf"))).first()[0]
+    assert big < 1_000_000
+    out = mixing.mixed_rows(docs, total=20_000)
+    assert out.columns == docs.columns and abs(out.count() - 20_000) < 900
+    assert {tuple(r) for r in out.distinct().collect()} == {tuple(r) for r in docs.distinct().collect()}
+    drawn = mixing.mix_sources(docs, total=20_000).groupBy("doc_id", "n_copies").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("copy").alias("k")).collect()
+    assert all(r["k"] == r["n_copies"] and r["n"] == r["n_copies"] * (2 if r["doc_id"] == 1 else 1) for r in drawn)
+
+
+@pytest.mark.parametrize("rate", [0.3, 5.0, 400.0, 25_000.0])
+def test_poisson_window_is_the_distribution(spark, rate):
+    r = mixing.poisson_tables(spark.createDataFrame([("s", 1, rate)], "source string, n_docs long, rate double")).first()
+    cdf, low = np.array(r["__cdf"]), r["__low"]
+    log = np.cumsum([-rate, *(np.log(rate / k) for k in range(1, low + len(cdf)))])
+    assert np.allclose(cdf, np.cumsum(np.exp(log))[low:], atol=1e-10) and abs(cdf[-1] - 1) < 1e-12
