@@ -2,7 +2,8 @@
 
 No group is ever gathered: each step is a partial ``min`` per node and an equi-join
 that adaptive execution may split.  Before the loop each partition contracts its own
-edges to a forest, which leaves at most one edge per node and partition.
+edges to a forest, which leaves at most one edge per node and partition (and per
+``FOREST_NODES`` nodes, which bounds a task's memory).
 """
 
 from __future__ import annotations
@@ -15,6 +16,9 @@ from pyspark.sql import functions as F
 
 from sifterra.storage import discard, materialize
 
+#: Nodes that a task contracts at once; edges, after contraction, that one task may finish.
+FOREST_NODES, LAST_EDGES = 1_000_000, 20_000
+
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     root: dict = {}
@@ -24,15 +28,21 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             root[x] = x = root.setdefault(up, up)
         return x
 
+    def flush() -> Iterator[pa.RecordBatch]:
+        nodes = [x for x in root if find(x) != x]
+        for at in range(0, len(nodes), 100_000):
+            part = nodes[at : at + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
+        root.clear()
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             a, b = find(a), find(b)
             if a != b:
                 root[max(a, b)] = min(a, b)
-    nodes = [x for x in root if find(x) != x]
-    for at in range(0, len(nodes), 100_000):
-        part = nodes[at : at + 100_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([find(x) for x in part], pa.int64())], ["u", "v"])
+        if len(root) > FOREST_NODES:
+            yield from flush()
+    yield from flush()
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -44,6 +54,10 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     """
     start = edges.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).where("u is not null and v is not null and u <> v")
     e = materialize(start.mapInArrow(_forest, "u long, v long").distinct(), "edges")
+    if e.count() <= LAST_EDGES:  # a bounded rest: one task contracts it to its components
+        last = materialize(e.coalesce(1).mapInArrow(_forest, "u long, v long"), "edges")
+        discard(e)
+        return _labels(last)
     seen = None
     for _ in range(max_rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -60,4 +74,9 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         seen = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _labels(e)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    own = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(own)
