@@ -202,17 +202,16 @@ def signatures(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def frequent_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of at least SAMPLE_HITS of SAMPLE_TEXTS sampled texts (bounded)."""
+    """Shingles of at least SAMPLE_HITS of SAMPLE_TEXTS sampled texts (bounded): the texts are
+    read by executors, the driver gets hashes."""
     texts = docs.where(F.octet_length("text") < 100_000).select("text").limit(SAMPLE_TEXTS * 4).orderBy(F.xxhash64("text")).limit(SAMPLE_TEXTS)
-    got = [pa.array([r["text"] for r in texts.collect()], pa.string())]
-    values, _ = shingle_sets(got[0])
-    v, n = np.unique(values, return_counts=True)
-    return v[n >= SAMPLE_HITS]
+    each = shingle_arrays(texts).select(F.explode("shingles").alias("s")).groupBy("s").count().where(F.col("count") >= SAMPLE_HITS)
+    return np.sort(each.select("s").toArrow()["s"].combine_chunks().to_numpy().view(np.uint64))
 
 
-_MADE = "kind int, bucket int, a long, b long, c long, sigs binary, keys binary"
-_NAMES = ["kind", "bucket", "a", "b", "c", "sigs", "keys"]
-_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+_MADE = "kind int, bucket int, a long, b long, c long, h long, sigs binary, keys binary"
+_NAMES = ["kind", "bucket", "a", "b", "c", "h", "sigs", "keys"]
+_TYPES = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
 _DOC, _SIG, _PAIR, _MEMBER = 0, 1, 2, 3
 
 
@@ -246,7 +245,7 @@ def _emit(frequent, n_buckets: int, flush_at: int = 1 << 21):
                 key = set_keys(values, at)
                 doc = part.column(0)
                 salt = (_mix(key + np.arange(lo, lo + len(key)).astype(np.uint64)) % np.uint64(n_buckets)).astype(np.int32)
-                yield _rows(len(key), kind=np.full(len(key), _DOC, np.int32), bucket=salt, a=doc, b=np.diff(at), c=key.view(np.int64), sigs=[parity_sketch(values[i:j]) for i, j in zip(at[:-1], at[1:])])
+                yield _rows(len(key), kind=np.full(len(key), _DOC, np.int32), bucket=salt, a=doc, b=np.diff(at), c=key.view(np.int64), h=part.column(2), sigs=[parity_sketch(values[i:j]) for i, j in zip(at[:-1], at[1:])])
                 for i, k in enumerate(key.tolist()):
                     if k and k not in seen:
                         seen.add(k)
@@ -271,7 +270,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mine = batch.filter(pa.array(kind == _DOC))
         if len(mine):
             yield mine
-        for s, k in zip(batch.column(5), batch.column(6), strict=True):
+        for s, k in zip(batch.column(6), batch.column(7), strict=True):
             if k.is_valid:
                 sigs.append(np.frombuffer(s.as_py(), np.uint64))
                 keys.append(np.frombuffer(k.as_py(), np.uint64))
@@ -450,14 +449,27 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     component_id (null where there is no other), though its text links others.  Repeated
     rows give repeated results.  An empty table gives an empty one.
     """
+    rows, of_set = _components(docs)
+    lows = of_set.groupBy("comp").agg(F.min("least.doc_id").alias("component_id"))
+    # written, so that adaptive execution can split the rows of a frequent set in the join
+    named = materialize(of_set.join(lows, "comp").select("key", "component_id"), "components")
+    out = rows.join(named, "key", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, n_shingles, key, h) of ``docs``, h the hash of the text, and one row (key,
+    comp, least) for each set that is not empty: its component and, of its rows, the least
+    (doc_id is null, doc_id, h)."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = docs.count()
     buckets = partitions(spark, -(-n // ROWS_PER_BUCKET))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
-    emitted = docs.mapInArrow(_emit(frequent, buckets), _MADE)
+    emitted = docs.withColumn("h", F.xxhash64("text")).mapInArrow(_emit(frequent, buckets), _MADE)
     made = materialize(emitted.repartition(buckets, "bucket").mapInArrow(_collide, _MADE), "signatures")
-    rows = made.where(F.col("kind") == _DOC).select("a", "b", "c")
+    frequent.destroy()
+    rows = made.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"), "h")
     pairs = materialize(made.where(F.col("kind") == _PAIR).select("a", "b").distinct(), "pairs")
     members = made.where(F.col("kind") == _MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_key"))
     wanted = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
@@ -467,25 +479,38 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     y = info.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ka", "kb")
     bounded = materialize(both.mapInArrow(_bounded, "a long, b long, na long, nb long, differ long"), "bounded")
+    discard(pairs)
     near = bounded.where("9 * differ <= na + nb").select("a", "b")
     wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
     links = materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links")
+    discard(bounded)
+    comp = materialize(connected_components(links), "labels")
+    discard(links)
     if members.limit(1).count():
-        links = _large_groups(docs, info, members, links)
-    comp = connected_components(links)
-    key_of = rows.select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"))
-    # each set's smallest id, then each component's
-    least = key_of.where("key <> 0").groupBy("key").agg(F.min("doc_id").alias("low"))
-    of_set = least.join(comp, least["key"] == comp["node"], "left").select("key", "low", F.coalesce("component", "key").alias("comp"))
-    lows = of_set.groupBy("comp").agg(F.min("low").alias("component_id"))
-    of_set = of_set.join(lows, "comp").select("key", "component_id")
-    out = key_of.join(of_set, "key", "left").select("doc_id", "n_shingles", F.when(F.col("key") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-    discard(pairs)
+        comp = _large_groups(docs, info, members, comp)
+    of_row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")
+    least = rows.where("key <> 0").groupBy("key").agg(F.min(of_row).alias("least"))
+    of_set = least.join(comp, least["key"] == comp["node"], "left").select("key", F.coalesce("component", "key").alias("comp"), "least")
+    return rows, materialize(of_set, "sets")
+
+
+def _united(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Labels (node, component) after further links: only the labels' own components are
+    searched again."""
+    ends = links
+    for end in ("src", "dst"):
+        label = comp.select(F.col("node").alias(end), F.col("component").alias("__c"))
+        ends = ends.join(label, end, "left").withColumn(end, F.coalesce("__c", end)).drop("__c")
+    moved = connected_components(ends).select(F.col("node").alias("component"), F.col("component").alias("__to"))
+    kept = comp.join(moved, "component", "left").select("node", F.coalesce("__to", "component").alias("component"))
+    new = moved.join(comp, moved["component"] == comp["node"], "left_anti").select(F.col("component").alias("node"), F.col("__to").alias("component"))
+    out = materialize(kept.unionAll(new), "labels")
+    discard(comp)
     return out
 
 
-def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, links: DataFrame) -> DataFrame:
-    """``links`` and those of the large groups that the stars have not found.
+def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, comp: DataFrame) -> DataFrame:
+    """Labels ``comp`` after the links of the large groups that the stars have not found.
 
     Groups within one component are done.  In the others sets of different components are
     screened by their sketches, in tasks of two blocks at most, and what passes is compared
@@ -495,11 +520,10 @@ def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, links: D
     """
     spark = members.sparkSession
     for nearest in (*[NEAREST] * NEAREST_ROUNDS, 0):
-        comp = connected_components(links)
         named = members.join(comp, members["set_key"] == comp["node"], "left").select("sig", "set_key", F.coalesce("component", "set_key").alias("comp"))
         # groups with the same members are screened once
-        prints = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
-        once = prints.groupBy("size", "sum").agg(F.min("sig").alias("sig")).select("sig", "size")
+        prints = named.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("set_key").cast("decimal(38,0)")).alias("sum"), F.sum(F.xxhash64(F.lit(7), "set_key").cast("decimal(38,0)")).alias("sum2"), F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1")
+        once = prints.groupBy("size", "sum", "sum2").agg(F.min("sig").alias("sig")).select("sig", "size")
         rows = materialize(named.join(once, "sig"), "groups")
         if not rows.limit(1).count():
             discard(rows)
@@ -516,8 +540,11 @@ def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, links: D
         near = materialize(tasks.select("task", "set_key", "n", "comp", "sketch").mapInArrow(_screen(nearest), "a long, b long").distinct(), "screened")
         discard(rows)
         wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
-        links = links.unionAll(materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links"))
-    return links
+        links = materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links")
+        discard(near)
+        comp = _united(comp, links)
+        discard(links)
+    return comp
 
 
 def _links(checked: DataFrame) -> DataFrame:
@@ -525,16 +552,22 @@ def _links(checked: DataFrame) -> DataFrame:
 
 
 def keep_representatives(docs: DataFrame) -> DataFrame:
-    """Rows of ``docs``, all columns, that represent their component: the smallest doc_id.
+    """Rows of ``docs``, all columns, that represent their component: of each one row, that
+    of the smallest doc_id (null ids last; of equal ids the one of the least text hash).
 
-    Of rows that repeat the kept id one stays.  Rows without an id stay only if nothing
-    with an id links with them, one of each component.
+    Rows whose text has no words link with nothing and all stay.  Of rows that agree in id
+    and text the one whose other columns come first as JSON stays.
     """
-    stand_in = F.lit(1 << 62) + F.pmod(F.xxhash64("text"), F.lit(1 << 61))
-    named = docs.withColumn("__sft_id", F.coalesce(F.col("doc_id").cast("long"), stand_in))
-    comp = jaccard_components(named.select(F.col("__sft_id").alias("doc_id"), "text"))
-    ids = materialize(comp.where("doc_id = component_id").groupBy("doc_id").count(), "kept")
-    kept = named.join(ids.select(F.col("doc_id").alias("__sft_id")), "__sft_id", "left_semi")
-    if ids.where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["__sft_id"])
-    return kept.select(*docs.columns)
+    rows, of_set = _components(docs)
+    first = of_set.groupBy("comp").agg(F.min("least").alias("x")).select(F.col("x.doc_id").alias("__id"), F.col("x.h").alias("__h"))
+    same = rows.where("key <> 0").groupBy("doc_id", "h").agg(F.count(F.lit(1)).alias("__n"))
+    first = materialize(first.join(same, F.col("__id").eqNullSafe(F.col("doc_id")) & (F.col("__h") == F.col("h"))).select("__id", "__h", "__n"), "kept")
+    named = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    wordless = F.coalesce(~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    mine = F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    kept = named.where(~wordless).join(first, mine).select("row", "id", "__h", "__n")
+    out = kept.where("__n = 1").select("row").unionAll(named.where(wordless).select("row"))
+    if first.where("__n > 1").limit(1).count():
+        repeated = kept.where("__n > 1").groupBy("id", "__h").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        out = out.unionAll(repeated.select("row"))
+    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns])

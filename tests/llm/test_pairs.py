@@ -190,3 +190,15 @@ def test_audit_notices_a_graph_that_finds_only_itself():
     assert hnsw.near(lost, y.astype(np.float32), y, y, 0.95, (keys[:300], keys[:300]))[1] > max(seen) == hnsw.BEAM
     a, b = hnsw._audit(x, x, 0.95, (keys, keys))
     assert len(a) >= 200 and (a != b).all()
+
+
+def test_representatives_of_repeated_ids_ties_and_clashing_names(spark):
+    a, b, c = ("one two three four five six seven", "uno dos tres cuatro cinco seis siete", "x y")
+    rows = [(0, b), (1, a), (1, b), (2, a), (None, a), (None, c), (None, c), (5, None), (5, ""), (5, ""), (6, " \t"), (7, a + " "), (0, b)]
+    docs = spark.createDataFrame([(*r, i, {"k": i}) for i, r in enumerate(rows)], "doc_id long, text string, __n int, row map<string,int>")
+    kept = jaccard.keep_representatives(docs)
+    assert kept.columns == docs.columns
+    got = sorted((r["__n"], r["doc_id"], r["text"]) for r in kept.collect())
+    # one row of each text group; rows without words all stay; the first of two equal rows
+    assert [g[0] for g in got] == [0, 1, 5, 7, 8, 9, 10]
+    assert jaccard.keep_representatives(docs.limit(0)).count() == 0
