@@ -24,11 +24,13 @@ BIDI_CHARS = "\u200e\u200f\u202a\u202b\u202c\u202d\u202e\u2066\u2067\u2068\u2069
 MATH = "(?s)\\$\\$.+?\\$\\$|\\$[^$]+\\$"
 DIACRITICS = "[\u064b-\u065f\u0670\u0610-\u061a\u0640]"
 PUNCTUATION = "[\u200f\u200e,\u060c.\u06d4?\u061f!:;\"'\u201c\u201d\u2018\u2019()\\[\\]{}<>\u2014\u2013\\-_/\\\\|]"
-ENGLISH_WORDS = (
-    "the is are was were be been a an and or not of in on at to for with from by as this that "
-    "these those what who whom where when why which how has have had do does did will would should could "
-    "can may might must i you he she it we they us our his her their my your one two three all some"
-).split()
+ENGLISH_WORDS = [
+    "the", "is", "are", "was", "were", "be", "been", "a", "an", "and", "or", "not", "of", "in", "on", "at",
+    "to", "for", "with", "from", "by", "as", "this", "that", "these", "those", "what", "who", "whom", "where", "when", "why",
+    "which", "how", "has", "have", "had", "do", "does", "did", "will", "would", "should", "could", "can", "may", "might", "must",
+    "i", "you", "he", "she", "it", "we", "they", "us", "our", "his", "her", "their", "my", "your", "one", "two",
+    "three", "all", "some",
+]
 ERROR_PREFIXES = ("ERROR", "CONNECTION_FAILED", "EMPTY_OUTPUT")
 PREFIX_LETTERS = {"A": "\u0627\u0644\u0641|\u0623|A", "B": "\u0628|B", "C": "\u062c|C", "D": "\u062f|D", "E": "\u06be|\u06c1|E"}
 ANSWER_LETTERS = {"\u0627": "A", "\u0623": "A", "\u0625": "A", "\u0622": "A", "\u0628": "B", "\u062c": "C", "\u062f": "D"}
@@ -95,7 +97,7 @@ def strip_option_prefix(value: Column, key: Column) -> Column:
     """An option's own letter, with its delimiter, off its text; a leading mark stays."""
     out = value
     for letter, names in PREFIX_LETTERS.items():
-        pattern = f"(?U)^[\u200f\\s]*(?:{names})(?:\\s*[):.\\-\u06d4]\\s*|\\s+(?=[^A-Za-z\\s{URDU06}]))"
+        pattern = f"(?U)^[\u200f\\s]*(?:{names})(?:\\s*[):.\\-\u06d4]\\s*|\\s+(?=[^A-Za-z{URDU06}]))"
         cut = F.regexp_replace(value, pattern, "")
         cut = F.when(value.startswith(RLM) & ~cut.startswith(RLM), F.concat(F.lit(RLM), cut)).otherwise(cut)
         out = F.when((key == letter) & value.rlike(pattern), cut).otherwise(out)
@@ -206,6 +208,7 @@ def clean_text(x: Column) -> Column:
     return F.trim(F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)\s+", " "))
 
 
+# How levels are written.
 _LEVEL = r"(?iU)\s*(SSC\s+Part[-\s]?(?:III|II|I)|SSC[-\s]?(?:III|II|I)|SSA[-\s]?(?:III|II|I)|HSSC[-\s]?(?:III|II|I)|Paper[-\s]?(?:III|II|I)|ایس ایس سی\s*(?:III|II|I)?)\s*(?:\([^)]*\))?"
 
 

@@ -107,6 +107,3 @@ def priority_merge(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
     """``first`` and those rows of ``second`` whose key is not in it."""
     return first.unionByName(second.join(first.select(key).distinct(), key, "left_anti").select(*second.columns), allowMissingColumns=True)
 
-
-def question_fingerprint(x: Column) -> Column:
-    return tx.fingerprint(x)

@@ -33,5 +33,5 @@ def accuracy_wide(rows: DataFrame, by: str, dim: str, values: list[str], correct
     for v in values:
         here = (F.col(dim) == v) & F.col(parseable)
         c, n = F.count_if(here & F.col(correct)), F.count_if(here)
-        aggs += [c.alias(f"{v}_correct"), n.alias(f"{v}_questions"), F.when(n > 0, F.round(100 * c / n, 2)).otherwise(F.lit(0.0)).alias(f"{v}_accuracy")]
+        aggs += [c.alias(f"{v}_correct"), n.alias(f"{v}_questions"), F.when(n > 0, F.bround(100 * c / n, 2)).otherwise(F.lit(0.0)).alias(f"{v}_accuracy")]
     return rows.groupBy(by).agg(*aggs)

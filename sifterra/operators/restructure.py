@@ -16,8 +16,9 @@ RELEASE_KEYS = ["id", "question", "options", "correct_key", "domain", "subdomain
 
 
 def slim(rows: DataFrame, keys: list[str] = RELEASE_KEYS) -> DataFrame:
-    """Exactly ``keys``; missing ones are null."""
-    return rows.select(*[F.col(k) if k in rows.columns else F.lit(None).cast("string").alias(k) for k in keys])
+    """Exactly ``keys``; missing ones are null, of their own type."""
+    kinds = {"id": "long", "options": "map<string,string>", "source": "array<string>"}
+    return rows.select(*[F.col(k) if k in rows.columns else F.lit(None).cast(kinds.get(k, "string")).alias(k) for k in keys])
 
 
 def union_all_keys(*parts: DataFrame, default: str = "") -> DataFrame:

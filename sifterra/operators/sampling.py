@@ -27,8 +27,8 @@ def proportional_allocate(sizes: Iterable[int], cap: int) -> list[int]:
     """Places for each cell, proportional to its size, summing to min(cap, total).
 
     Shares are rounded half to even and cut to the cell.  What is missing goes to the
-    largest cell with room, one at a time; what is over is taken from the cell that the
-    exact share exceeds least (the last of equals).
+    largest cell with room, one at a time; what is over is taken, one place each, from
+    the cells that exceed their exact share most (the last of equals first).
     """
     sizes = list(sizes)
     total = sum(sizes)
@@ -41,12 +41,11 @@ def proportional_allocate(sizes: Iterable[int], cap: int) -> list[int]:
         if k is None:
             break
         got[k] += min(short, sizes[k] - got[k])
-    while sum(got) > cap:
-        over = sorted(range(len(sizes)), key=lambda k: got[k] - sizes[k] * cap / total)
-        k = next((k for k in reversed(over) if got[k] > 0), None)
-        if k is None:
-            break
-        got[k] -= 1
+    if (over := sum(got) - cap) > 0:
+        # rounding raised these above their exact shares, none by more than a half
+        raised = sorted((got[k] - sizes[k] * cap / total, k) for k in range(len(sizes)) if got[k] > 0)
+        for _, k in raised[-over:]:
+            got[k] -= 1
     return got
 
 

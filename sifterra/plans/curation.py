@@ -42,7 +42,7 @@ def canonical_dedup(t: Tables):
 
 
 SWEEP = [0.85, 0.9, 0.95, 1.0]
-#: The reference's thresholds (src/deduplicate/build.py).
+#: All thresholds that are reported.
 FULL_SWEEP = [0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0]
 _PAIRS = (
     f"with recursive tok as (select doc_id, unnest(list_distinct(list_filter(string_split({fingerprint_sql('text')}, ' '), lambda w: w <> ''))) as t from documents), "
@@ -72,7 +72,7 @@ def threshold_sweep(t: Tables):
 
 @query()
 def threshold_sweep_full(t: Tables):
-    """CMP4 at all thresholds of the reference, over pairs from the lowest of them up."""
+    """CMP4 at all nine thresholds, over pairs from the lowest of them up."""
     return dd.threshold_sweep(_pairs(t, min(FULL_SWEEP)), t.documents.count(), FULL_SWEEP)
 
 

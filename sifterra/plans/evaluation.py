@@ -116,10 +116,10 @@ def agg_accuracy(t: Tables):
     return ev.accuracy_rollup(_accuracy(t), ["segment", "region", "nation"])
 
 
-_REGIONS = ["AFRICA", "AMERICA", "ASIA"]
+_REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
-@query(f"with x as ({_ACC}) select segment, " + ", ".join(f"count(*) filter (where region = '{r}' and parseable and correct)::bigint as \"{r}_correct\", count(*) filter (where region = '{r}' and parseable)::bigint as \"{r}_questions\", case when count(*) filter (where region = '{r}' and parseable) > 0 then round(100.0::double * count(*) filter (where region = '{r}' and parseable and correct) / count(*) filter (where region = '{r}' and parseable), 2) else 0.0 end as \"{r}_accuracy\"" for r in _REGIONS) + " from x group by 1")
+@query(f"with x as ({_ACC}) select segment, " + ", ".join(f"count(*) filter (where region = '{r}' and parseable and correct)::bigint as \"{r}_correct\", count(*) filter (where region = '{r}' and parseable)::bigint as \"{r}_questions\", case when count(*) filter (where region = '{r}' and parseable) > 0 then round_even(100.0::double * count(*) filter (where region = '{r}' and parseable and correct) / count(*) filter (where region = '{r}' and parseable), 2) else 0.0 end as \"{r}_accuracy\"" for r in _REGIONS) + " from x group by 1")
 def agg_accuracy_wide(t: Tables):
     """AGG7: one wide row for each segment."""
     return ev.accuracy_wide(_accuracy(t), "segment", "region", _REGIONS)

@@ -1,20 +1,47 @@
 """Sinks: JSON lines, CSV, batches with a manifest, kept and dropped rows.
 
-All overwrite through Spark's committer, so a reader never sees half a result.
+Each writes a whole new folder beside its target and renames it into place afterwards, so
+a reader finds the old result or the new one (or, between two renames, none), never half
+of one; a job that fails leaves the old one as it was.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def replaced(rows: DataFrame, path: str, write: Callable[[str], None]) -> None:
+    """Let ``write`` fill a new folder, then put it in the place of ``path``."""
+    mark = uuid.uuid4().hex
+    jvm, made, old = rows.sparkSession._jvm, f"{path.rstrip('/')}.new-{mark}", f"{path.rstrip('/')}.old-{mark}"
+    target, fresh, gone = (jvm.org.apache.hadoop.fs.Path(p) for p in (path.rstrip("/"), made, old))
+    fs = target.getFileSystem(rows.sparkSession._jsparkSession.sessionState().newHadoopConf())
+    try:
+        write(made)
+        had = fs.exists(target)
+        if had and not fs.rename(target, gone):
+            raise OSError(f"cannot move {path} away")
+        if not fs.rename(fresh, target):
+            if had:
+                fs.rename(gone, target)
+            raise OSError(f"cannot move {made} to {path}")
+        if had:
+            fs.delete(gone, True)
+    finally:
+        if fs.exists(fresh):
+            fs.delete(fresh, True)
+
+
 def json_lines(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").json(path)
+    replaced(rows, path, lambda p: rows.write.json(p))
 
 
 def csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    replaced(rows, path, lambda p: rows.write.option("header", True).csv(p))
 
 
 def manifest(batched: DataFrame, group: str) -> DataFrame:
@@ -25,11 +52,19 @@ def manifest(batched: DataFrame, group: str) -> DataFrame:
 
 def batches(batched: DataFrame, group: str, path: str) -> None:
     """One folder for each batch and the manifest; earlier batches go."""
-    batched.write.mode("overwrite").partitionBy("batch_id").json(f"{path}/batches")
-    manifest(batched, group).write.mode("overwrite").json(f"{path}/manifest")
+
+    def write(p: str) -> None:
+        batched.write.partitionBy("batch_id").json(f"{p}/batches")
+        manifest(batched, group).write.json(f"{p}/manifest")
+
+    replaced(batched, path, write)
 
 
 def kept_and_dropped(rows: DataFrame, path: str, reason: str = "drop_reason") -> None:
     """Rows without a reason and rows with one, apart."""
-    rows.where(F.col(reason).isNull()).drop(reason).write.mode("overwrite").json(f"{path}/kept")
-    rows.where(F.col(reason).isNotNull()).write.mode("overwrite").json(f"{path}/dropped")
+
+    def write(p: str) -> None:
+        rows.where(F.col(reason).isNull()).drop(reason).write.json(f"{p}/kept")
+        rows.where(F.col(reason).isNotNull()).write.json(f"{p}/dropped")
+
+    replaced(rows, path, write)

@@ -22,16 +22,28 @@ def windowed_counts(stream: DataFrame, time: str, by: str, size: str = "1 hour",
 
 
 def upsert(key: list[str], order: list[str], path: str) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: the last row of each key, in a table of numbered versions."""
-    from sifterra.operators.agreement import last_wins
+    """For ``foreachBatch``: the last row of each key, in a table of numbered versions
+    ``v<epoch>``.
 
-    state = {"version": -1}
+    The last version is found on disk, so a restart goes on from it.  A version counts once
+    its success mark is there; an epoch that has one is not written again.  Two versions
+    are kept.  Each batch rewrites the table: state, not history, must fit that.
+    """
+    from sifterra.operators.agreement import last_wins
 
     def write(batch: DataFrame, epoch: int) -> None:
-        old = state["version"]
-        rows = batch if old < 0 else batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v{old}").unionByName(batch)
+        spark = batch.sparkSession
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+        whole = sorted(int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS")))
+        if epoch in whole:
+            return
+        before = [v for v in whole if v < epoch]
+        rows = spark.read.schema(batch.schema).parquet(f"{path}/v{before[-1]}").unionByName(batch) if before else batch
         last_wins(rows, key, order).write.mode("overwrite").parquet(f"{path}/v{epoch}")
-        state["version"] = epoch
+        for v in before[:-1]:
+            fs.delete(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{v}"), True)
 
     return write
 

@@ -202,3 +202,53 @@ def test_literal_operators_run_over_whole_tables(spark, sf_dir):
         assert len(out.collect()) == want and f"{name}_whole" not in ORACLES, name
     hosts = QUERIES["txt_host_whole"](spark, sf_dir).where("result <> ''").count()
     assert hosts > 0
+
+
+def test_upsert_goes_on_after_a_restart(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), "k string, v int"
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    incremental.upsert(["k"], ["v"], path)(batch(("a", 1), ("b", 2)), 0)
+    again = incremental.upsert(["k"], ["v"], path)  # a new process knows nothing
+    again(batch(("a", 5), ("c", 3)), 1)
+    again(batch(("z", 9)), 1)  # a replayed epoch changes nothing
+    assert sorted(map(tuple, spark.read.parquet(f"{path}/v1").collect())) == [("a", 5), ("b", 2), ("c", 3)]
+    incremental.upsert(["k"], ["v"], path)(batch(("b", 1)), 2)
+    assert spark.read.parquet(f"{path}/v2").count() == 3 and not (tmp_path / "t" / "v0").exists()
+
+
+def test_a_failed_write_leaves_the_old_result(spark, tmp_path):
+    path = str(tmp_path / "out")
+    sinks.json_lines(spark.range(3), path)
+    bad = spark.range(3).select(F.raise_error(F.lit("no")).alias("x"))
+    with pytest.raises(Exception, match="no"):
+        sinks.json_lines(bad, path)
+    assert spark.read.json(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
+    sinks.json_lines(spark.range(5), path)
+    assert spark.read.json(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_allocation_takes_one_place_at_a_time():
+    import random
+
+    from sifterra.operators.sampling import proportional_allocate
+
+    rng = random.Random(1)
+    for _ in range(500):
+        sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 12))]
+        cap = rng.randint(1, 120)
+        total = sum(sizes)
+        if total <= cap:
+            continue
+        want = [min(n, round(n * cap / total)) for n in sizes]
+        if sum(want) <= cap:
+            continue
+        share = [n * cap / total for n in sizes]
+        for _ in range(sum(want) - cap):
+            most = max((want[k] - share[k], k) for k in range(len(sizes)) if want[k])[1]
+            want[most] -= 1
+        assert proportional_allocate(sizes, cap) == want
+
+
+def test_two_blanks_before_a_word_are_taken(spark):
+    row = spark.createDataFrame([("A  apple", "A"), ("A apple", "A")], "x string, k string")
+    assert [r[0] for r in row.select(tx.strip_option_prefix(F.col("x"), F.col("k"))).collect()] == [" apple", "A apple"]
