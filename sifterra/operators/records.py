@@ -86,10 +86,9 @@ def without_flag(rows: DataFrame, flag: str) -> DataFrame:
     return rows.where(~F.coalesce(F.col(flag), F.lit(False)))
 
 
-def excluded(rows: DataFrame, domains: list[str], subdomains: list[str]) -> tuple[DataFrame, Column]:
-    """Rows that neither list names, and the expression that counts the others over ``rows``."""
-    out = F.coalesce(F.col("domain").isin(domains), F.lit(False)) | F.coalesce(F.col("subdomain").isin(subdomains), F.lit(False))
-    return rows.where(~out), F.count_if(out)
+def excluded(domains: list[str], subdomains: list[str]) -> Column:
+    """Whether either list names the row, to filter by and to count apart."""
+    return F.coalesce(F.col("domain").isin(domains), F.lit(False)) | F.coalesce(F.col("subdomain").isin(subdomains), F.lit(False))
 
 
 def complete(rows: DataFrame, needed: list[str]) -> DataFrame:
