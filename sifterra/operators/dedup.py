@@ -23,11 +23,12 @@ def exact_dedup(rows: DataFrame, key: Column, answer: str, pos: str, source: str
     Groups whose answers (nulls left out) differ are dropped.  Rows with an empty key are
     dropped, or with ``blank_passes`` returned each as a group of its own.
     """
-    keyed = rows.withColumn("dedup_key", key)
+    # groups and joins are on 128 bits of the key, not on the key itself
+    keyed = rows.withColumn("dedup_key", key).withColumn("__h", F.struct(F.xxhash64("dedup_key").alias("a"), F.xxhash64(F.lit(7), "dedup_key").alias("b")))
     full = keyed.where(F.coalesce("dedup_key", F.lit("")) != "")
-    groups = full.groupBy("dedup_key").agg(F.min(pos).alias(pos), F.count(F.lit(1)).alias("n_rows"), F.min(answer).alias("__lo"), F.max(answer).alias("__hi"))
+    groups = full.groupBy("__h").agg(F.any_value("dedup_key").alias("dedup_key"), F.min(pos).alias(pos), F.count(F.lit(1)).alias("n_rows"), F.min(answer).alias("__lo"), F.max(answer).alias("__hi"))
     kept = groups.where("__lo is null or __lo = __hi").withColumn(answer, F.col("__lo")).drop("__lo", "__hi")
-    out = kept.join(merged_sources(["dedup_key"], full, source, pos), "dedup_key", "left")
+    out = kept.join(merged_sources(["__h"], full, source, pos), "__h", "left").drop("__h")
     if blank_passes:
         blank = keyed.where(F.coalesce("dedup_key", F.lit("")) == "")
         out = out.unionByName(blank.select("dedup_key", F.col(pos), F.lit(1).cast("long").alias("n_rows"), F.col(answer), F.array(source).alias("sources")))
@@ -38,31 +39,32 @@ def jaccard_pairs(rows: DataFrame, node: str, token_array: Column, threshold: fl
     """(i, j, inter, n_i, n_j) of pairs that share a token of document frequency up to
     ``stop_df`` and have Jaccard >= ``threshold`` over all tokens; i < j.
 
-    Prefix filter: a row's tokens are ordered by (frequency, token); two rows that reach
-    the threshold agree in the first n - ceil(threshold * n) + 1 of them, and stop tokens
-    are dropped from these prefixes after they are cut.  ``df_of_long_rows_only``: count
-    frequencies among rows of ``min_tokens`` only, else among all.
+    Prefix filter: a row's tokens, as 64-bit hashes, are ordered by (frequency, hash); two
+    rows that reach the threshold agree in the first n - ceil(threshold * n) + 1 of them,
+    and stop tokens are dropped from these prefixes after they are cut.  The first token
+    that two prefixes share bounds the intersection by what follows it in either row; only
+    pairs that may still reach the threshold get their whole sets.
+    ``df_of_long_rows_only``: count frequencies among rows of ``min_tokens`` only, else
+    among all.
     """
-    sets = rows.select(F.col(node).cast("long").alias("n"), token_array.alias("__t")).withColumn("__m", F.size("__t"))
-    long_ = materialize(sets.where(F.col("__m") >= min_tokens), "tokens")
+    sets = rows.select(F.col(node).cast("long").alias("n"), F.transform(token_array, lambda t: F.xxhash64(t)).alias("all"))
+    sets = materialize(sets.withColumn("m", F.size("all")), "tokens")
+    long_ = sets.where(F.col("m") >= min_tokens)
     counted = long_ if df_of_long_rows_only else sets
-    df = counted.select(F.explode("__t").alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    df = df.select("t", "df", F.xxhash64("t").alias("h"))
-    posts = long_.select("n", "__m", F.explode("__t").alias("t")).join(df, "t")
-    ordered = posts.groupBy("n", "__m").agg(F.array_sort(F.collect_list(F.struct("df", "t", "h"))).alias("o"))
-    keep = F.col("__m") - F.ceil(F.col("__m") * threshold - 1e-9) + 1
-    ordered = materialize(ordered.select("n", F.col("__m").alias("m"), F.slice("o", F.lit(1), keep.cast("int")).alias("p"), F.transform("o", lambda x: x["h"]).alias("all")), "prefixes")
-    discard(long_)
-    prefix = ordered.select("n", "m", F.posexplode("p").alias("at", "x")).where(F.col("x.df") <= stop_df).select("n", "m", "at", F.col("x.h").alias("h"))
+    df = counted.select(F.explode("all").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    posts = long_.select("n", F.explode("all").alias("h")).join(df, "h")
+    ordered = posts.groupBy("n").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("o")).withColumn("m", F.size("o"))
+    keep = F.col("m") - F.ceil(F.col("m") * threshold - 1e-9) + 1
+    prefix = ordered.select("n", "m", F.posexplode(F.slice("o", F.lit(1), keep.cast("int"))).alias("at", "x")).where(F.col("x.df") <= stop_df)
+    prefix = materialize(prefix.select("n", "m", "at", F.col("x.h").alias("h")), "prefixes")
     a, b = prefix.alias("a"), prefix.alias("b")
-    # what is left after this position bounds the intersection
-    left = F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at"))
-    need = F.ceil((F.col("a.m") + F.col("b.m")) * (threshold / (1 + threshold)) - 1e-9)
     size = F.least("a.m", "b.m") >= F.greatest("a.m", "b.m") * threshold - 1e-9
-    reach = (F.col("a.at") + F.col("b.at") > 0) | (left >= need)
-    cand = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.n") < F.col("b.n"))).where(size & reach).select(F.col("a.n").alias("i"), F.col("b.n").alias("j")).distinct()
-    x = ordered.select(F.col("n").alias("i"), F.col("m").alias("n_i"), F.col("all").alias("sa"))
-    y = ordered.select(F.col("n").alias("j"), F.col("m").alias("n_j"), F.col("all").alias("sb"))
+    met = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.n") < F.col("b.n"))).where(size)
+    met = met.groupBy(F.col("a.n").alias("i"), F.col("b.n").alias("j")).agg(F.max(F.least(F.col("a.m") - F.col("a.at"), F.col("b.m") - F.col("b.at"))).alias("left"), F.max(F.col("a.m") + F.col("b.m")).alias("both"))
+    cand = materialize(met.where(F.col("left") >= F.ceil(F.col("both") * (threshold / (1 + threshold)) - 1e-9)).select("i", "j"), "candidates")
+    discard(prefix)
+    x = sets.select(F.col("n").alias("i"), F.col("m").alias("n_i"), F.col("all").alias("sa"))
+    y = sets.select(F.col("n").alias("j"), F.col("m").alias("n_j"), F.col("all").alias("sb"))
     scored = cand.join(x, "i").join(y, "j").select("i", "j", F.size(F.array_intersect("sa", "sb")).alias("inter"), "n_i", "n_j")
     return scored.where(F.col("inter") >= threshold * (F.col("n_i") + F.col("n_j") - F.col("inter")) - 1e-9)
 
@@ -75,8 +77,8 @@ def similarity(pairs: DataFrame) -> Column:
 def threshold_sweep(pairs: DataFrame, n_rows: int, thresholds: list[float]) -> DataFrame:
     """(threshold, kept, removed): rows that stay if each component keeps one.
 
-    All thresholds run in one component search over nodes shifted apart by ``n_rows``-free
-    hashing: a node of threshold k is 64-bit-safe as node * K + k.
+    All thresholds run in one component search: node n of threshold k is n * K + k, so ids
+    must stay below 2^63 / K.
     """
     k = len(thresholds)
     table = F.array(*[F.struct(F.lit(i).alias("k"), F.lit(float(t)).alias("t")) for i, t in enumerate(thresholds)])

@@ -64,22 +64,40 @@ def quotas(rows: DataFrame, group: str, cell: list[str], cap: int, pos: str) ->
     return cells.groupBy(group).applyInPandas(allocate, f"{schema}, quota long")
 
 
+def hash_ranked(rows: DataFrame, by: list[str], ident: str, seed: int, name: str) -> DataFrame:
+    """``rows`` plus the rank (from 1) in the order of the hash within ``by``.
+
+    Rows are numbered within the first three hexadecimal digits of the hash, and what comes
+    before these is added, so that a group, however large, is dealt over 4096 parts.
+    """
+    tagged = rows.withColumn("__o", hash_order(seed, ident)).withColumn("__p", F.substring("__o", 1, 3))
+    counts = tagged.groupBy(*by, "__p").agg(F.count(F.lit(1)).alias("__k"))
+    before = Window.partitionBy(*by).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # 4096 rows at most
+    bases = counts.select(*[F.col(c).alias(f"__by_{c}") for c in by], F.col("__p").alias("__q"), F.coalesce(F.sum("__k").over(before), F.lit(0)).alias("__base"))
+    same = F.col("__p") == F.col("__q")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"__by_{c}"))
+    within = Window.partitionBy(*by, "__p").orderBy("__o", ident)
+    ranked = tagged.withColumn("__in", F.row_number().over(within)).join(bases, same)
+    return ranked.select(*rows.columns, (F.col("__base") + F.col("__in")).alias(name))
+
+
 def stratified_sample(rows: DataFrame, group: str, cell: list[str], cap: int, ident: str, seed: int = 42) -> DataFrame:
     """``rows`` plus ``sampled``: whether the row is in its group's sample of ``cap``."""
     q = quotas(rows, group, cell, cap, ident).drop("n")
-    by = Window.partitionBy(group, *cell).orderBy(hash_order(seed, ident), ident)
-    return rows.withColumn("__rn", F.row_number().over(by)).join(F.broadcast(q), [group, *cell]).withColumn("sampled", F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
+    ranked = hash_ranked(rows, [group, *cell], ident, seed, "__rn")
+    return ranked.join(q, [group, *cell]).withColumn("sampled", F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
 
 
 def pure_batches(rows: DataFrame, group: str, ident: str, size: int = 50, seed: int = 42) -> DataFrame:
     """``rows`` plus batch_id: chunks of ``size`` within each group, numbered over groups."""
-    by = Window.partitionBy(group).orderBy(hash_order(seed, ident), ident)
-    chunk = rows.withColumn("__c", F.floor((F.row_number().over(by) - 1) / size))
+    ranked = hash_ranked(rows, [group], ident, seed, "__rn")
+    chunk = ranked.withColumn("__c", F.floor((F.col("__rn") - 1) / size)).drop("__rn")
     # one row for each group: how many batches come before its own
     counts = rows.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / size).alias("k"))
     before = counts.withColumn("__b", F.coalesce(F.sum("k").over(Window.orderBy(group).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("k")
     number = (F.col("__b") + F.col("__c") + 1).cast("long")
-    return chunk.join(F.broadcast(before), group).withColumn("batch_id", F.concat(F.lit("batch_"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))).drop("__c", "__b")
+    return chunk.join(before, group).withColumn("batch_id", F.concat(F.lit("batch_"), F.when(number < 1000, F.lpad(number.cast("string"), 3, "0")).otherwise(number.cast("string")))).drop("__c", "__b")
 
 
 def weighted_levels(trusted: DataFrame, group: str, level: str) -> DataFrame:
