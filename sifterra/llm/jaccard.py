@@ -473,8 +473,10 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     pairs = materialize(made.where(F.col("kind") == _PAIR).select("a", "b").distinct(), "pairs")
     members = made.where(F.col("kind") == _MEMBER).select(F.col("a").alias("sig"), F.col("b").alias("set_key"))
     wanted = pairs.select(F.col("a").alias("set_key")).unionAll(pairs.select(F.col("b").alias("set_key"))).distinct()
-    info = made.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_key"), F.col("sigs").alias("sketch")).join(wanted, "set_key", "left_semi")
-    info = materialize(info.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch")), "info")
+    info = made.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n"), F.col("c").alias("set_key"), F.col("sigs").alias("sketch"))
+    # copies are counted together before the join, so that a frequent set is no hot key
+    info = info.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    info = materialize(info.join(wanted, "set_key", "left_semi"), "info")
     x = info.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     y = info.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ka", "kb")
