@@ -204,8 +204,9 @@ def _found(text: str) -> str:
 def entities(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     """(value, n, kind, surrogate) for each distinct entity of the table."""
     each = docs.select(F.explode(F.expr(_found("text"))).alias("value")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-    # few bytes but much work: a fixed number of partitions, which are not joined
-    each = each.repartition(partitions(docs.sparkSession), "value")
+    # few bytes but much work: a fixed number of partitions, which adaptive execution does not
+    # join (by another expression than the grouping's, or the planner takes it for the same)
+    each = each.repartition(partitions(docs.sparkSession), F.xxhash64("value"))
     return each.withColumn("made", F.expr(surrogate_sql("value", key))).select("value", "n", "made.*")
 
 
