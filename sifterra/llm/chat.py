@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifterra.llm.columns import trimmed
 from sifterra.storage import partitions
 
 START, END, MARK = "<|im_start|>", "<|im_end|>", "<|esc|>"
@@ -107,7 +108,7 @@ def format_chat(turns: DataFrame) -> DataFrame:
 
     clean = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     ordered = clean.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "role", "text").mapInArrow(render, "conv_id long, position long, segment string, loss_start long, loss_end long")
+    return ordered.select("conv_id", "role", "text").mapInArrow(trimmed(render), "conv_id long, position long, segment string, loss_start long, loss_end long")
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -154,4 +155,4 @@ def read_back(segments: DataFrame) -> DataFrame:
         if done:
             yield flush()
 
-    return segments.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(digest, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return segments.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(trimmed(digest), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

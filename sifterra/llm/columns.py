@@ -5,8 +5,9 @@ A null text counts as empty everywhere.  Functions here see whole texts.
 
 from __future__ import annotations
 
+import ctypes
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,3 +39,23 @@ def blocks(offsets: np.ndarray, most: int = BLOCK_BYTES) -> Iterator[tuple[int,
 def held_out(ids: pa.Array) -> pa.Array:
     """True where crc32 of the id's decimal text is divisible by 5; a null id is held out."""
     return pa.array([x is None or zlib.crc32(str(x).encode()) % 5 == 0 for x in ids.to_pylist()], pa.bool_())
+
+
+def _release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a mapInArrow, after which the worker gives freed memory back to the system:
+    workers live on beyond their task, and what they keep adds to the next stages' needs."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifterra.llm.columns import trimmed
 from sifterra.operators.components import connected_components
 from sifterra.storage import discard, materialize, partitions
 
@@ -517,7 +518,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard
     hosts = hosts.select("dim", "shard", "lane", F.lit(0).alias("turn"), "graph", "nodes", "copies", "base", F.lit(None).cast("long").alias("node"), F.lit(None).cast(f"array<{kind}>").alias("e"))
     # a fixed number of partitions: adaptive execution would join these small, slow ones
     met = hosts.unionAll(guests).repartition(2 * spread * lanes, "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "turn")
-    found = materialize(met.mapInArrow(_queried(dtype, threshold), "node long, other long, links long"), "links")
+    found = materialize(met.mapInArrow(trimmed(_queried(dtype, threshold)), "node long, other long, links long"), "links")
     discard(graphs)
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("linked"))
     comp = connected_components(found.where("other is not null"), "node", "other")

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifterra.llm.columns import blocks, text_bytes
+from sifterra.llm.columns import blocks, text_bytes, trimmed
 from sifterra.operators.components import connected_components
 from sifterra.storage import discard, materialize, partitions
 
@@ -219,7 +219,7 @@ def _rows(n: int, **given) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(given[k], t) if k in given else pa.nulls(n, t) for k, t in zip(_NAMES, _TYPES, strict=True)], _NAMES)
 
 
-def _emit(frequent, n_buckets: int, flush_at: int = 1 << 21):
+def _emit(frequent, n_buckets: int, flush_at: int = 1 << 19):
     """Map side: a row for each document, and signatures of distinct sets by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,7 +379,7 @@ def shingle_arrays(docs: DataFrame) -> DataFrame:
                 key = set_keys(values, at).view(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.diff(at)), pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(values.view(np.int64)))], ["set_key", "n", "shingles"])
 
-    return docs.select("text").mapInArrow(run, "set_key long, n long, shingles array<long>")
+    return docs.select("text").mapInArrow(trimmed(run), "set_key long, n long, shingles array<long>")
 
 
 #: Candidate ids (8 bytes each) up to this number are broadcast, more are joined.
@@ -436,7 +436,7 @@ def _checked(spark: SparkSession, pairs: DataFrame, sets: DataFrame) -> DataFram
     members = blocked.unionAll(own)
     rows = members.join(sets.select("set_key", "shingles"), "set_key").withColumn("__other", F.col("pivot") != F.col("set_key"))
     rows = rows.repartition(partitions(spark), "pivot", "block").sortWithinPartitions("pivot", "block", "__other")
-    return rows.select("pivot", "block", "set_key", "shingles").mapInArrow(_compare, "a long, b long, na long, nb long, i long")
+    return rows.select("pivot", "block", "set_key", "shingles").mapInArrow(trimmed(_compare), "a long, b long, na long, nb long, i long")
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -466,8 +466,8 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = docs.count()
     buckets = partitions(spark, -(-n // ROWS_PER_BUCKET))
     frequent = spark.sparkContext.broadcast(frequent_shingles(docs))
-    emitted = docs.withColumn("h", F.xxhash64("text")).mapInArrow(_emit(frequent, buckets), _MADE)
-    made = materialize(emitted.repartition(buckets, "bucket").mapInArrow(_collide, _MADE), "signatures")
+    emitted = docs.withColumn("h", F.xxhash64("text")).mapInArrow(trimmed(_emit(frequent, buckets)), _MADE)
+    made = materialize(emitted.repartition(buckets, "bucket").mapInArrow(trimmed(_collide), _MADE), "signatures")
     frequent.destroy()
     rows = made.where(F.col("kind") == _DOC).select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"), F.col("c").alias("key"), "h")
     pairs = materialize(made.where(F.col("kind") == _PAIR).select("a", "b").distinct(), "pairs")
@@ -480,7 +480,7 @@ def _components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     x = info.select(F.col("set_key").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("ka"))
     y = info.select(F.col("set_key").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("kb"))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", "ka", "kb")
-    bounded = materialize(both.mapInArrow(_bounded, "a long, b long, na long, nb long, differ long"), "bounded")
+    bounded = materialize(both.mapInArrow(trimmed(_bounded), "a long, b long, na long, nb long, differ long"), "bounded")
     discard(pairs)
     near = bounded.where("9 * differ <= na + nb").select("a", "b")
     wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
@@ -539,7 +539,7 @@ def _large_groups(docs: DataFrame, info: DataFrame, members: DataFrame, comp: Da
         dealt = some.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
         dealt = dealt.select(F.xxhash64("sig", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "set_key", "comp")
         tasks = dealt.join(info.select("set_key", "n", "sketch"), "set_key").repartition(partitions(spark), "task").sortWithinPartitions("task")
-        near = materialize(tasks.select("task", "set_key", "n", "comp", "sketch").mapInArrow(_screen(nearest), "a long, b long").distinct(), "screened")
+        near = materialize(tasks.select("task", "set_key", "n", "comp", "sketch").mapInArrow(trimmed(_screen(nearest)), "a long, b long").distinct(), "screened")
         discard(rows)
         wanted = near.select(F.col("a").alias("set_key")).unionAll(near.select(F.col("b").alias("set_key"))).distinct()
         links = materialize(_links(_checked(spark, near, _sets_of(docs, info, wanted))), "links")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifterra.llm.columns import text_bytes
+from sifterra.llm.columns import text_bytes, trimmed
 
 PACKET = 188
 UNIT = 576
@@ -246,7 +246,7 @@ def encode_texts(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0)[done : i + 1], pa.array(np.diff(at[done : i + 2])), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
                     done, size, media = i + 1, 0, []
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(encode, "doc_id long, n_bytes long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(encode), "doc_id long, n_bytes long, media binary")
 
 
 #: Columns that ``parse_media`` adds.
@@ -278,7 +278,7 @@ def parse_media(media: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(parse, f"doc_id long, n_bytes long, media binary, {PARSED}")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(trimmed(parse), f"doc_id long, n_bytes long, media binary, {PARSED}")
 
 
 def media_digests(docs: DataFrame) -> DataFrame:
@@ -312,4 +312,4 @@ def media_digests(docs: DataFrame) -> DataFrame:
         F.format_string("errors=%d", F.size("errors")),
     )
     parsed = parse_media(encode_texts(docs)).select("doc_id", "n_bytes", "media", "data", feature.alias("feature"))
-    return parsed.mapInArrow(crc, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return parsed.mapInArrow(trimmed(crc), "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

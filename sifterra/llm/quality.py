@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifterra.llm.columns import BLOCK_BYTES, blocks, held_out, text_bytes
+from sifterra.llm.columns import BLOCK_BYTES, blocks, held_out, text_bytes, trimmed
 
 WIDTH, STRIDE, FILTERS, DIM = 12, 4, 24, 6
 CHUNK = 256
@@ -193,4 +193,4 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
             p = shared.value.score_texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), held_out(batch.column(0)), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(score), "doc_id long, held_out boolean, score double, predicted int")

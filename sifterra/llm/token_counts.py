@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sifterra.llm.columns import trimmed
+
 MARK = "▁"
 #: Characters of pre-tokens whose counts a worker keeps (twice, in two generations), and
 #: characters of text that are split at once.
@@ -220,4 +222,4 @@ def count_tokens(docs: DataFrame, model_path: str) -> DataFrame:
             got = trie.count_texts(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([a for a, _ in got], pa.int64()), pa.array([b for _, b in got], pa.int64())], ["doc_id", "n_tokens", "n_pretokens"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(count, "doc_id long, n_tokens long, n_pretokens long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(count), "doc_id long, n_tokens long, n_pretokens long")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sifterra.llm.columns import BLOCK_BYTES, blocks, held_out, text_bytes
+from sifterra.llm.columns import BLOCK_BYTES, blocks, held_out, text_bytes, trimmed
 
 SIZES = (3, 4, 5, 6)
 BITS = 17
@@ -289,7 +289,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5
             p = shared.value.score_texts(batch.column(1))
             yield pa.RecordBatch.from_arrays([batch.column(0), held_out(batch.column(0)), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(trimmed(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
@@ -304,4 +304,4 @@ def keep_clean(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) ->
         for batch in batches:
             yield batch.filter(pa.array(shared.value.score_texts(batch.column(place)) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(trimmed(keep), docs.schema)
