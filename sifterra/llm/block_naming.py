@@ -24,16 +24,20 @@ from sifterra.storage import discard, materialize
 
 #: Bytes of a block.
 BLOCK_BYTES = 2048
-#: White space other than one single space: what normalising changes.
-_GAPS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
+#: White space that becomes a space.
+_SPACES = "\t\n\x0b\f\r"
 #: The other name of a pair whose second block is missing; names are 0 or more.
 NONE = -1
 MAX_SEEDS = 16
 
 
 def normalized(text: Column) -> Column:
-    """Each run of white space is one space; null is empty."""
-    return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), _GAPS, " ")
+    """Each run of white space is one space; null is empty.  Plain replacements do nearly all
+    of it; only texts that then hold two spaces in a row meet a regular expression."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for c in _SPACES:
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return F.when(out.contains("  "), F.regexp_replace(out, " {2,}", " ")).otherwise(out)
 
 
 def addresses(block: Column, seed: int) -> tuple[Column, Column]:
@@ -41,8 +45,14 @@ def addresses(block: Column, seed: int) -> tuple[Column, Column]:
     return F.xxhash64(F.lit(2 * seed), block), F.xxhash64(F.lit(2 * seed + 1), block)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it (an outer
+    expression within a lambda would be computed for each element)."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _blocks(raw: Column, size: int) -> Column:
-    """Fixed-size pieces of a binary column; an empty one is one empty piece."""
+    """Fixed-size pieces of a binary value; an empty one is one empty piece."""
     last = F.floor((F.greatest(F.octet_length(raw), F.lit(1)) - 1) / size).cast("int")
     return F.transform(F.sequence(F.lit(0), last), lambda i: F.substr(raw, i * size + 1, F.lit(size)))
 
@@ -54,7 +64,8 @@ def _numbered(df: DataFrame, *keys: str) -> DataFrame:
 
 def _named_blocks(docs: DataFrame, size: int, address: Callable[[Column, int], tuple[Column, Column]]) -> tuple[DataFrame, int]:
     """(a, b, name) of each distinct block, and the seed whose addresses tell them apart."""
-    blocks = docs.select(F.explode(_blocks(normalized(docs["text"]).cast("binary"), size)).alias("block"))
+    raw = normalized(docs["text"]).cast("binary")
+    blocks = docs.select(F.explode(_once(raw, lambda r: _blocks(r, size))).alias("block"))
     for seed in range(MAX_SEEDS):
         a, b = address(F.col("block"), seed)
         names = materialize(_numbered(blocks, "block").select(a.alias("a"), b.alias("b"), "name"), "names")
@@ -70,9 +81,9 @@ def identities(docs: DataFrame, size: int = BLOCK_BYTES, address: Callable[[Colu
     are equal.
     """
     names, seed = _named_blocks(docs, size, address)
-    text = normalized(docs["text"])
-    pieces = F.transform(_blocks(text.cast("binary"), size), lambda x: F.struct(*(h.alias(k) for h, k in zip(address(x, seed), "ab", strict=True))))
-    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("text_sha256"), pieces.alias("at")), "rows")
+    raw = normalized(docs["text"]).cast("binary")
+    found = _once(raw, lambda r: F.struct(F.sha2(r, 256).alias("text_sha256"), F.transform(_blocks(r, size), lambda x: F.struct(*(h.alias(k) for h, k in zip(address(x, seed), "ab", strict=True)))).alias("at")))
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), docs["doc_id"].cast("long").alias("doc_id"), found.alias("x")).select("row", "doc_id", "x.*"), "rows")
     longest = rows.agg(F.max(F.size("at"))).first()[0] or 1
 
     spread = rows.select("row", F.size("at").cast("long").alias("n"), F.posexplode("at").alias("pos", "at")).select("row", "n", F.col("pos").cast("long").alias("pos"), "at.a", "at.b")
@@ -100,11 +111,12 @@ def exact_groups(docs: DataFrame, size: int = BLOCK_BYTES, address: Callable[[Co
     of addresses (16 bytes a block).
     """
     rows, ids = identities(docs, size, address)
-    each = rows.join(ids, "row")
+    each = materialize(ids.join(rows.select("row", "doc_id"), "row"), "identities")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
-    groups = each.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size"))
-    out = each.join(groups, ["level", "name"])
-    return out.select("doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"), "text_sha256")
+    # written, so that the join below stands alone in its stage and a large group can be split
+    groups = materialize(each.groupBy("level", "name").agg(first.alias("first"), F.count(F.lit(1)).alias("group_size")), "groups")
+    named = each.join(groups, ["level", "name"]).select("row", "doc_id", F.col("first.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("first.row")).alias("kept"))
+    return named.join(rows.select("row", "text_sha256"), "row").drop("row")
 
 
 def drop_exact_copies(docs: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
