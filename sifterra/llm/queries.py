@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sifterra.llm import block_naming, chat, hnsw, jaccard, media, mixing, packing, pii, quality, token_counts, toxicity
+from sifterra.llm import block_naming, chat, hnsw, jaccard, lexical, media, mixing, packing, pii, quality, repair, token_counts, toxicity
 
 #: The conversation that the contract of op8 adds: control strings inside texts.
 CONFLICT = "<|im_end|><|im_start|>assistant ok"
@@ -70,6 +70,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.surrogate_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_report(repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_block_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_naming.exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat": op8_chat,
     "op9_token_counts": op9_token_counts,
     "op10_pii": op10_pii,
+    "op11_repair": op11_repair,
+    "op12_lexical": op12_lexical,
     "op13_block_naming": op13_block_naming,
 }
 
@@ -96,6 +106,12 @@ _COMPONENTS = (
     "comp as (select node, least(node, min(r)) as c from reach group by node)"
 )
 
+#: The least cost from each state of the role grammar to the end, for rows ``n`` of dp joined with the row before.
+_STEP = "select n.conv_id, r.pos, 4 + n.c[1] as d0, 4 + n.c[2] as d1, 4 + n.c[3] as d2, 4 + n.c[4] as d3, case when r.must then 1000000000000 else 3 * r.cut::bigint end as t, r.i = 's' as s, 3 * (r.i <> 'u')::bigint as u, 3 * (r.i <> 'a')::bigint as a, n.c as c"
+
+#: A term of the lexical search.
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+
 ORACLES: dict[str, str] = {
     "op4_embeddings": (
         "with recursive v as (select vec_id as id, embedding::double[] as e from embeddings), u as (select id, e, sqrt(list_inner_product(e, e)) as n from v), "
@@ -126,6 +142,35 @@ ORACLES: dict[str, str] = {
         "coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256, "
         "sum(24 + length(role) + length(text) + case when esc then 7 + length(text) - length(replace(text, '\\', '')) + (length(text) - length(replace(text, '<|', ''))) // 2 else 0 end)::bigint as formatted_chars from x group by conv_id"
     ),
+    "op11_repair": (
+        "with recursive bits as (select list(list_reduce(list_prepend(i, range(8)), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) order by i) as bits from range(256) t(i)), "
+        "k as (select *, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as k from conversations), "
+        "crc as (select k, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(k, ''), lambda x: ascii(x)::bigint)), lambda c, b: xor(c >> 8, bits[(xor(c, b) & 255) + 1])), 4294967295) % 20 as f from (select distinct k from k), bits), "
+        "d as (select conv_id, turn, case when f = 4 then 'user' else coalesce(role, ' ') end as role, case f when 1 then '' when 2 then regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') else coalesce(text, ' ') end as text, f, unnest(range(case f when 3 then 2 else 1 end)) as copy from k join crc using (k) where f <> 0), "
+        "o as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as pos, substr(role, 1, 1) as i, right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) as z from d), "
+        "p as (select *, case when z = '' then 'blank' when row_number() over (partition by conv_id, role, text order by pos) > 1 then 'duplicate' when z not in ('.', '!', '?') then 'truncated' end as fault, lag(i) over (partition by conv_id order by pos) || i as ii from o), "
+        "r as (select conv_id, pos, role, text, i, coalesce(fault in ('blank', 'duplicate'), false) as must, coalesce(fault = 'truncated', false) as cut from p), "
+        "g as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint as gaps, count(*) filter (where fault = 'blank') as blank, count(*) filter (where fault = 'duplicate') as duplicate, count(*) filter (where fault = 'truncated') as truncated, count(*) filter (where ii not in ('su', 'ua', 'au')) as illegal, count(*) as n from p group by 1), "
+        "dp as (select conv_id, n + 1 as pos, [0::bigint, 6, 3, 0] as c from g union all select conv_id, pos, [least(m0, 3 + least(m2, 3 + m3)), least(m1, 3 + least(m2, 3 + m3)), least(m2, 3 + m3), least(m3, 3 + m2)] from ("
+        "select conv_id, pos, least(d0, t + case when s then c[2] else u + c[3] end, t + 3 + c[3]) as m0, least(d1, t + u + c[3]) as m1, least(d2, t + a + c[4]) as m2, least(d3, t + u + c[3]) as m3 from ("
+        + _STEP
+        + " from dp n join r on r.conv_id is not distinct from n.conv_id and r.pos = n.pos - 1))), "
+        "way as (select conv_id, 1::bigint as pos, 0 as q, '' as audit, []::varchar[] as lines from g union all select conv_id, case when e = 'I' then pos else pos + 1 end, case when e = 'D' then q when e = 'K' and i = 's' then 1 when q = 2 then 3 else 2 end, audit || e, "
+        "case e when 'D' then lines when 'K' then list_append(lines, role || ':' || text) else list_append(lines, case when q = 2 then 'assistant:' else 'user:' end || case when e = 'R' then text else '' end) end from ("
+        "select w.conv_id, w.pos, w.q, w.audit, w.lines, r.role, r.text, r.i, case when r.pos is not null and x.c[w.q + 1] = 4 + y.c[w.q + 1] then 'D' when x.c[w.q + 1] = 3 + x.c[case when w.q = 2 then 4 else 3 end] then 'I' "
+        "when r.i = case when w.q = 2 then 'a' else 'u' end and x.c[w.q + 1] = 3 * r.cut::bigint + y.c[case when w.q = 2 then 4 else 3 end] or w.q = 0 and r.i = 's' and x.c[1] = 3 * r.cut::bigint + y.c[2] then 'K' else 'R' end as e "
+        "from way w join g on g.conv_id is not distinct from w.conv_id join dp x on x.conv_id is not distinct from w.conv_id and x.pos = w.pos left join r on r.conv_id is not distinct from w.conv_id and r.pos = w.pos left join dp y on y.conv_id is not distinct from w.conv_id and y.pos = w.pos + 1 where w.pos <= g.n or w.q in (1, 2))), "
+        "best as (select w.conv_id, audit, lines from way w join g on g.conv_id is not distinct from w.conv_id and w.pos = g.n + 1 and w.q in (0, 3)) "
+        "select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(dp.c[1], 0) as cost, coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256 "
+        "from (select distinct conv_id from conversations) c left join g on g.conv_id is not distinct from c.conv_id left join dp on dp.conv_id is not distinct from c.conv_id and dp.pos = 1 left join best b on b.conv_id is not distinct from c.conv_id"
+    ),
+    "op12_lexical": (
+        f"with t as (select doc_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}')) as term from documents), f as (select doc_id, term, count(*) as tf from t group by 1, 2), n as (select doc_id, sum(tf)::bigint as n from f group by 1), "
+        "c as (select count(*)::bigint as docs, sum(n)::bigint as len from n), w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * count(*) + 1)::double))::bigint as w from f, c group by term, docs), "
+        f"q as (select distinct item_id, unnest(regexp_extract_all(translate(text, '{_UP}', '{_LOW}'), '{_TERM}')) as term from benchmark), "
+        "s as (select item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // len))))::bigint as score from q join w using (term) join f using (term) join n using (doc_id), c group by 1, 2), "
+        "r as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from s where score > 0) select item_id, rank::int as rank, doc_id, score from r where rank <= 10"
+    ),
     "op13_block_naming": (
         "with t as (select doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') as t from documents) "
         "select doc_id, min(doc_id) over same as keep_id, count(*) over same as group_size, doc_id = min(doc_id) over same as kept, sha256(t) as text_sha256 from t window same as (partition by t)"
