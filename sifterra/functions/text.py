@@ -9,7 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Mapping
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -70,27 +70,35 @@ def right_to_left_mark(x: Column) -> Column:
     return F.when(needs, F.concat(F.lit(RLM), x)).otherwise(x)
 
 
+def plain_quotes(x: Column) -> Column:
+    """Curly double quotes straight, runs of them single."""
+    return F.regexp_replace(F.translate(x, "\u201c\u201d", '""'), '"{2,}', '"')
+
+
 def normalize_quotes(x: Column) -> Column:
-    """Curly double quotes straight, runs of them single, and an even number of them."""
-    plain = F.regexp_replace(F.translate(x, "\u201c\u201d", '""'), '"{2,}', '"')
+    """``plain_quotes``, and an even number of them."""
+    plain = plain_quotes(x)
     odd = F.regexp_count(plain, F.lit('"')) % 2 == 1
     return F.when(odd, F.concat(F.lit('"'), plain)).otherwise(plain)
 
 
-@F.pandas_udf(T.StringType())
-def _nfkc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFKC", s))
+_LOOK_ALIKE = str.maketrans(CHARACTER_MAP)
 
 
-@F.pandas_udf(T.StringType())
-def _nfc(x: pd.Series) -> pd.Series:
-    return x.map(lambda s: None if s is None else unicodedata.normalize("NFC", s))
+@F.arrow_udf(T.StringType())
+def _normal_forms(x: pa.Array) -> pa.Array:
+    form = unicodedata.normalize
+    return pa.array([None if s is None else form("NFC", form("NFKC", s).translate(_LOOK_ALIKE)) for s in x.to_pylist()], pa.string())
 
 
 def normalize_characters(x: Column) -> Column:
-    """NFKC, look-alike letters to those of the language, NFC.  ASCII texts pass by."""
-    mapped = _nfc(F.translate(_nfkc(x), "".join(CHARACTER_MAP), "".join(CHARACTER_MAP.values())))
-    return F.when(x.rlike("^\\p{ASCII}*$"), x).otherwise(mapped)
+    """NFKC, look-alike letters to those of the language, NFC, in one Arrow batch.
+
+    ASCII texts pass by: the function gets a null in their place (it is evaluated for all
+    rows, whatever stands around it).
+    """
+    plain = x.rlike("^\\p{ASCII}*$")
+    return F.when(plain, x).otherwise(_normal_forms(F.when(~plain, x)))
 
 
 def strip_option_prefix(value: Column, key: Column) -> Column:
@@ -240,12 +248,22 @@ def source_name(name: Column, url: Column, display: Mapping[str, str]) -> Column
     return F.when(F.coalesce(url, F.lit("")) != "", by_host).otherwise(F.coalesce(F.try_element_at(table, name), name))
 
 
-def subdomain_key(x: Column) -> Column:
-    return F.replace(F.lower(stripped(x)), F.lit(" "), F.lit("_"))
+def _renamed(x: Column, names: Mapping[str, str], otherwise: Column) -> Column:
+    if not names:
+        return otherwise
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(v) for kv in names.items() for v in kv]), x), otherwise)
+
+
+def subdomain_key(x: Column, aliases: Mapping[str, str] = {}) -> Column:  # noqa: B006
+    """Lower case with underscores, or the alias of the lower-case name."""
+    low = F.lower(stripped(x))
+    return _renamed(low, aliases, F.replace(low, F.lit(" "), F.lit("_")))
 
 
-def subdomain_label(x: Column) -> Column:
-    return F.replace(x, F.lit("_"), F.lit(" "))
+def subdomain_label(x: Column, renames: Mapping[str, str] = {}) -> Column:  # noqa: B006
+    """Spaces for underscores, then renamed; null is empty."""
+    name = stripped(F.replace(F.coalesce(x, F.lit("")), F.lit("_"), F.lit(" ")))
+    return _renamed(name, renames, name)
 
 
 def safe_name(x: Column) -> Column:
@@ -253,6 +271,16 @@ def safe_name(x: Column) -> Column:
     return F.replace(F.replace(F.replace(x, F.lit("/"), F.lit("__")), F.lit(":"), F.lit("-")), F.lit(" "), F.lit("_"))
 
 
+def safe_short_name(x: Column) -> Column:
+    """A name with single underscores for slashes and colons."""
+    return F.translate(x, "/:", "__")
+
+
+def safe_file_name(x: Column) -> Column:
+    """A name without characters that file systems forbid, runs of them as one underscore."""
+    return stripped(F.regexp_replace(x, r'[\\/:*?"<>|]+', "_"))
+
+
 def page_number(x: Column) -> Column:
     """Number after 'page', else the last digits before the extension, else null."""
     named, last = F.regexp_extract(x, r"[_-]page[_-](\d+)", 1), F.regexp_extract(x, r"(\d+)[^0-9]*\.[^.]*$", 1)

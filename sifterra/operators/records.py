@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sifterra.functions import text as tx
-from sifterra.operators.agreement import merge_edits, verdict
+from sifterra.operators.agreement import last_wins, majority, merge_edits, verdict
 from sifterra.operators.components import connected_components
 from sifterra.operators.dedup import jaccard_pairs
 from sifterra.operators.restructure import contiguous_ids
@@ -120,56 +120,133 @@ def union_of_new(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(seen, same, "left_anti"))
 
 
-def correlated_dedup(rows: DataFrame, node: str, question: Column, options: Column, answer: str, threshold: float = 0.9, option_threshold: float = 0.5, merge: bool = True) -> DataFrame:
-    """(node, group_size, answer): near-duplicate questions with near-duplicate options.
+def correlated_dedup(rows: DataFrame, node: str, question: Column, options: Column, answer: str, threshold: float = 0.9, option_threshold: float = 0.5, check_answer: bool = True, names: str | None = None, urls: str | None = None, stop_df: int = 200) -> DataFrame:
+    """The first row of each group of near-duplicate questions with near-duplicate options,
+    plus ``group_size``.
 
     Rows link at a question-token Jaccard of ``threshold`` and an option-signature Jaccard
-    of ``option_threshold``.  A component keeps its smallest id, and its one answer (empty
-    ones are ignored); where answers differ the whole component goes, or with ``merge``
-    off each component of more than one row does.
+    of ``option_threshold``; token frequencies are those of all rows, however short.  With
+    ``check_answer`` a group whose answers differ (empty ones are ignored) goes as a whole.
+    ``names`` and ``urls`` (parallel arrays) of a group of several rows become its distinct
+    names in order of first sight with their URLs ('' where one is missing).  ``node`` is
+    unique and not null.
     """
-    pairs = jaccard_pairs(rows, node, question, threshold).select("i", "j")
+    pairs = jaccard_pairs(rows, node, question, threshold, stop_df, df_of_long_rows_only=False).select("i", "j")
     each = rows.select(F.col(node).cast("long").alias("n"), tx.option_signatures(options).alias("s"))
     both = pairs.join(each.select(F.col("n").alias("i"), F.col("s").alias("si")), "i").join(each.select(F.col("n").alias("j"), F.col("s").alias("sj")), "j")
     comp = connected_components(both.where(tx.jaccard(F.col("si"), F.col("sj")) >= option_threshold - 1e-12), "i", "j")
-    given = F.nullif(F.trim(F.col(answer).cast("string")), F.lit(""))
-    joined = rows.select(F.col(node).cast("long").alias("n"), given.alias("a")).join(comp.withColumnRenamed("node", "n"), "n", "left")
-    groups = joined.groupBy(F.coalesce("component", "n").alias(node)).agg(F.count(F.lit(1)).alias("group_size"), F.min("a").alias("lo"), F.max("a").alias("hi"))
-    fine = "lo is null or lo = hi" if merge else "group_size = 1"
-    return groups.where(fine).select(node, "group_size", F.col("lo").alias(answer))
+    given = tx.fingerprint(F.nullif(F.col(answer).cast("string"), F.lit("")))
+    given = F.when(F.coalesce(F.col(answer).cast("string"), F.lit("")) != "", given)
+    # only rows of groups travel; the others stand for themselves
+    member = rows.withColumn("__a", given).join(comp.select(F.col("node").alias("__n"), F.col("component").alias("__c")), F.col(node).cast("long") == F.col("__n"), "left").drop("__n")
+    grouped = member.where("__c is not null")
+    state = grouped.groupBy("__c").agg(F.count(F.lit(1)).alias("group_size"), F.min(node).alias("__first"), F.min("__a").alias("__lo"), F.max("__a").alias("__hi"))
+    fine = state.where("__lo is null or __lo = __hi") if check_answer else state
+    out = grouped.join(fine.drop("__lo", "__hi"), "__c").where(F.col(node) == F.col("__first"))
+    if names:
+        u = F.get(urls, F.col("__at")) if urls else F.lit(None).cast("string")
+        seen = grouped.select("__c", F.col(node).alias("__id"), F.posexplode(names).alias("__at", "__name"), *([urls] if urls else [])).where("coalesce(__name, '') <> ''")
+        seen = seen.groupBy("__c", "__name").agg(F.min(F.struct("__id", "__at", F.coalesce(u, F.lit("")).alias("u"))).alias("f"))
+        listed = seen.groupBy("__c").agg(F.array_sort(F.collect_list(F.struct("f.__id", "f.__at", "__name", "f.u"))).alias("__l"))
+        out = out.join(listed, "__c", "left").withColumn(names, F.coalesce(F.transform("__l", lambda x: x["__name"]), F.array().cast("array<string>")))
+        out = out.withColumn(urls, F.coalesce(F.transform("__l", lambda x: x["u"]), F.array().cast("array<string>"))) if urls else out
+    single = member.where("__c is null").withColumn("group_size", F.lit(1).cast("long"))
+    return single.select(*rows.columns, "group_size").unionByName(out.select(*rows.columns, "group_size"))
+
+
+# Keys of an answer.
+KEYS = ["A", "B", "C", "D"]
+
+
+def _tagged(parts: Mapping[str, DataFrame], question: str, key: str, trusted: list[str]) -> DataFrame:
+    """All parts with their tag and priority, whether the answer's key may stand, and the
+    question without bidi marks."""
+    out = None
+    for at, (tag, rows) in enumerate(parts.items()):
+        valid = F.lit(True) if tag in trusted else F.coalesce(F.col(key).isin(KEYS), F.lit(False))
+        part = rows.withColumns({question: F.col(question) if tag in trusted else tx.strip_bidi(F.col(question)), "provenance": F.lit(tag), "__part": F.lit(at), "__valid": valid})
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out.withColumn("__q", tx.stripped(F.col(question)))
 
 
-def combined(parts: Mapping[str, DataFrame], question: str, order: str, overrides: Mapping[str, str], renames: Mapping[str, str], first_id: int = 0) -> DataFrame:
-    """Inputs in order of priority (tag: rows with ``order``, subdomain), the first of equal
-    trimmed questions; subdomains by question from ``overrides``, then renamed; new ids."""
-    tagged = None
-    for at, (tag, rows) in enumerate(parts.items()):
-        part = rows.withColumns({"provenance": F.lit(tag), "__part": F.lit(at)})
-        tagged = part if tagged is None else tagged.unionByName(part, allowMissingColumns=True)
-    key = F.trim(F.col(question))
-    best = tagged.groupBy(key.alias("__q")).agg(F.min_by(F.struct(*tagged.columns), F.struct("__part", order)).alias("r")).select("r.*")
+def _lookup(x: Column, table: Mapping[str, str]) -> Column:
+    pairs = F.create_map(*[F.lit(v) for kv in table.items() for v in kv]) if table else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.try_element_at(pairs, x)
+
 
-    def looked_up(x: Column, table: Mapping[str, str]) -> Column:
-        pairs = F.create_map(*[F.lit(v) for kv in table.items() for v in kv]) if table else F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-        return F.try_element_at(pairs, x)
+def combined(parts: Mapping[str, DataFrame], question: str, order: str, domains: Mapping[str, str], renames: Mapping[str, str], key: str = "correct_key", trusted: list[str] = (), first_id: int = 0) -> DataFrame:
+    """Inputs in order of priority (tag: rows with ``order``, ``key``, domain, subdomain) as one.
 
-    placed = best.withColumn("subdomain", F.coalesce(looked_up(key, overrides), "subdomain"))
-    placed = placed.withColumn("subdomain", F.coalesce(looked_up(F.col("subdomain"), renames), "subdomain"))
+    Rows whose key is none of A to D go, but not those of ``trusted`` tags; questions of the
+    others lose their bidi marks.  Of equal stripped questions the first by (priority, order)
+    stays.  Then ``domains`` gives the domain of the subdomains that it lists, then ``renames``
+    renames subdomains.  Rows get new ids from ``first_id`` in order; an ``id`` of the input
+    is ``legacy_id``; ``provenance`` is the tag.
+    """
+    tagged = _tagged(parts, question, key, list(trusted)).where("__valid")
+    tagged = tagged.withColumnRenamed("id", "legacy_id") if "id" in tagged.columns else tagged
+    columns = [c for c in tagged.columns if c not in ("__q", "__valid")]
+    best = tagged.groupBy("__q").agg(F.min_by(F.struct(*columns), F.struct("__part", order)).alias("r")).select("r.*")
+    placed = best.withColumn("domain", F.coalesce(_lookup(F.col("subdomain"), domains), "domain"))
+    placed = placed.withColumn("subdomain", F.coalesce(_lookup(F.col("subdomain"), renames), "subdomain"))
     numbered = contiguous_ids(placed, ["__part", order])
     return numbered.withColumn("id", F.col("id") + first_id).drop("__part")
 
 
-def annotated(items: DataFrame, notes: DataFrame, valid: list[str], unsure: str = "unsure") -> DataFrame:
-    """Items (id, question, options, subdomain) whose notes (id, annotator, pick, flagged,
-    question_edit, option_edits) agree, with edits applied and bidi marks gone; ``pick`` is
-    what they agree on.  Edits count in order of the annotator, empty ones not at all."""
-    note = F.struct("annotator", "pick", "flagged", "question_edit", "option_edits")
-    held = notes.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("annotator", F.to_json(note).alias("j")))).alias("l"))  # few notes for an item
-    kind = "struct<annotator:string,pick:string,flagged:boolean,question_edit:string,option_edits:map<string,string>>"
-    held = held.select("id", F.transform("l", lambda x: F.from_json(x["j"], kind)).alias("n"))
-    flagged = F.exists("n", lambda x: F.coalesce(x["flagged"], F.lit(False)))
-    said = held.withColumn("verdict", verdict(F.col("n.pick"), flagged, valid, unsure)).where("verdict = 'include'")
-    joined = items.join(said, "id")
-    options = F.transform_values("options", lambda k, v: tx.strip_bidi(merge_edits(F.transform("n", lambda x: F.try_element_at(x["option_edits"], k)), v)))
-    question = tx.strip_bidi(merge_edits(F.col("n.question_edit"), F.col("question")))
-    return joined.select("id", question.alias("question"), options.alias("options"), "subdomain", F.col("n")[0]["pick"].alias("pick"))
+def combine_counts(parts: Mapping[str, DataFrame], question: str, order: str, key: str = "correct_key", trusted: list[str] = ()) -> DataFrame:
+    """(provenance, n_input, n_no_key, n_duplicate, n_kept) of ``combined``, by tag."""
+    tagged = _tagged(parts, question, key, list(trusted))
+    firsts = tagged.where("__valid").groupBy("__q").agg(F.min(F.struct("__part", order)).alias("f"), F.count(F.lit(1)).alias("n"))
+    kept = firsts.groupBy(F.col("f.__part").alias("__part")).agg(F.count(F.lit(1)).alias("n_kept"))
+    sizes = tagged.groupBy("provenance", "__part").agg(F.count(F.lit(1)).alias("n_input"), F.count_if(~F.col("__valid")).alias("n_no_key"))
+    out = sizes.join(kept, "__part", "left").withColumn("n_kept", F.coalesce("n_kept", F.lit(0)))
+    return out.select("provenance", "n_input", "n_no_key", (F.col("n_input") - F.col("n_no_key") - F.col("n_kept")).alias("n_duplicate"), "n_kept")
+
+
+def noted(items: DataFrame, notes: DataFrame, order: list[str], valid: list[str], unsure: str = "unsure") -> DataFrame:
+    """``items`` (id, ...) that have notes, plus ``notes`` (an array by annotator) and
+    ``verdict``.
+
+    Of an annotator's notes (id, annotator, pick, flagged, ...) on an item the last in
+    ``order`` counts; notes on unknown items go.  An item's annotators are few.
+    """
+    last = last_wins(notes, ["id", "annotator"], order)
+    named = last.groupBy("id").agg(F.collect_list(F.struct(*[c for c in last.columns if c != "id"])).alias("n"))
+    by_name = lambda a, b: F.when(a["annotator"] < b["annotator"], -1).when(a["annotator"] > b["annotator"], 1).otherwise(0)
+    listed = named.select("id", F.array_sort("n", by_name).alias("notes"))
+    flagged = F.exists("notes", lambda x: F.coalesce(x["flagged"], F.lit(False)))
+    return items.join(listed, "id").withColumn("verdict", verdict(F.col("notes.pick"), flagged, valid, unsure))
+
+
+def annotated(noted_items: DataFrame, order: str = "id") -> DataFrame:
+    """The included rows of ``noted`` (id, question, options, domain, subdomain, notes,
+    verdict) with edits applied and bidi marks gone; ``correct_key`` is what they agree on.
+
+    Edits (question_edit, subdomain_edit, option_edits) count in order of the annotator,
+    empty ones not at all, the longest of several.  The domain is the one that most of all
+    noted rows give to the edited subdomain (of equals the one seen first by ``order``),
+    or the row's own if none does.
+    """
+    said = noted_items.where("verdict = 'include'")
+    options = F.transform_values("options", lambda k, v: tx.strip_bidi(merge_edits(F.transform("notes", lambda x: F.try_element_at(x["option_edits"], k)), v)))
+    question = tx.strip_bidi(merge_edits(F.col("notes.question_edit"), F.col("question")))
+    subdomain = merge_edits(F.col("notes.subdomain_edit"), F.col("subdomain"))
+    known = noted_items.where("coalesce(subdomain, '') <> '' and coalesce(domain, '') <> ''")
+    usual = majority(known, "subdomain", "domain", order).select(F.col("subdomain").alias("__s"), F.col("domain").alias("__d"))
+    edited = said.select("id", question.alias("question"), options.alias("options"), subdomain.alias("subdomain"), F.col("domain").alias("__own"), F.col("notes")[0]["pick"].alias("correct_key"))
+    placed = edited.join(usual, edited["subdomain"] == usual["__s"], "left")
+    return placed.select("id", "question", "options", "correct_key", F.coalesce("__d", "__own").alias("domain"), "subdomain", (~F.coalesce("__d", "__own").eqNullSafe(F.col("__own"))).alias("domain_corrected"))
+
+
+def drop_counts(noted_items: DataFrame) -> DataFrame:
+    """(verdict, n): how many noted rows are included, and how many go for each reason."""
+    return noted_items.groupBy("verdict").agg(F.count(F.lit(1)).alias("n"))
+
+
+def without_parse_failures(predictions: DataFrame, prediction: str, options: Column) -> DataFrame:
+    """Predictions that name an answer, by a pattern or by an option's text; error answers
+    (they are counted apart) stay."""
+    said = F.coalesce(F.col(prediction), F.lit(""))
+    error = said.startswith("ERROR") | said.startswith("CONNECTION_FAILED")
+    key = F.coalesce(tx.parse_key(said), tx.parse_key_from_options(said, options))
+    return predictions.where(error | key.isNotNull())

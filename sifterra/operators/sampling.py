@@ -5,9 +5,6 @@ Order is that of md5('seed:id'), so results are the same in every run and engine
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -23,45 +20,35 @@ def hash_uniform(seed: int, ident: str) -> Column:
     return F.conv(F.substring(hash_order(seed, ident), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def proportional_allocate(sizes: Iterable[int], cap: int) -> list[int]:
-    """Places for each cell, proportional to its size, summing to min(cap, total).
-
-    Shares are rounded half to even and cut to the cell.  What is missing goes to the
-    largest cell with room, one at a time; what is over is taken, one place each, from
-    the cells that exceed their exact share most (the last of equals first).
-    """
-    sizes = list(sizes)
-    total = sum(sizes)
-    if total <= cap:
-        return sizes
-    got = [min(n, round(n * cap / total)) for n in sizes]
-    by_size = sorted(range(len(sizes)), key=lambda k: -sizes[k])
-    while (short := cap - sum(got)) > 0:
-        k = next((k for k in by_size if got[k] < sizes[k]), None)
-        if k is None:
-            break
-        got[k] += min(short, sizes[k] - got[k])
-    if (over := sum(got) - cap) > 0:
-        # rounding raised these above their exact shares, none by more than a half
-        raised = sorted((got[k] - sizes[k] * cap / total, k) for k in range(len(sizes)) if got[k] > 0)
-        for _, k in raised[-over:]:
-            got[k] -= 1
-    return got
-
-
 def quotas(rows: DataFrame, group: str, cell: list[str], cap: int, pos: str) -> DataFrame:
-    """(group, cell..., n, quota); cells of a group count in the order of their first row.
-
-    Only cell counts are gathered for each group, never rows.
+    """(group, cell..., n, quota): places of each cell, proportional to its size, summing to
+    min(cap, total) in each group.
+
+    Shares are rounded half to even.  What is missing goes to the largest cells with room,
+    the first of equals first; what is over is taken, one place each, from the cells that
+    exceed their exact share most, the last of equals first.  Cells of a group count in the
+    order of their first row by ``pos``.  All of it is arithmetic over windows of a row for
+    each cell; null groups and cells are groups and cells.
     """
     cells = rows.groupBy(group, *cell).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("__first"))
-
-    def allocate(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("__first")
-        return pdf.drop(columns="__first").assign(quota=proportional_allocate(pdf["n"].tolist(), cap))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cells.schema.fields if f.name != "__first")
-    return cells.groupBy(group).applyInPandas(allocate, f"{schema}, quota long")
+    of = Window.partitionBy(group)
+    sized = cells.withColumns({"__total": F.sum("n").over(of), "__at": F.row_number().over(of.orderBy(F.col("__first").asc_nulls_first(), *cell))})
+    whole = F.expr(f"(n * {cap}) div __total")
+    twice = 2 * (F.col("n") * cap - whole * F.col("__total"))
+    up = (twice > F.col("__total")) | ((twice == F.col("__total")) & (whole % 2 == 1))
+    rounded = sized.withColumn("__got", F.when(F.col("__total") <= cap, F.col("n")).otherwise(F.least("n", whole + up.cast("long"))))
+    by_size = of.orderBy(F.desc("n"), "__at").rowsBetween(Window.unboundedPreceding, -1)
+    by_excess = of.orderBy(F.col("__got") == 0, F.desc(F.col("__got") * F.col("__total") - F.col("n") * cap), F.desc("__at"))
+    off = rounded.withColumns(
+        {
+            "__short": F.least(F.lit(cap), F.col("__total")) - F.sum("__got").over(of),
+            "__room": F.coalesce(F.sum(F.col("n") - F.col("__got")).over(by_size), F.lit(0)),
+            "__rank": F.row_number().over(by_excess),
+        }
+    )
+    given = F.greatest(F.lit(0), F.least(F.col("n") - F.col("__got"), F.col("__short") - F.col("__room")))
+    taken = ((F.col("__rank") <= -F.col("__short")) & (F.col("__got") > 0)).cast("long")
+    return off.select(group, *cell, "n", (F.col("__got") + given - taken).cast("long").alias("quota"))
 
 
 def hash_ranked(rows: DataFrame, by: list[str], ident: str, seed: int, name: str) -> DataFrame:
@@ -86,7 +73,11 @@ def stratified_sample(rows: DataFrame, group: str, cell: list[str], cap: int, id
     """``rows`` plus ``sampled``: whether the row is in its group's sample of ``cap``."""
     q = quotas(rows, group, cell, cap, ident).drop("n")
     ranked = hash_ranked(rows, [group, *cell], ident, seed, "__rn")
-    return ranked.join(q, [group, *cell]).withColumn("sampled", F.col("__rn") <= F.col("quota")).drop("__rn", "quota")
+    same = F.lit(True)
+    for c in (group, *cell):
+        same = same & ranked[c].eqNullSafe(q[c])
+    out = ranked.join(q, same)
+    return out.select(*[ranked[c] for c in rows.columns], (F.col("__rn") <= F.col("quota")).alias("sampled"))
 
 
 def pure_batches(rows: DataFrame, group: str, ident: str, size: int = 50, seed: int = 42) -> DataFrame:
@@ -124,6 +115,40 @@ def impute_level(rows: DataFrame, trusted: DataFrame, group: str, level: str, id
     return drawn.withColumn(level, F.coalesce(F.when(F.col(level) != "", F.col(level)), pick)).drop("__d")
 
 
+def in_ranges(points: DataFrame, ranges: DataFrame, key: str, value: str, lo: str = "lo", hi: str = "hi", bins: int = 64) -> DataFrame:
+    """``points`` with the row of ``ranges`` of their key whose [lo, hi) holds their value; points
+    in no range go.
+
+    A range join as an equi-join: the span [0, 1) is cut into ``bins``, a range has a copy for
+    each bin that it reaches into, and a point looks in its own bin alone.  Any number of
+    ranges, so tables need not fit one array or one broadcast; a key that holds many points
+    is dealt over its bins, and adaptive execution splits it further.
+    """
+    bin_of = lambda x: F.least(F.greatest(F.floor(x * bins), F.lit(0)), F.lit(bins - 1)).cast("int")
+    # a range ends before hi, so one that ends at a bin's edge does not reach into it
+    last = F.greatest(bin_of(F.col(lo)), F.least(F.ceil(F.col(hi) * bins) - 1, F.lit(bins - 1)).cast("int"))
+    cut = ranges.where(F.col(lo) < F.col(hi)).withColumn("__bin", F.explode(F.sequence(bin_of(F.col(lo)), last)))
+    names = [c for c in ranges.columns if c != key]
+    cut = cut.select(F.col(key).alias("__key"), "__bin", *[F.col(c).alias(f"__r_{c}") for c in names])
+    near = points.withColumn("__bin", bin_of(F.col(value)))
+    inside = near[key].eqNullSafe(cut["__key"]) & (near["__bin"] == cut["__bin"]) & (F.col(f"__r_{lo}") <= F.col(value)) & (F.col(value) < F.col(f"__r_{hi}"))
+    return near.join(cut, inside).select(*[near[c] for c in points.columns], *[F.col(f"__r_{c}").alias(c) for c in names])
+
+
+def impute_level_by_ranges(rows: DataFrame, trusted: DataFrame, group: str, level: str, ident: str, seed: int = 42) -> DataFrame:
+    """``impute_level`` for levels too many for an array in each row: missing ones are drawn by
+    a range join; rows of a group without trusted levels draw from all."""
+    table = weighted_levels(trusted, group, level)
+    known = table.where(F.col(group).isNotNull()).select(group).distinct().withColumnRenamed(group, "__known")
+    u = rows.withColumns({"__u": hash_uniform(seed, ident), "__row": F.monotonically_increasing_id()})
+    has, lacks = u.where(F.coalesce(F.col(level), F.lit("")) != ""), u.where(F.coalesce(F.col(level), F.lit("")) == "")
+    keyed = lacks.join(known, lacks[group] == known["__known"], "left").withColumnRenamed("__known", "__g")
+    drawn = in_ranges(keyed.drop(level), table.withColumnRenamed(group, "__g"), "__g", "__u")
+    got = drawn.select(*[F.col(c) for c in rows.columns])
+    if_none = trusted.where(F.col(level).isNotNull()).isEmpty()
+    return has.select(*rows.columns).unionByName(lacks.select(*rows.columns) if if_none else got)
+
+
 def shuffle_options(rows: DataFrame, options: str, answer_key: str, ident: str, seed: int = 42) -> DataFrame:
     """Option texts dealt anew to the sorted keys; the answer key follows its text."""
     o = F.col(options)

@@ -100,14 +100,22 @@ _TIER = "case when len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w
 _ORDER = "md5('42:' || doc_id), doc_id"
 
 
-@query()
+_QUOTAS = (
+    f"c as (select lang, source, tier, count(*) as n, min(doc_id) as f from (select doc_id, lang, source, {_TIER} as tier from documents) group by 1, 2, 3), c2 as (select *, sum(n) over (partition by lang)::bigint as total, row_number() over (partition by lang order by f) as pos from c), "
+    "r as (select *, case when total <= 100 then n else least(n, (n * 100) // total + case when 2 * ((n * 100) % total) > total or (2 * ((n * 100) % total) = total and ((n * 100) // total) % 2 = 1) then 1 else 0 end) end as got from c2), "
+    "o as (select *, least(100, total) - sum(got) over (partition by lang) as short, coalesce(sum(n - got) over (partition by lang order by n desc, pos rows between unbounded preceding and 1 preceding), 0) as room, row_number() over (partition by lang order by got = 0, got * total - n * 100 desc, pos desc) as rk from r), "
+    "q as (select lang, source, tier, n, (got + greatest(0, least(n - got, short - room)) - case when rk <= -short and got > 0 then 1 else 0 end)::bigint as quota from o)"
+)
+
+
+@query(f"with {_QUOTAS}, x as (select doc_id, lang, source, {_TIER} as tier from documents), y as (select *, row_number() over (partition by lang, source, tier order by {_ORDER}) as rn from x) select y.doc_id, y.lang, y.source, y.tier, rn <= quota as sampled from y join q on q.lang is not distinct from y.lang and q.source is not distinct from y.source and q.tier = y.tier")
 def stratified_sample(t: Tables):
     """CMP7, CMP8, WIN6 and SET5: a sample of 100 in each language by source and length."""
     d = t.documents.select("doc_id", "lang", "source", tx.length_tier(F.col("text")).alias("tier"))
     return sm.stratified_sample(d, "lang", ["source", "tier"], 100, "doc_id")
 
 
-@query()
+@query(f"with {_QUOTAS} select * from q")
 def quotas(t: Tables):
     """CMP7 alone: places of each cell."""
     d = t.documents.select("doc_id", "lang", "source", tx.length_tier(F.col("text")).alias("tier"))

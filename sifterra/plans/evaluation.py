@@ -154,16 +154,6 @@ def agg_majority(t: Tables):
     return ag.majority(x, "sub", "dom", "c_custkey")
 
 
-_EDITS = [("1", ["a", "abc", "xyz"], "o", "abc"), ("2", [], "o", "o"), ("3", ["", "q"], "o", "q"), ("4", ["same", "same"], "o", "same")]
-
-
-@query("select * from (values " + ", ".join(f"('{i}', '{o}', '{r}')" for i, _, o, r in _EDITS) + ") v(i, original, result)")
-def edits_merged(t: Tables):
-    """TXT31/SRT6."""
-    rows = t.spark.createDataFrame([(i, e, o) for i, e, o, _ in _EDITS], "i string, e array<string>, original string")
-    return rows.select("i", "original", ag.merge_edits(F.col("e"), F.col("original")).alias("result"))
-
-
 @query()
 def edits_merged_whole(t: Tables):
     """TXT31/SRT6 over whole texts: two transforms as the edits of each text."""

@@ -82,13 +82,6 @@ def flt_errors(t: Tables):
     return rc.without_flag(rc.complete(rows, ["text"]), "error").select("conv_id", "turn")
 
 
-@query()
-def flt_parse_failures(t: Tables):
-    """FLT7 and FLT10: rows whose answer key can be read and is one of A to D."""
-    rows = t.conversations.select("conv_id", "turn", tx.parse_key(F.col("text")).alias("key"))
-    return rows.where(F.col("key").isin("A", "B", "C", "D"))
-
-
 @query("select count(*) as total, count(*) filter (where lang = 'fr' or source = 'src2')::bigint as excluded, count(*) filter (where not (lang = 'fr' or coalesce(source, '') = 'src2') and quality = 1)::bigint as good from documents left join labels using (doc_id)")
 def flt_excluded(t: Tables):
     """FLT11: rows excluded by domain or subdomain, counted apart."""
@@ -187,13 +180,21 @@ def _options(x):
 _SIGNED = f"sig as (select doc_id, list_distinct(list_filter(list_transform([1, 2, 3, 4], lambda i: replace({fingerprint_sql('w[i]')}, ' ', '')), lambda v: v <> '')) as s from (select doc_id, {words_sql('text')} as w from documents))"
 
 
-@query(_PAIRS + f", {_SIGNED}, linked as (select i, j from pairs join sig a on a.doc_id = i join sig b on b.doc_id = j where pairs.inter >= 0.9 * (n_i + n_j - pairs.inter) - 1e-9 and len(list_intersect(a.s, b.s)) >= 0.5 * len(list_distinct(a.s || b.s)) - 1e-9 and len(a.s || b.s) > 0), "
+_ALL_PAIRS = _PAIRS.replace("df as (select t, count(*) as df from lt group by 1)", "df as (select t, count(*) as df from tok group by 1)")
+
+
+@query(_ALL_PAIRS + f", {_SIGNED}, linked as (select i, j from pairs join sig a on a.doc_id = i join sig b on b.doc_id = j where pairs.inter >= 0.9 * (n_i + n_j - pairs.inter) - 1e-9 and len(list_intersect(a.s, b.s)) >= 0.5 * len(list_distinct(a.s || b.s)) - 1e-9 and len(a.s || b.s) > 0), "
        "both_ as (select i as u, j as v from linked union select j, i from linked), reach as (select u as node, u as r from both_ union select node, v from reach join both_ on both_.u = reach.r), comp as (select node, min(r) as c from reach group by 1), "
-       "g as (select coalesce(c, d.doc_id) as c, quality::varchar as a from documents d left join labels using (doc_id) left join comp on node = d.doc_id) select c as doc_id, count(*) as group_size, min(a) as quality from g group by c having count(distinct a) < 2")
+       "g as (select coalesce(c, d.doc_id) as c, d.doc_id, coalesce(source, '') as source, lang, quality::varchar as a from documents d left join labels using (doc_id) left join comp on node = d.doc_id), k as (select c, count(*) as n from g group by 1 having count(distinct a) < 2), "
+       "f as (select c, source, min(doc_id) as p, arg_min(lang, doc_id) as l from g where source <> '' group by 1, 2), s as (select c, string_agg(source, ',' order by p) as sources, string_agg(coalesce('u/' || l, ''), ',' order by p) as urls from f group by 1) "
+       "select d.doc_id, k.n as group_size, quality, coalesce(s.sources, '') as sources, coalesce(s.urls, '') as urls from k join documents d on d.doc_id = k.c left join labels using (doc_id) left join s on s.c = k.c where k.n > 1 "
+       "union all select d.doc_id, 1, quality, coalesce(source, ''), coalesce('u/' || lang, '') from k join documents d on d.doc_id = k.c left join labels using (doc_id) where k.n = 1")
 def correlated_dedup(t: Tables):
-    """CMP3 and TXT10: question Jaccard 0.9 with option-signature Jaccard 0.5 (a text's first four words as its options)."""
-    rows = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id", "left")
-    return rc.correlated_dedup(rows, "doc_id", tx.tokens(F.col("text")), _options(F.col("text")), "quality")
+    """CMP3, AGG14 and TXT10: question Jaccard 0.9 with option-signature Jaccard 0.5 (a text's
+    first four words as its options), the first row with the sources of its group."""
+    rows = t.documents.select("doc_id", "text", F.array("source").alias("source"), F.array(F.concat(F.lit("u/"), "lang")).alias("source_url")).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    out = rc.correlated_dedup(rows, "doc_id", tx.tokens(F.col("text")), _options(F.col("text")), "quality", names="source", urls="source_url")
+    return out.select("doc_id", "group_size", "quality", F.array_join("source", ",").alias("sources"), F.array_join("source_url", ",").alias("urls"))
 
 
 _CANON = f"{fingerprint_sql('text')} || '‖' || list_aggregate(list_sort([{fingerprint_sql('source')}, {fingerprint_sql('lang')}]), 'string_agg', '|')"
@@ -207,34 +208,66 @@ def canonical_groups(t: Tables):
     return t.documents.groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
-@query("with x as (select p_partkey as pos, p_name as q, p_type as sub, case when p_partkey % 3 = 0 then 0 when p_partkey % 3 = 1 then 1 else 2 end as part from part), b as (select trim(q) as q, arg_min(pos, (part, pos)) as pos, arg_min(sub, (part, pos)) as sub, min(part) as part from x group by 1), "
-       "o as (select *, case when q = 'red widget' then 'STANDARD' else sub end as s1 from b) select row_number() over (order by part, pos) - 1 + 100 as id, q as question, ['first', 'second', 'third'][part + 1] as provenance, case when s1 = 'STANDARD' then 'normal' else s1 end as subdomain from o")
+#: Domains by subdomain and new names of subdomains, for the kinds of parts.
+_DOMAINS, _RENAMES = {"STANDARD": "Profession", "ECONOMY": "Humanities"}, {"STANDARD": "professional studies", "PROMO": "fine arts"}
+_PARTS = (
+    "x as (select p_partkey as pos, p_name as q, p_brand as dom, p_type as sub, (p_partkey % 3)::int as part, case when p_size % 6 < 4 then chr(65 + (p_size % 6)::int) when p_size % 6 = 4 then 'E' end as key from part), "
+    "v as (select *, part = 0 or coalesce(key, 'E') <> 'E' as valid from x), b as (select trim(q) as q, arg_min(pos, (part, pos)) as pos, min(part) as part from v where valid group by 1)"
+)
+
+
+def _parts(t: Tables):
+    key = F.get(F.array(*map(F.lit, "ABCDE")), (F.col("p_size") % 6).cast("int"))
+    x = t.part.select(F.col("p_partkey").alias("id"), F.col("p_partkey").alias("pos"), F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).otherwise(F.concat(F.lit(MARKED), "p_name")).alias("question"), F.col("p_brand").alias("domain"), F.col("p_type").alias("subdomain"), key.alias("correct_key"))
+    return {tag: x.where(F.col("pos") % 3 == k) for k, tag in enumerate(("annotated", "scraped", "upsampled"))}
+
+
+@query(f"with {_PARTS} select row_number() over (order by b.part, b.pos) - 1 as id, b.pos as legacy_id, b.q as question, ['annotated', 'scraped', 'upsampled'][b.part + 1] as provenance, key as correct_key, case sub when 'STANDARD' then 'Profession' when 'ECONOMY' then 'Humanities' else dom end as domain, case sub when 'STANDARD' then 'professional studies' when 'PROMO' then 'fine arts' else sub end as subdomain from b join x using (pos)")
 def priority_combine(t: Tables):
-    """CMP14: three inputs by priority, tags, overrides before renames, new ids."""
-    x = t.part.select(F.col("p_partkey").alias("pos"), F.col("p_name").alias("question"), F.col("p_type").alias("subdomain"))
-    parts = {tag: x.where(F.col("pos") % 3 == k) for k, tag in enumerate(("first", "second", "third"))}
-    out = rc.combined(parts, "question", "pos", {"red widget": "STANDARD"}, {"STANDARD": "normal"}, 100)
-    return out.select("id", "question", "provenance", "subdomain")
+    """CMP14 and FLT7: three inputs by priority, valid keys, domains by subdomain before renames, new ids."""
+    out = rc.combined(_parts(t), "question", "pos", _DOMAINS, _RENAMES, trusted=["annotated"])
+    return out.select("id", "legacy_id", "question", "provenance", "correct_key", "domain", "subdomain")
 
 
-_NOTED = ("n as (select event_id % 1999 as id, user_id::varchar as annotator, event_type as pick, value > 90 as flagged, case when user_id % 2 = 0 then 'q' || repeat('x', (user_id % 5)::int) || user_id end as qe, case when user_id % 3 = 0 then 'o' || user_id end as oe from events where event_type in ('click', 'view')), "
-          "v as (select id from n group by id having count(*) >= 2 and not bool_or(flagged) and count(distinct pick) = 1)")
+@query(f"with {_PARTS} select ['annotated', 'scraped', 'upsampled'][part + 1] as provenance, count(*) as n_input, count(*) filter (where not valid)::bigint as n_no_key, (count(*) filter (where valid) - coalesce(any_value(k), 0))::bigint as n_duplicate, coalesce(any_value(k), 0)::bigint as n_kept from v left join (select part, count(*) as k from b group by 1) using (part) group by part")
+def combine_counts(t: Tables):
+    """CMP14: what each input gives and loses."""
+    return rc.combine_counts(_parts(t), "question", "pos", trusted=["annotated"])
 
 
-@query(f"with {_NOTED}, e as (select id, min(pick) as pick, max_by(qe, (length(qe), -rank)) filter (where qe is not null) as qe, max_by(oe, (length(oe), -rank)) filter (where oe is not null) as oe from (select *, row_number() over (partition by id order by annotator, qe, oe) as rank from n) group by id) "
-       "select p_partkey as id, coalesce(qe, p_name) as question, coalesce(oe, p_brand) as a, p_type as b, pick from part join v on v.id = p_partkey join e on e.id = p_partkey")
-def final_records(t: Tables):
-    """CMP15 and TXT31: annotations, verdicts, edits of each field and option key."""
-    e = t.events.where(F.col("event_type").isin("click", "view"))
+_NOTED = (
+    "n as (select event_id % 1999 as id, user_id % 3 as who, event_type as pick, value > 60 as flagged, case when user_id % 2 = 0 then 'q' || repeat('x', (user_id % 5)::int) || user_id else '' end as qe, case when user_id % 3 = 0 then 'o' || user_id end as oe, case when user_id % 4 = 0 then ['ECONOMY', 'STANDARD', 'new'][user_id % 3 + 1] end as se "
+    "from events qualify row_number() over (partition by event_id % 1999, user_id % 3 order by event_id desc) = 1), "
+    "v as (select id, case when count(*) < 2 then 'single_annotated' when bool_or(flagged) then 'flagged' when bool_or(pick = 'error') then 'unsure' when bool_or(pick not in ('click', 'view', 'error')) then 'invalid' when count(distinct pick) > 1 then 'disagree' else 'include' end as verdict from n join part on p_partkey = id group by 1)"
+)
+
+
+def _noted(t: Tables):
     u = F.col("user_id")
-    notes = e.select(
-        (F.col("event_id") % 1999).alias("id"), u.cast("string").alias("annotator"), F.col("event_type").alias("pick"), (F.col("value") > 90).alias("flagged"),
-        F.when(u % 2 == 0, F.concat(F.lit("q"), F.repeat(F.lit("x"), (u % 5).cast("int")), u.cast("string"))).alias("question_edit"),
+    notes = t.events.select(
+        (F.col("event_id") % 1999).alias("id"), "event_id", (u % 3).cast("string").alias("annotator"), F.col("event_type").alias("pick"), (F.col("value") > 60).alias("flagged"),
+        F.when(u % 2 == 0, F.concat(F.lit("q"), F.repeat(F.lit("x"), (u % 5).cast("int")), u.cast("string"))).otherwise("").alias("question_edit"),
         F.create_map(F.lit("A"), F.when(u % 3 == 0, F.concat(F.lit("o"), u.cast("string")))).alias("option_edits"),
-    )
-    items = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(MARKED), "p_name").alias("question"), F.create_map(F.lit("A"), F.col("p_brand"), F.lit("B"), F.col("p_type")).alias("options"), F.col("p_type").alias("subdomain"))
-    out = rc.annotated(items, notes, ["click", "view"])
-    return out.select("id", "question", F.col("options")["A"].alias("a"), F.col("options")["B"].alias("b"), "pick")
+        F.when(u % 4 == 0, F.get(F.array(F.lit("ECONOMY"), F.lit("STANDARD"), F.lit("new")), (u % 3).cast("int"))).alias("subdomain_edit"),
+    )
+    items = t.part.select(F.col("p_partkey").alias("id"), F.concat(F.lit(MARKED), "p_name").alias("question"), F.create_map(F.lit("A"), F.col("p_brand"), F.lit("B"), F.col("p_type")).alias("options"), F.col("p_brand").alias("domain"), F.col("p_type").alias("subdomain"))
+    return rc.noted(items, notes, ["event_id"], ["click", "view"], "error")
+
+
+@query(f"with {_NOTED}, e as (select id, min(pick) as pick, max_by(qe, (length(qe), -who)) filter (where qe <> '') as qe, max_by(oe, (length(oe), -who)) filter (where oe is not null) as oe, max_by(se, (length(se), -who)) filter (where se is not null) as se from n group by 1), "
+       "c as (select p_type as s, p_brand as d, count(*) as k, min(p_partkey) as f from part join v on v.id = p_partkey group by 1, 2), usual as (select s, max_by(d, (k, -f)) as d from c group by 1), "
+       "x as (select p_partkey as id, coalesce(qe, p_name) as question, coalesce(oe, p_brand) as a, p_type as b, pick as correct_key, p_brand as own, coalesce(se, p_type) as subdomain from part join v on v.id = p_partkey join e on e.id = p_partkey where verdict = 'include') "
+       "select id, question, a, b, correct_key, coalesce(d, own) as domain, subdomain, coalesce(d, own) <> own as domain_corrected from x left join usual on s = subdomain")
+def final_records(t: Tables):
+    """CMP15, JN3 and TXT31: last notes, verdicts, edits of question, options and subdomain, the usual domain."""
+    out = rc.annotated(_noted(t))
+    return out.select("id", "question", F.col("options")["A"].alias("a"), F.col("options")["B"].alias("b"), "correct_key", "domain", "subdomain", "domain_corrected")
+
+
+@query(f"with {_NOTED} select verdict, count(*) as n from v group by 1")
+def final_drops(t: Tables):
+    """CMP15: how many rows go for each reason."""
+    return rc.drop_counts(_noted(t))
 
 
 @query("select doc_id, case when length(trim(text)) >= length(text) then trim(text) else text end as result from documents where false union all select doc_id, coalesce(nullif(case when length(source) >= length(lang) then source else lang end, ''), text) as result from documents")

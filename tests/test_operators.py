@@ -4,8 +4,6 @@ import random
 
 import pandas as pd
 import pytest
-from hypothesis import given, settings
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from sifterra.functions import text as tx
@@ -37,13 +35,6 @@ def test_components_of_nothing(spark):
     assert connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(1, 60), min_size=1, max_size=12), st.integers(1, 200))
-def test_allocation_sums_to_the_cap(sizes, cap):
-    got = sampling.proportional_allocate(sizes, cap)
-    assert sum(got) == min(cap, sum(sizes)) and all(0 <= g <= n for g, n in zip(got, sizes, strict=True))
-
-
 def test_sample_is_a_partition_of_the_input(spark):
     rows = spark.range(500).select(F.col("id"), (F.col("id") % 3).cast("string").alias("g"), (F.col("id") % 7).alias("c"))
     out = sampling.stratified_sample(rows, "g", ["c"], 40, "id").toPandas()
@@ -189,21 +180,6 @@ def test_full_sweep_against_brute_force(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["threshold_sweep_full"](spark, str(tmp_path)).collect())) == want
 
 
-def test_literal_operators_run_over_whole_tables(spark, sf_dir):
-    from sifterra.plans import ORACLES, QUERIES
-    from sifterra.plans.texts import LITERALS, WHOLE
-
-    names = [*LITERALS, "txt_option_prefix", "txt_match_options", "edits_merged"]
-    assert len(names) == 17
-    for name in names:
-        table, *_ = WHOLE.get(name, ("conversations" if name == "txt_match_options" else "documents",))
-        want = spark.read.parquet(f"{sf_dir}/{table}.parquet").count()
-        out = QUERIES[f"{name}_whole"](spark, sf_dir)
-        assert len(out.collect()) == want and f"{name}_whole" not in ORACLES, name
-    hosts = QUERIES["txt_host_whole"](spark, sf_dir).where("result <> ''").count()
-    assert hosts > 0
-
-
 def test_upsert_goes_on_after_a_restart(spark, tmp_path):
     path, schema = str(tmp_path / "t"), "k string, v int"
     batch = lambda *rows: spark.createDataFrame(list(rows), schema)
@@ -225,30 +201,3 @@ def test_a_failed_write_leaves_the_old_result(spark, tmp_path):
     assert spark.read.json(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
     sinks.json_lines(spark.range(5), path)
     assert spark.read.json(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["out"]
-
-
-def test_allocation_takes_one_place_at_a_time():
-    import random
-
-    from sifterra.operators.sampling import proportional_allocate
-
-    rng = random.Random(1)
-    for _ in range(500):
-        sizes = [rng.randint(1, 40) for _ in range(rng.randint(1, 12))]
-        cap = rng.randint(1, 120)
-        total = sum(sizes)
-        if total <= cap:
-            continue
-        want = [min(n, round(n * cap / total)) for n in sizes]
-        if sum(want) <= cap:
-            continue
-        share = [n * cap / total for n in sizes]
-        for _ in range(sum(want) - cap):
-            most = max((want[k] - share[k], k) for k in range(len(sizes)) if want[k])[1]
-            want[most] -= 1
-        assert proportional_allocate(sizes, cap) == want
-
-
-def test_two_blanks_before_a_word_are_taken(spark):
-    row = spark.createDataFrame([("A  apple", "A"), ("A apple", "A")], "x string, k string")
-    assert [r[0] for r in row.select(tx.strip_option_prefix(F.col("x"), F.col("k"))).collect()] == [" apple", "A apple"]
