@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Accumulator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -347,12 +348,14 @@ def _search(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, th
         yield _joined(found)
 
 
-def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float = THRESHOLD, keys: Pairs | None = None, beam: int = BEAM, digest=lambda a, b: (a, b)) -> tuple[list, int]:
+def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, threshold: float = THRESHOLD, keys: Pairs | None = None, beam: int = BEAM, digest=lambda a, b: (a, b), told=lambda by_graph: None) -> tuple[list, int]:
     """What ``digest`` makes of the (query, vector) pairs of cosine >= threshold, some queries
     at a time, and the beam that passed the audits (to be passed on to the next block).
 
     ``exact`` and ``base`` are the unit vectors of queries and of the shard in double
-    precision, ``keys`` tell which are the same.
+    precision, ``keys`` tell which are the same.  The graph is searched whatever its size;
+    only a block whose audits fail until the beam is a sizeable part of the shard is
+    compared by brute force.  ``told`` learns which of the two gave the result.
     """
     n = len(graph.x) - 1
     beam = min(beam, n)
@@ -365,17 +368,19 @@ def near(graph: Graph, q: np.ndarray, exact: np.ndarray, base: np.ndarray, thres
 
     audited = np.zeros(len(q), bool)
     audited[truths[0][0]] = True
-    while beam * 8 < n or beam == n:
+    while True:
         if enough(_joined(_search(graph, probes.astype(np.float32), probes, base, threshold, beam)), truths[1]):
             out, checked = [], []
             for a, b in _search(graph, q, exact, base, threshold, beam):
                 out.append(digest(a, b))
                 checked.append((a[audited[a]], b[audited[a]]))
             if enough(_joined(checked), truths[0]):
+                told(True)
                 return out, beam
-        if beam == n:
-            break
         beam = min(n, beam * 2)
+        if beam * 8 >= n:
+            break
+    told(False)
     return [digest(a, b) for a, b in _brute_blocks(exact, base, threshold)], beam
 
 
@@ -428,7 +433,7 @@ def _index(t: pa.Table) -> pa.Table:
     return pa.table({"dim": t["dim"][:1], "shard": t["shard"][:1]} | {k: pa.array([v], pa.binary()) for k, v in blobs.items()})
 
 
-def _queried(dtype: np.dtype, threshold: float):
+def _queried(dtype: np.dtype, threshold: float, blocks: tuple[Accumulator, Accumulator] | None = None):
     """Rows (dim, shard, lane, turn, graph, nodes, copies, base, node, e), of each lane the
     graph first (turn 0) and then its queries: rows (node, other, links)."""
 
@@ -448,7 +453,11 @@ def _queried(dtype: np.dtype, threshold: float):
                     who, at = np.unique(a, return_inverse=True)
                     return mine[who], np.bincount(at, copies[b], len(who)).astype(np.int64), spanning(mine[a], nodes[b])
 
-                parts, beam = near(graph, exact.astype(np.float32), exact, base, threshold, (mine, nodes), beam, digest)
+                def told(by_graph: bool) -> None:
+                    if blocks is not None:
+                        blocks[0 if by_graph else 1].add(1)
+
+                parts, beam = near(graph, exact.astype(np.float32), exact, base, threshold, (mine, nodes), beam, digest, told)
                 who, links, e = (np.concatenate(x) for x in zip(*parts, strict=True))
                 e = spanning(e[:, 0], e[:, 1])
                 yield pa.RecordBatch.from_arrays([
@@ -482,7 +491,7 @@ def _queried(dtype: np.dtype, threshold: float):
     return run
 
 
-def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard_rows: int = SHARD_ROWS, blocks: tuple[Accumulator, Accumulator] | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors``.
 
     Only vec_id and embedding are read.  Vectors that are null, zero, or hold null or
@@ -491,6 +500,9 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard
     searched once.  component_id is the smallest vec_id reachable; kept: vec_id is it.  A
     row with a null vec_id counts as a link of others but never as a component_id; it is
     not kept.  Repeated rows link with each other.  An empty table gives an empty one.
+
+    ``blocks``: two accumulators that count the blocks of queries that the graphs answered
+    and those that brute force had to.
     """
     spark = vectors.sparkSession
     single = vectors.schema["embedding"].dataType.simpleString() == "array<float>"
@@ -518,7 +530,7 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, shard
     hosts = hosts.select("dim", "shard", "lane", F.lit(0).alias("turn"), "graph", "nodes", "copies", "base", F.lit(None).cast("long").alias("node"), F.lit(None).cast(f"array<{kind}>").alias("e"))
     # a fixed number of partitions: adaptive execution would join these small, slow ones
     met = hosts.unionAll(guests).repartition(2 * spread * lanes, "dim", "shard", "lane").sortWithinPartitions("dim", "shard", "lane", "turn")
-    found = materialize(met.mapInArrow(trimmed(_queried(dtype, threshold)), "node long, other long, links long"), "links")
+    found = materialize(met.mapInArrow(trimmed(_queried(dtype, threshold, blocks)), "node long, other long, links long"), "links")
     discard(graphs)
     counts = found.where("other is null").groupBy("node").agg(F.sum("links").alias("linked"))
     comp = connected_components(found.where("other is not null"), "node", "other")

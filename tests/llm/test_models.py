@@ -140,3 +140,38 @@ def test_models_take_empty_tables_and_repeated_rows(spark, model):
         got = scored(docs, m).collect()
         assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got) and sum(r["doc_id"] == 1 for r in got) == 2
         assert scored(docs.limit(0), m).count() == 0
+
+
+def _plain_bucket(gram):
+    """Bucket of 3 to 6 bytes, by 32-bit arithmetic."""
+    h = ((gram[0] + 1) * 0x9E3779B1 + gram[1] + 1) % 2**32
+    for b in gram[2:]:
+        h = (h * 0x85EBCA6B + b + 1) % 2**32
+    return ((h ^ h >> 15) * 0x2C1B3C6D % 2**32) >> (32 - toxicity.BITS)
+
+
+def _plain_score(model, text):
+    """Bags of the n-grams of three words from each word on, their average, the best window."""
+    blank = set(b" \t\n\x0b\f\r!\"(),.:;?")
+    s = bytes([32, *(32 if b in blank else b + 32 if 65 <= b <= 90 else b for b in (text or "").encode()), 32])
+    words = []  # scores of the n-grams of each word
+    for p in range(len(s) - 1):
+        if s[p] == 32 and s[p + 1] != 32:
+            words.append([])
+        for n in range(3, 7):
+            if p + n <= len(s) and 32 not in s[p + 1 : p + n - 1]:
+                words[-1].append(float(model.scores[_plain_bucket(s[p : p + n])]))
+    best = max((sum(map(sum, words[i : i + 3])) / max(1, sum(map(len, words[i : i + 3]))) for i in range(len(words))), default=0.0)
+    return 1 / (1 + np.exp(-(best + model.offset)))
+
+
+def test_toxicity_against_plain_loops(spark, sf_dir):
+    """Buckets, words, windows and averages of whole texts, without any array arithmetic."""
+    rng = np.random.default_rng(11)
+    model = toxicity.ToxicityModel(rng.normal(0, 3, toxicity.BUCKETS).astype(np.float32), -0.7)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    rows = sorted(rows, key=lambda r: len(r.text or ""))[:120]
+    texts = [r.text for r in rows] + ["", None, "a", " a", "A, b! c", "x  y\tz", "\u00e9\u00df", "?!", "one two", "ab" * 50]
+    got = model.score_texts(pa.array(texts, pa.string()))
+    assert np.allclose(got, [_plain_score(model, t) for t in texts], atol=1e-5)
+    assert len(set(np.round(got, 3))) > 60

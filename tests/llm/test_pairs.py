@@ -107,6 +107,23 @@ def test_embedding_query_oracle(spark, sf_dir):
     same_rows(duck(sf_dir), queries.op4_embeddings(spark, sf_dir), queries.ORACLES["op4_embeddings"])
 
 
+def test_graphs_answer_the_query_at_every_size(spark):
+    """Shards of a few dozen vectors, too, are searched by their graph; brute force agrees."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
+    x = np.array([r.embedding for r in rows.orderBy("vec_id").collect()], np.float64)
+    rng = np.random.default_rng(2)
+    near = x[:60] + 0.01 * rng.standard_normal((60, x.shape[1])) * np.abs(x[:60]).mean()
+    for part in (np.concatenate([x, near]), np.concatenate([x[:60], near[:30]])):
+        n = len(part)
+        unit = part / np.sqrt((part * part).sum(1))[:, None]
+        want = ((unit @ unit.T >= 0.95).sum(1) - 1).tolist()
+        blocks = tuple(spark.sparkContext.accumulator(0) for _ in range(2))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(part)], "vec_id long, embedding array<double>")
+        got = {r.vec_id: r.n_links for r in hnsw.embedding_components(frame, blocks=blocks).collect()}
+        assert [got[i] for i in range(n)] == want and sum(want) >= 30
+        assert blocks[0].value > 0 and blocks[1].value == 0
+
+
 def test_graph_recall_on_clusters():
     rng = np.random.default_rng(5)
     centres = rng.normal(size=(20, 32))

@@ -67,3 +67,31 @@ def test_run_gives_the_same(spark, sf_dir, stages):
     got = corpus_pipeline.run(spark, sf_dir).select("doc_id", "piece", "length", "ids_crc32")
     want = stages[5].select("doc_id", "piece", "length", "ids_crc32")
     assert got.exceptAll(want).count() == 0 == want.exceptAll(got).count()
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars int, row string, key int, rate double, __n int"
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_take_nulls_clashing_names_and_nothing(spark, sf_dir, name):
+    """Null ids, texts and sources, repeated rows and clashing names go through each stage; an
+    empty table gives an empty one.  The length of a null text is null."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    text = "please write to a.b@mail.example.com about one two three four five six seven"
+    rows = [(1, text, "en", "s", 3, "r", 1, 2.0, 5), (1, text, "en", "s", 3, "r", 1, 2.0, 5), (2, None, None, None, None, None, None, None, None), (None, "", "en", "", 0, "", 0, 0.0, 0), (4, "x " * 30_000, "en", "t", 1, "r", 2, 1.0, 1)]
+    docs = spark.createDataFrame(rows, CLASH)
+    out = stage(spark, docs, sf_dir)
+    got = out.collect()
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {1, 2, None, 4} and all(0 < r["length"] <= 1024 for r in got)
+    else:
+        assert out.columns == docs.columns
+        ids = [r["doc_id"] for r in got]
+        if name == "near_duplicates":
+            assert sorted(map(str, ids)) == ["1", "2", "4", "None"]
+        elif name == "personal_data":
+            assert len(ids) == 5 and all("a.b@mail" not in (r["text"] or "") for r in got)
+            assert all(r["n_chars"] == (None if r["text"] is None else len(r["text"])) for r in got)
+        elif name == "toxicity":
+            assert set(ids) <= {1, 2, None, 4} and all(tuple(r) in set(rows) for r in got)
+    assert stage(spark, docs.limit(0), sf_dir).count() == 0
