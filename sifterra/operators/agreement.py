@@ -75,3 +75,30 @@ def majority(rows: DataFrame, key: str, value: str, pos: str) -> DataFrame:
     """(key, value): the most frequent value, the one seen first among equals."""
     n = rows.groupBy(key, value).agg(F.count(F.lit(1)).alias("n"), F.min(pos).alias("p"))
     return n.groupBy(key).agg(F.max_by(value, F.struct("n", -F.col("p"))).alias(value))
+
+
+def annotator_stats(notes: DataFrame, item: str, annotator: str, pick: str, flagged: str, batch: str, unsure: str = "unsure") -> DataFrame:
+    """(annotator, total, unsure, flagged, batches, agree, compared) of each annotator.
+
+    ``compared`` are the annotator's notes on items of two notes and more that have a
+    consensus (the most frequent pick, unsure and missing ones left out, no tie); ``agree``
+    those that pick it.  An unsure note is compared and does not agree.
+    """
+    p = F.col(pick)
+    voted = notes.where(p != "")
+    shared = notes.groupBy(item).agg(F.count(F.lit(1)).alias("__n")).where("__n >= 2")
+    agreed = consensus(voted, item, pick, unsure).where("consensus is not null").join(shared, item)
+    held = notes.join(agreed.select(item, "consensus"), item).groupBy(annotator)
+    held = held.agg(F.count_if(p == F.col("consensus")).alias("agree"), F.count(F.lit(1)).alias("compared"))
+    own = notes.groupBy(annotator).agg(F.count(F.lit(1)).alias("total"), F.count_if(p == unsure).alias("unsure"), F.count_if(F.col(flagged)).alias("flagged"), F.countDistinct(F.nullif(F.col(batch).cast("string"), F.lit(""))).alias("batches"))
+    both = own.join(held, annotator, "left")
+    return both.select(annotator, "total", "unsure", "flagged", "batches", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("agree", "compared")])
+
+
+def item_agreement(notes: DataFrame, item: str, pick: str, unsure: str = "unsure") -> DataFrame:
+    """One row (shared, agree, disagree): items of two notes and more, those whose picks are
+    all the same, and those that differ; items of unsure notes only are neither."""
+    p = F.col(pick)
+    real = F.when((p != "") & (p != unsure), p)
+    items = notes.groupBy(item).agg(F.count(F.lit(1)).alias("n"), F.min(real).alias("lo"), F.max(real).alias("hi")).where("n >= 2")
+    return items.agg(F.count(F.lit(1)).alias("shared"), F.count_if(F.col("lo") == F.col("hi")).alias("agree"), F.count_if(F.col("lo") != F.col("hi")).alias("disagree"))

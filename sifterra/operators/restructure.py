@@ -36,6 +36,34 @@ def lettered(options: Column, most: int | None = None) -> Column:
     return F.map_from_entries(F.transform(x, lambda v, i: F.struct(name(i), v)))
 
 
+def lettered_if_few(options: Column) -> Column:
+    """``lettered`` for four or five options, none of them null; else null."""
+    return F.when(F.size(options).isin(4, 5) & F.forall(options, lambda v: v.isNotNull()), lettered(options))
+
+
+def unified(rows: DataFrame, names: Mapping[str, str], language: str = "ur") -> DataFrame:
+    """Rows of one source dialect in the common columns: question, options, correct_answer,
+    correct_index, domain, subdomain, level, source_url, language.
+
+    ``names`` says which column of ``rows`` stands for which of them.  An answer that the
+    dialect does not give follows from its index (0 to 3, else null); level and URL are
+    empty and the language is ``language`` where they are missing.
+    """
+    at = {new: F.col(f"`{old}`") for new, old in names.items()}
+    index = at.get("correct_index", F.lit(None).cast("int"))
+    letter = F.when((index >= 0) & (index <= 3), F.get(F.array(*map(F.lit, "ABCD")), index.cast("int")))
+    text = lambda c, default: F.coalesce(at[c], F.lit(default)) if c in at else F.lit(default)
+    return rows.select(
+        at["question"].alias("question"), at["options"].alias("options"), at.get("correct_answer", letter).alias("correct_answer"), index.cast("int").alias("correct_index"),
+        at["domain"].alias("domain"), at["subdomain"].alias("subdomain"), text("level", "").alias("level"), text("source_url", "").alias("source_url"), text("language", language).alias("language"),
+    )
+
+
+def crosswalk(renumbered: DataFrame, new: str, old: str) -> DataFrame:
+    """(new_id, old_id) of rows that got new ids."""
+    return renumbered.select(F.col(new).alias("new_id"), F.col(old).alias("old_id"))
+
+
 def flat_options(options: Column, key: Column) -> list[Column]:
     """option_a to option_d and answer (0 to 3)."""
     cols = [F.coalesce(F.try_element_at(options, F.lit(k)), F.lit("")).alias(f"option_{k.lower()}") for k in "ABCD"]

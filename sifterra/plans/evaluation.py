@@ -125,11 +125,15 @@ def agg_accuracy_wide(t: Tables):
     return ev.accuracy_wide(_accuracy(t), "segment", "region", _REGIONS)
 
 
-@query("select role, count(*) as n, count(*) filter (where trim(coalesce(text, '')) = '' or starts_with(text, 'ERROR'))::bigint as errors, count(*) filter (where regexp_matches(text, '(^|[^A-Za-z])[ABCDabcd]([^A-Za-z]|$)'))::bigint as with_letter from conversations group by role")
+_LETTER = "regexp_extract(text, '(^|[^A-Za-z])([ABCDabcd])([^A-Za-z]|$)', 2)"
+
+
+@query(f"select role, count(*) as n, count(*) filter (where trim(coalesce(text, '')) = '' or starts_with(text, 'ERROR'))::bigint as errors, count(*) filter (where {_LETTER} <> '')::bigint as with_letter, count(*) filter (where upper({_LETTER}) = 'A')::bigint as with_a from conversations group by role")
 def eval_prediction_states(t: Tables):
-    """TXT33 and the last of the answer patterns over conversation texts."""
+    """TXT25 and TXT33 over conversation texts, none of which names its answer's letter first."""
     x = F.col("text")
-    return t.conversations.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(tx.is_error(x)).alias("errors"), F.count_if(x.rlike("(^|[^A-Za-z])[ABCDabcd]([^A-Za-z]|$)")).alias("with_letter"))
+    key = tx.parse_key(x)
+    return t.conversations.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if(tx.is_error(x)).alias("errors"), F.count_if(key.isNotNull()).alias("with_letter"), F.count_if(key == "A").alias("with_a"))
 
 
 @query("with x as (select event_id, user_id, event_type, row_number() over (partition by user_id order by ts, event_id) - row_number() over (partition by user_id, event_type order by ts, event_id) as island from events) select user_id, max(n) as longest from (select user_id, island, count(*) as n from x where event_type = 'error' group by 1, 2) group by 1")

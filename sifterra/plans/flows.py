@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from sifterra.functions import replies
 from sifterra.functions import text as tx
+from sifterra.operators import agreement as ag
 from sifterra.operators import charts, counters
 from sifterra.operators import evaluation as ev
 from sifterra.operators import records as rc
 from sifterra.operators import restructure as rs
 from sifterra.operators import sampling as sm
-from sifterra.operators.agreement import pair_agreement
 from sifterra.plans.curation import _BATCH, _U, _batched
 from sifterra.plans.registry import Tables, query
 from sifterra.plans.texts import _by_id, _by_id_sql
 from sifterra.sources import crawl, dom, published
-from sifterra.storage import materialize, shared_dir
+from sifterra.storage import materialize, scratch
 from sifterra.streaming import inference, pages
 from sifterra.streaming.breaker import STORE, breaker
 
 
 def _folder(t: Tables, name: str) -> str:
-    return f"{shared_dir(t.spark)}/sifterra/{name}-{uuid.uuid4().hex}"
+    return scratch(t.spark, name)
 
 
 # pages as a quiz site: a titled post with its options, from each page's own title and links
@@ -276,7 +274,7 @@ def _picks(t: Tables):
 )
 def chart_heatmap(t: Tables):
     """SNK7: the symmetric matrix of agreement beyond chance."""
-    out = charts.heatmap(pair_agreement(_picks(t), "item", "who", "pick"), _ANNOTATORS)
+    out = charts.heatmap(ag.pair_agreement(_picks(t), "item", "who", "pick"), _ANNOTATORS)
     return out.select("annotator", *[F.round(u, 9).alias(u) for u in _ANNOTATORS])
 
 
@@ -353,3 +351,95 @@ def prj_token_usage(t: Tables):
     """PRJ21: token counts with 0 for what is missing."""
     used = counters.token_usage(F.replace("props", F.lit('"k"'), F.lit('"input"')))
     return t.events.select("event_id", used.alias("x")).select("event_id", "x.*")
+
+
+# annotators, evaluation files, dialects
+
+_NOTES = "select event_id % 499 as item, user_id % 9 as who, case when event_type = 'signup' then '' else event_type end as pick, value > 60 as flagged, case when event_id % 5 = 0 then '' else 'b' || event_id % 7 end as batch from events"
+
+
+def _notes(t: Tables):
+    e = F.col("event_id")
+    return t.events.select((e % 499).alias("item"), (F.col("user_id") % 9).alias("who"), F.when(F.col("event_type") == "signup", "").otherwise(F.col("event_type")).alias("pick"), (F.col("value") > 60).alias("flagged"), F.when(e % 5 == 0, "").otherwise(F.concat(F.lit("b"), (e % 7).cast("string"))).alias("batch"))
+
+
+_CONSENSUS = f"p as ({_NOTES}), n as (select item, pick, count(*) as n from p where pick not in ('', 'error') group by 1, 2), m as (select item, max(n) as top from n group by 1), c as (select n.item, min(pick) as c from n join m on m.item = n.item and n.n = m.top group by 1 having count(*) = 1), s as (select item from p group by 1 having count(*) >= 2)"
+
+
+@query(f"with {_CONSENSUS}, g as (select who, count(*) filter (where pick = c)::bigint as agree, count(*) as compared from p join c using (item) join s using (item) group by 1) select who, count(*) as total, count(*) filter (where pick = 'error')::bigint as unsure, count(*) filter (where flagged)::bigint as flagged, count(distinct nullif(batch, '')) as batches, coalesce(any_value(agree), 0) as agree, coalesce(any_value(compared), 0) as compared from p left join g using (who) group by 1")
+def agg_annotator_stats(t: Tables):
+    """AGG13: each annotator's notes, unsure and flagged ones, batches, and agreement."""
+    return ag.annotator_stats(_notes(t), "item", "who", "pick", "flagged", "batch", "error")
+
+
+@query(f"with p as ({_NOTES}), i as (select item, count(distinct case when pick not in ('', 'error') then pick end) as k from p group by 1 having count(*) >= 2) select count(*) as shared, count(*) filter (where k = 1)::bigint as agree, count(*) filter (where k > 1)::bigint as disagree from i")
+def agg_item_agreement(t: Tables):
+    """AGG13: items that several annotated, and how many of them agree."""
+    return ag.item_agreement(_notes(t), "item", "pick", "error")
+
+
+_EVALUATED = f"{_SCORED}, e as (select s.*, coalesce(key = answer, false) as correct, p_type as model, p_brand as domain, case when p_size % 6 = 0 then '' else p_name end as subdomain, key is not null as parseable from s join part using (p_partkey) where p_size % 9 <> 0)"
+
+
+def _evaluated(t: Tables):
+    parts = t.part.select("p_partkey", F.col("p_type").alias("model"), F.col("p_brand").alias("domain"), F.when(F.col("p_size") % 6 == 0, "").otherwise(F.col("p_name")).alias("subdomain"), (F.col("p_size") % 9 == 0).alias("gone"))
+    return ev.states(_predictions(t).join(parts, "p_partkey"), "prediction", "answer", "options", F.col("gone"))
+
+
+def _as_csv(t: Tables, rows, schema: str):
+    path = _folder(t, "csv")
+    published.write(rows, path, kind="csv")
+    return published.read(t.spark, path, schema)
+
+
+_BRANDS = ["Brand#1", "Brand#2"]
+
+
+@query(f"{_EVALUATED} select model, count(*) filter (where correct)::bigint as total_correct, count(*) filter (where parseable)::bigint as total_questions, case when count(*) filter (where parseable) > 0 then round_even(100.0::double * count(*) filter (where correct) / count(*) filter (where parseable), 2) else 0.0 end as total_accuracy, count(*) filter (where not parseable)::bigint as errors, "
+       + ", ".join(f"count(*) filter (where correct and domain = '{b}')::bigint as \"{b}_correct\", count(*) filter (where parseable and domain = '{b}')::bigint as \"{b}_questions\", case when count(*) filter (where parseable and domain = '{b}') > 0 then round_even(100.0::double * count(*) filter (where correct and domain = '{b}') / count(*) filter (where parseable and domain = '{b}'), 2) else 0.0 end as \"{b}_accuracy\"" for b in _BRANDS)
+       + " from e group by 1")
+def sink_csv_wide(t: Tables):
+    """SNK3: the wide shape, as a published file read back."""
+    rows = ev.csv_wide(_evaluated(t), ["model"], "domain", _BRANDS)
+    return _as_csv(t, rows, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
+
+
+@query(f"{_EVALUATED}, d as (select model, subdomain, arg_min(domain, p_partkey) as domain from e where parseable group by 1, 2) select model, any_value(d.domain) as domain, subdomain, count(*) filter (where correct)::bigint as correct, count(*) as questions, round_even(100.0::double * count(*) filter (where correct) / count(*), 2) as accuracy from e join d using (model, subdomain) where parseable and subdomain <> '' group by model, subdomain")
+def sink_csv_subdomains(t: Tables):
+    """SNK3: the long shape of subdomains with their domains."""
+    rows = ev.csv_subdomains(_evaluated(t), ["model"], "p_partkey")
+    return _as_csv(t, rows, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
+
+
+@query(f"{_EVALUATED} select model, domain, count(*) filter (where correct)::bigint as correct, count(*) as questions, round_even(100.0::double * count(*) filter (where correct) / count(*), 2) as accuracy from e where parseable group by 1, 2")
+def sink_csv_tiers(t: Tables):
+    """SNK3: the long shape of one more dimension."""
+    rows = ev.csv_long(_evaluated(t), ["model"], "domain")
+    return _as_csv(t, rows, ", ".join(f"`{n}` {k}" for n, k in rows.dtypes))
+
+
+@query("select p_name as question, p_brand || '|' || p_type as options, case when p_partkey % 2 = 0 then case when p_size % 6 < 4 then chr(65 + (p_size % 6)::int) end else 'B' end as correct_answer, case when p_partkey % 2 = 0 then p_size % 6 else 1 end::int as correct_index, p_brand as domain, p_type as subdomain, '' as level, case when p_partkey % 2 = 0 then '' else p_name end as source_url, case when p_partkey % 2 = 0 then 'ur' else 'en' end as language from part")
+def prj_unified(t: Tables):
+    """PRJ8: two dialects of a source in common columns."""
+    o = F.array("p_brand", "p_type")
+    first = t.part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("question"), o.alias("options"), (F.col("p_size") % 6).alias("correct_index"), F.col("p_brand").alias("domain"), F.col("p_type").alias("subdomain"))
+    second = t.part.where("p_partkey % 2 = 1").select(F.col("p_name").alias("question"), o.alias("options"), F.lit("B").alias("key"), F.lit(1).alias("i"), F.col("p_brand").alias("std_domain"), F.col("p_type").alias("std_subdomain"), F.col("p_name").alias("url"), F.lit("en").alias("lang"))
+    a = rs.unified(first, {c: c for c in first.columns})
+    b = rs.unified(second, {"question": "question", "options": "options", "correct_answer": "key", "correct_index": "i", "domain": "std_domain", "subdomain": "std_subdomain", "source_url": "url", "language": "lang"})
+    return a.unionByName(b).withColumn("options", F.array_join("options", "|"))
+
+
+@query("select p_partkey, case when p_size % 4 in (2, 3) then array_to_string(list_transform(range(1, 3 + (p_size % 4)::int), lambda i: chr(64 + i::int) || '=' || p_brand || i), ';') end as options from part")
+def prj_lettered_few(t: Tables):
+    """PRJ5: lists of four or five options only."""
+    n = (F.col("p_size") % 4 + 2).cast("int")
+    o = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat("p_brand", i.cast("string")))
+    m = rs.lettered_if_few(o)
+    shown = F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return t.part.select("p_partkey", shown.alias("options"))
+
+
+@query("with x as (select p_partkey as old_id, row_number() over (order by p_type, p_partkey) - 1 as new_id from part) select new_id, old_id from x")
+def id_crosswalk(t: Tables):
+    """JN10: new and old ids of a release."""
+    return rs.crosswalk(rs.contiguous_ids(t.part.select("p_partkey", "p_type"), ["p_type", "p_partkey"]), "id", "p_partkey")

@@ -48,10 +48,14 @@ def latest_per_directory(files: DataFrame, path: str = "path") -> DataFrame:
     return files.groupBy(folder.alias("directory")).agg(F.max_by(path, name).alias(path))
 
 
-def latest_stage(paths: DataFrame, path: str = "path") -> DataFrame:
-    """The path of the highest stage number (``<N>-name``)."""
-    n = F.regexp_extract(path, "(?:^|/)(\\d+)-[^/]*", 1)
-    return paths.where(n != "").agg(F.max_by(path, n.cast("int")).alias(path), F.max(n.cast("int")).alias("stage"))
+def latest_stage(paths: DataFrame, path: str = "path", names: tuple[str, ...] = ()) -> DataFrame:
+    """(path, stage) of the highest stage (``<N>-name``) that holds a file of one of ``names``,
+    or of the highest at all if none does; ``paths`` are files.  One row, or none."""
+    folder, n = F.regexp_extract(path, r"^(.*?(?:^|/)\d+-[^/]*)/", 1), F.regexp_extract(path, r"(?:^|/)(\d+)-[^/]*/", 1)
+    has = F.regexp_extract(path, "([^/]*)$", 1).isin(*names) if names else F.lit(True)
+    stages = paths.where(n != "").groupBy(folder.alias("folder"), n.cast("int").alias("stage")).agg(F.bool_or(has).alias("has"))
+    best = stages.agg(F.max_by(F.struct("folder", "stage"), F.struct("has", "stage", "folder")).alias("x")).where("x is not null")
+    return best.select(F.col("x.folder").alias(path), "x.stage")
 
 
 def prediction_path(path: Column) -> list[Column]:
@@ -75,19 +79,6 @@ def links(html: Column) -> Column:
     return F.regexp_extract_all(html, F.lit("(?i)href\\s*=\\s*[\"']([^\"']*)[\"']"), 1)
 
 
-def resolved(base: Column, link: Column) -> Column:
-    """Absolute URL of a link on the page ``base``."""
-    root, folder = F.regexp_extract(base, "^([a-zA-Z]+://[^/]+)", 1), F.regexp_replace(base, "(?<=[^/:])/[^/]*$", "")
-    return F.when(link.rlike("^[a-zA-Z]+://"), link).when(link.startswith("/"), F.concat(root, link)).otherwise(F.concat(folder, F.lit("/"), link))
-
-
-def first_links(pages: DataFrame, url: str = "url", html: str = "html", suffix: str = "") -> DataFrame:
-    """(url, pos, link): resolved links with ``suffix``, each at its first place on a page."""
-    each = pages.select(F.col(url).alias("url"), F.posexplode(links(F.col(html))).alias("pos", "raw"))
-    full = each.select("url", "pos", resolved(F.col("url"), F.col("raw")).alias("link")).where(F.col("link").endswith(suffix))
-    return full.groupBy("url", "link").agg(F.min("pos").alias("pos")).select("url", "pos", "link")
-
-
 def page_questions(pages: DataFrame, html: str = "html", marker: str = "<h3>") -> DataFrame:
     """Questions of scraped pages: after each ``marker`` a question, then a list of options
     and the line that names the answer's letter."""

@@ -29,24 +29,45 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch folders of this process that were not discarded.
+_made: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which ``clear`` deletes."""
+    path = f"{shared_dir(spark)}/sifterra/{name}-{uuid.uuid4().hex}"
+    _made.add(path)
+    return path
+
+
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` to the shared folder and return a reader of what was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/sifterra/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._sifterra_path = path
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    _made.discard(path)
+
+
 def discard(df: DataFrame | None) -> None:
     """Delete a table of ``materialize`` that nothing reads any more."""
     path = getattr(df, "_sifterra_path", None)
-    if path is None:
-        return
-    jvm = df.sparkSession._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
+    if path is not None:
+        _delete(df.sparkSession, path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this process: to be called when the results that read
+    them are written.  Results that are not written yet cannot be read any more."""
+    for path in sorted(_made):
+        _delete(spark, path)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:

@@ -407,3 +407,34 @@ def test_readers_of_trees_of_files(spark, tmp_path):
     assert sorted(r.path for r in readers.latest_per_directory(paths.limit(3)).collect()) == ["r/a/x_2.json", "r/b/x_0.json"]
     assert paths.where("path like '%predictions%'").select(*readers.prediction_path(F.col("path"))).first().asDict() == {"language": "en", "model": "gpt"}
     assert paths.where("path like 'w/%'").select(*readers.submission_name(F.col("path"))).first().asDict() == {"annotator": "Ann", "batch_id": "batch_012"}
+
+
+EXPERIMENT = """
+experiment: {limit: 2, batch_size: 5, prompt_language: [en, ur]}
+data: {metadata_path: data/x.json}
+prompts:
+  en: {system: " be good \\n", user_template: "{domain}: {question}\\nA) {A}\\nB) {B}"}
+  ur: {system: "s", user_template: "{question}"}
+models:
+  - {provider: p, enabled: true, name: "org/m:1 x", temperature: 0, user_prompt_suffix: /no_think}
+  - {provider: q, enabled: false, name: off}
+  - {provider: q, name: off2}
+"""
+
+
+def test_experiment_files(spark, tmp_path):
+    from sifterra.sources import experiments
+
+    pytest.importorskip("yaml")
+    (tmp_path / "e.yaml").write_text(EXPERIMENT)
+    found = experiments.load(spark, str(tmp_path / "e.yaml"))
+    assert (found.languages, found.limit, found.batch_size, len(found.models)) == (["en", "ur"], 2, 5, 1)
+    rows = experiments.runs(spark, found).collect()
+    assert [(r.language, r.folder, r.system, r.suffix, r.options) for r in rows] == [("en", "en/org__m-1_x", "be good", "/no_think", {"temperature": "0"}), ("ur", "ur/org__m-1_x", "s", "/no_think", {"temperature": "0"})]
+    records = spark.createDataFrame([(i, "d", f"q{i}", {"A": "a"}) for i in (3, 1, 2)], "id long, domain string, question string, options map<string,string>")
+    first = experiments.samples(records, found, "id")
+    shown = first.select(experiments.user_prompt(rows[0].template, F.col("options"), rows[0].suffix, domain=F.col("domain"), question=F.col("question"))).collect()
+    assert [r[0] for r in shown] == [f"d: q{i}\nA) a\nB) \n\n/no_think" for i in (1, 2)]
+    with pytest.raises(ValueError, match="ur"):
+        experiments.parsed(json.dumps({"experiment": {"prompt_language": "ur"}, "prompts": {}}))
+    assert experiments.parsed(json.dumps({"experiment": {"prompt_language": "ur"}, "prompts": {"ur": {}}})).models == []

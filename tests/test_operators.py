@@ -100,7 +100,11 @@ def test_sources_and_sinks(spark, tmp_path):
     sinks.kept_and_dropped(spark.createDataFrame([(1, None), (2, "r")], "i int, drop_reason string"), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out/kept")).count() == 1
     paths = spark.createDataFrame([("x/2-a/f",), ("x/10-b/f",), ("x/9-c/f",)], "path string")
-    assert readers.latest_stage(paths).first()["stage"] == 10
+    assert readers.latest_stage(paths).first().asDict() == {"path": "x/10-b", "stage": 10}
+    assert readers.latest_stage(paths, names=("f",)).first()["stage"] == 10
+    more = paths.union(spark.createDataFrame([("x/3-c/with.json",), ("x/4-d/other.json",), ("top.json",)], "path string"))
+    assert readers.latest_stage(more, names=("with.json", "without.json")).first().asDict() == {"path": "x/3-c", "stage": 3}
+    assert readers.latest_stage(more, names=("none",)).first()["stage"] == 10 and readers.latest_stage(paths.limit(0)).collect() == []
 
 
 def test_page_questions(spark):
@@ -201,3 +205,18 @@ def test_a_failed_write_leaves_the_old_result(spark, tmp_path):
     assert spark.read.json(path).count() == 3 and [p.name for p in tmp_path.iterdir()] == ["out"]
     sinks.json_lines(spark.range(5), path)
     assert spark.read.json(path).count() == 5 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_nothing_is_left_when_a_result_is_written(spark, sf_dir, tmp_path):
+    from pathlib import Path
+
+    from sifterra import storage
+    from sifterra.plans import QUERIES
+
+    root = Path(storage.shared_dir(spark).removeprefix("file://")) / "sifterra"
+    storage.clear(spark)  # of the tests before
+    before = set(root.iterdir()) if root.exists() else set()  # of other processes
+    QUERIES["fuzzy_dedup"](spark, sf_dir).write.parquet(str(tmp_path / "out"))
+    assert set(root.iterdir()) > before
+    storage.clear(spark)
+    assert set(root.iterdir()) <= before and spark.read.parquet(str(tmp_path / "out")).count() > 0
