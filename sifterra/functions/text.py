@@ -178,6 +178,11 @@ def convert_exponents(x: Column) -> Column:
     return y
 
 
+def convert_exponents_of(x: Column, subject: Column, subjects: tuple[str, ...] = ("mathematics",)) -> Column:
+    """``convert_exponents`` in the given subjects only: in others such digits are indices."""
+    return F.when(F.coalesce(subject.isin(*subjects), F.lit(False)), convert_exponents(x)).otherwise(x)
+
+
 def isolate_left_to_right(x: Column) -> Column:
     """Isolates around left-to-right runs within right-to-left text, or the whole text if it
     has no right-to-left letters; texts that have isolates, or no letter or digit, stay."""

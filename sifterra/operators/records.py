@@ -135,23 +135,39 @@ def correlated_dedup(rows: DataFrame, node: str, question: Column, options: Colu
     each = rows.select(F.col(node).cast("long").alias("n"), tx.option_signatures(options).alias("s"))
     both = pairs.join(each.select(F.col("n").alias("i"), F.col("s").alias("si")), "i").join(each.select(F.col("n").alias("j"), F.col("s").alias("sj")), "j")
     comp = connected_components(both.where(tx.jaccard(F.col("si"), F.col("sj")) >= option_threshold - 1e-12), "i", "j")
-    given = tx.fingerprint(F.nullif(F.col(answer).cast("string"), F.lit("")))
-    given = F.when(F.coalesce(F.col(answer).cast("string"), F.lit("")) != "", given)
     # only rows of groups travel; the others stand for themselves
-    member = rows.withColumn("__a", given).join(comp.select(F.col("node").alias("__n"), F.col("component").alias("__c")), F.col(node).cast("long") == F.col("__n"), "left").drop("__n")
-    grouped = member.where("__c is not null")
-    state = grouped.groupBy("__c").agg(F.count(F.lit(1)).alias("group_size"), F.min(node).alias("__first"), F.min("__a").alias("__lo"), F.max("__a").alias("__hi"))
-    fine = state.where("__lo is null or __lo = __hi") if check_answer else state
-    out = grouped.join(fine.drop("__lo", "__hi"), "__c").where(F.col(node) == F.col("__first"))
+    member = rows.join(comp.select(F.col("node").alias("__n"), F.col("component").alias("__c")), F.col(node).cast("long") == F.col("__n"), "left").drop("__n")
+    single = member.where("__c is null").withColumn("group_size", F.lit(1).cast("long"))
+    merged = merged_groups(member.where("__c is not null"), F.col("__c"), node, answer, check_answer, names, urls)
+    return single.select(*rows.columns, "group_size").unionByName(merged.select(*rows.columns, "group_size"))
+
+
+def merged_groups(rows: DataFrame, group: Column, node: str, answer: str, check_answer: bool = True, names: str | None = None, urls: str | None = None) -> DataFrame:
+    """The first row by ``node`` of each ``group``, plus ``group_size``.
+
+    With ``check_answer`` a group whose answers, normalised, differ (empty ones are ignored)
+    goes as a whole.  In groups of several rows ``names`` and ``urls`` (parallel arrays) become
+    the group's distinct names in order of first sight with their URLs ('' where one is
+    missing); rows that stand alone keep theirs.
+    """
+    given = F.col(answer).cast("string")
+    member = rows.withColumns({"__g": group, "__a": F.when(F.coalesce(given, F.lit("")) != "", tx.fingerprint(given))})
+    state = member.groupBy("__g").agg(F.count(F.lit(1)).alias("group_size"), F.min(node).alias("__first"), F.min("__a").alias("__lo"), F.max("__a").alias("__hi"))
+    fine = (state.where("__lo is null or __lo = __hi") if check_answer else state).drop("__lo", "__hi")
+    out = member.join(fine, "__g").where(F.col(node) == F.col("__first"))
     if names:
         u = F.get(urls, F.col("__at")) if urls else F.lit(None).cast("string")
-        seen = grouped.select("__c", F.col(node).alias("__id"), F.posexplode(names).alias("__at", "__name"), *([urls] if urls else [])).where("coalesce(__name, '') <> ''")
-        seen = seen.groupBy("__c", "__name").agg(F.min(F.struct("__id", "__at", F.coalesce(u, F.lit("")).alias("u"))).alias("f"))
-        listed = seen.groupBy("__c").agg(F.array_sort(F.collect_list(F.struct("f.__id", "f.__at", "__name", "f.u"))).alias("__l"))
-        out = out.join(listed, "__c", "left").withColumn(names, F.coalesce(F.transform("__l", lambda x: x["__name"]), F.array().cast("array<string>")))
-        out = out.withColumn(urls, F.coalesce(F.transform("__l", lambda x: x["u"]), F.array().cast("array<string>"))) if urls else out
-    single = member.where("__c is null").withColumn("group_size", F.lit(1).cast("long"))
-    return single.select(*rows.columns, "group_size").unionByName(out.select(*rows.columns, "group_size"))
+        several = member.join(fine.where("group_size > 1").select("__g"), "__g", "left_semi")
+        seen = several.select("__g", F.col(node).alias("__id"), F.posexplode(names).alias("__at", "__name"), *([urls] if urls else [])).where("coalesce(__name, '') <> ''")
+        seen = seen.groupBy("__g", "__name").agg(F.min(F.struct("__id", "__at", F.coalesce(u, F.lit("")).alias("u"))).alias("f"))
+        listed = seen.groupBy("__g").agg(F.array_sort(F.collect_list(F.struct("f.__id", "f.__at", "__name", "f.u"))).alias("__l"))
+        empty = F.array().cast("array<string>")
+        parts = lambda part: F.coalesce(F.transform("__l", lambda x: x[part]), empty)
+        out = out.join(listed, "__g", "left")
+        for column, part in ((names, "__name"), (urls, "u")):
+            if column:
+                out = out.withColumn(column, F.when(F.col("group_size") > 1, parts(part)).otherwise(F.col(column)))
+    return out.select(*rows.columns, "group_size")
 
 
 # Keys of an answer.

@@ -208,6 +208,17 @@ def canonical_groups(t: Tables):
     return t.documents.groupBy(key.alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
 
 
+@query(f"with d as (select doc_id, coalesce(source, '') as source, lang, quality, md5({_CANON}) as k from documents left join labels using (doc_id)), g as (select k, min(doc_id) as doc_id, count(*) as n from d group by 1 having count(distinct quality) < 2), "
+       "f as (select k, source, min(doc_id) as p, arg_min(lang, doc_id) as l from d where source <> '' group by 1, 2), s as (select k, string_agg(source, ',' order by p) as sources, string_agg(coalesce('u/' || l, ''), ',' order by p) as urls from f group by 1) "
+       "select g.doc_id, n as group_size, quality, case when n > 1 then coalesce(s.sources, '') else d.source end as sources, case when n > 1 then coalesce(s.urls, '') else coalesce('u/' || lang, '') end as urls from g join d using (doc_id) left join s on s.k = g.k")
+def canonical_merged(t: Tables):
+    """CMP2 and AGG14: groups of one canonical key with the policy on answers, merged sources and URLs."""
+    rows = t.documents.select("doc_id", "text", "lang", F.array("source").alias("source"), F.col("source").alias("s"), F.array(F.concat(F.lit("u/"), "lang")).alias("source_url")).join(t.labels.select("doc_id", "quality"), "doc_id", "left")
+    options = F.create_map(F.lit("A"), F.coalesce("s", F.lit("")), F.lit("B"), F.coalesce("lang", F.lit("")))
+    out = rc.merged_groups(rows, F.md5(tx.canonical_key(F.col("text"), options)), "doc_id", "quality", names="source", urls="source_url")
+    return out.select("doc_id", "group_size", "quality", F.array_join("source", ",").alias("sources"), F.array_join("source_url", ",").alias("urls"))
+
+
 #: Domains by subdomain and new names of subdomains, for the kinds of parts.
 _DOMAINS, _RENAMES = {"STANDARD": "Profession", "ECONOMY": "Humanities"}, {"STANDARD": "professional studies", "PROMO": "fine arts"}
 _PARTS = (

@@ -186,9 +186,8 @@ def _exponents_sql(x: str) -> str:
 @query(f"with x as (select doc_id, {_by_id_sql(_FORMULAS)} || coalesce(text, '') as x from documents) select doc_id, lang = 'en' as mathematics, case when lang = 'en' then {_exponents_sql('x')} else x end as result from x join documents using (doc_id)")
 def txt_exponents(t: Tables):
     """TXT13: digits of formulas, in one subject only."""
-    math = F.coalesce(F.col("lang") == "en", F.lit(False))
     x = F.concat(_by_id(_FORMULAS), F.coalesce("text", F.lit("")))
-    return t.documents.select("doc_id", (F.col("lang") == "en").alias("mathematics"), F.when(math, tx.convert_exponents(x)).otherwise(x).alias("result"))
+    return t.documents.select("doc_id", (F.col("lang") == "en").alias("mathematics"), tx.convert_exponents_of(x, F.col("lang"), ("en",)).alias("result"))
 
 
 _MIXED = ["", "کتاب ", "کتاب (a) ", tx.LRI + "a" + tx.PDI, "!! "]

@@ -63,6 +63,24 @@ def prediction_path(path: Column) -> list[Column]:
     return [F.regexp_extract(path, "([^/]+)/[^/]+/[^/]+$", 1).alias("language"), F.regexp_extract(path, "([^/]+)/[^/]+$", 1).alias("model")]
 
 
+def predictions(spark: SparkSession, path: str, schema: str = PREDICTION, name: str = "predictions.json") -> DataFrame:
+    """Rows of all ``<language>/<model>/predictions.json`` below ``path``, the names of the folders
+    as columns; the plan is a scan, so a filter on them prunes no file."""
+    rows = spark.read.schema(schema).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", name).json(path)
+    return rows.select(*prediction_path(F.col("_metadata.file_path")), "*")
+
+
+def latest_results(spark: SparkSession, path: str, schema: str, pattern: str = "results_*.json") -> DataFrame:
+    """Rows of the last file by name in each folder below ``path`` (files of ``pattern``), with
+    ``model``, the folder's name.  Only the chosen files are read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path).select("path")
+    chosen = [r.path for r in latest_per_directory(files).select("path").collect()]  # a path for each model
+    if not chosen:
+        return spark.createDataFrame([], T._parse_datatype_string(schema)).withColumn("model", F.lit(None).cast("string"))
+    rows = spark.read.schema(schema).option("multiLine", True).json(chosen)
+    return rows.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), "([^/]+)/[^/]+$", 1))
+
+
 def submission_name(path: Column) -> list[Column]:
     """annotator and batch_id from ``Name__batch_NNN.json``."""
     rx = r"([A-Za-z]+)__(batch_\d{3})\.json$"

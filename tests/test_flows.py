@@ -403,6 +403,13 @@ def test_readers_of_trees_of_files(spark, tmp_path):
     (tmp_path / "bad" / "predictions.json").write_text('[{"id": 1, ')
     rows = readers.named_files(spark, str(tmp_path), "predictions.json", "id long, question string")
     assert sorted((r.id, r.question) for r in rows.collect()) == [(1, "q"), (1, "q"), (2, None), (2, None)]
+    (tmp_path / "bad" / "predictions.json").unlink()
+    found = readers.predictions(spark, str(tmp_path), "id long, question string").collect()
+    assert sorted((r.language, r.model, r.id) for r in found) == [("en", "m1", 1), ("en", "m1", 2), ("ur", "m2", 1), ("ur", "m2", 2)]
+    for name, n in {"ur/m2/results_2024-01.json": 1, "ur/m2/results_2024-10.json": 2, "en/m1/results_2023.json": 3}.items():
+        (tmp_path / name).write_text(json.dumps({"n": n}))
+    assert sorted((r.model, r.n) for r in readers.latest_results(spark, str(tmp_path), "n int").collect()) == [("m1", 3), ("m2", 2)]
+    assert readers.latest_results(spark, str(tmp_path), "n int", "none_*").collect() == []
     paths = spark.createDataFrame([("r/a/x_1.json",), ("r/a/x_2.json",), ("r/b/x_0.json",), ("r/en/gpt/predictions.json",), ("w/Ann__batch_012.json",)], "path string")
     assert sorted(r.path for r in readers.latest_per_directory(paths.limit(3)).collect()) == ["r/a/x_2.json", "r/b/x_0.json"]
     assert paths.where("path like '%predictions%'").select(*readers.prediction_path(F.col("path"))).first().asDict() == {"language": "en", "model": "gpt"}
