@@ -6,8 +6,11 @@ the character classes makes the map a permutation of all strings of one format:
 values get equal surrogates everywhere (coreference) and different ones different ones
 (distinctness).  Where a format has a validity rule (check digit of card numbers, area
 codes), the permutation is walked until the surrogate obeys it as the original does,
-which keeps it one-to-one.  First names rotate within their gender and script.  A
-collision check over the distinct entities of the table confirms distinctness.
+which keeps it one-to-one.  Check digits of bank accounts are computed anew, as far off the
+right ones as they were.  First names rotate within their gender and script.  Where a text
+names a person in full, its other mentions of that first name or surname alone get the
+same surrogates.  A collision check over the distinct entities of the table confirms
+distinctness.
 """
 
 from __future__ import annotations
@@ -128,6 +131,22 @@ def _area(digits: str) -> str:
     return f"({digits} rlike '^[2-9][0-9]{{2}}[2-9]')"
 
 
+def _iban_check(country: str, rest: str) -> str:
+    """SQL: the right check digits (2 to 98) of an account number."""
+    n = next(_serial)
+    t, c = f"t{n}", f"c{n}"
+    step = f"if({c} rlike '[0-9]', ({t} * 10 + cast({c} as bigint)) % 97, ({t} * 100 + ascii({c}) - 55) % 97)"
+    return f"(98 - aggregate(regexp_extract_all(concat({rest}, {country}, '00'), '[0-9A-Z]', 0), 0L, ({t}, {c}) -> {step}))"
+
+
+def _iban(before: str, rest: str) -> str:
+    """SQL: the number of ``before``'s country with a new rest, its check digits as far off the
+    right ones as before."""
+    country = f"substr({before}, 1, 2)"
+    off = f"(cast(substr({before}, 3, 2) as bigint) - {_iban_check(country, f'substr({before}, 5)')})"
+    return f"concat({country}, lpad(cast(pmod({_iban_check(country, rest)} + {off}, 100) as string), 2, '0'), {rest})"
+
+
 def _refilled(value: str, digits: str) -> str:
     """SQL: ``value`` with its digits replaced in order by ``digits`` (as many)."""
     n = next(_serial)
@@ -167,9 +186,9 @@ def surrogate_sql(m: str, key: str = DEFAULT_KEY) -> str:
     fronts = f"transform(split(regexp_replace({m}, {last}, ''), ' '), {w} -> coalesce({_first_name(w, key)}, {w}))"
 
     def parts(k: str) -> str:
-        front = f"case {k} when 'secret' then regexp_extract({m}, {secret_head}, 0) when 'iban' then substr({m}, 1, 2) when 'phone' then regexp_extract({m}, {country}, 0) when 'person' then array_join({fronts}, ' ') else '' end"
+        front = f"case {k} when 'secret' then regexp_extract({m}, {secret_head}, 0) when 'phone' then regexp_extract({m}, {country}, 0) when 'person' then array_join({fronts}, ' ') else '' end"
         core = (
-            f"case {k} when 'secret' then regexp_replace({m}, {secret_head}, '') when 'iban' then substr({m}, 3) when 'phone' then regexp_replace(regexp_replace({m}, {country}, ''), '[^0-9]', '')"
+            f"case {k} when 'secret' then regexp_replace({m}, {secret_head}, '') when 'iban' then substr({m}, 5) when 'phone' then regexp_replace(regexp_replace({m}, {country}, ''), '[^0-9]', '')"
             f" when 'person' then regexp_extract({m}, {last}, 0) when 'email' then regexp_replace({m}, '[.][^.]+$', '') when 'ip' then array_join(transform(split({m}, '[.]'), {w}x -> lower(lpad(hex(cast({w}x as bigint)), 2, '0'))), '') else {digits} end"
         )
         rest = f"case {k} when 'phone' then regexp_replace({m}, {country}, '') when 'email' then regexp_extract({m}, '[.][^.]+$', 0) else {m} end"
@@ -189,7 +208,7 @@ def surrogate_sql(m: str, key: str = DEFAULT_KEY) -> str:
         def use(v: str) -> str:
             octet = f"o{next(_serial)}"
             ip = f"array_join(transform(sequence(0, 3), {octet} -> conv(substr({v}, 2 * {octet} + 1, 2), 16, 10)), '.')"
-            out = f"case when {e}.kind in ('secret', 'iban', 'person') then concat({e}.front, {v}) when {e}.kind = 'email' then concat({v}, {e}.rest) when {e}.kind = 'ip' then {ip} else concat({e}.front, {_refilled(f'{e}.rest', v)}) end"
+            out = f"case when {e}.kind in ('secret', 'person') then concat({e}.front, {v}) when {e}.kind = 'iban' then {_iban(f'{e}.rest', v)} when {e}.kind = 'email' then concat({v}, {e}.rest) when {e}.kind = 'ip' then {ip} else concat({e}.front, {_refilled(f'{e}.rest', v)}) end"
             return f"named_struct('kind', {e}.kind, 'surrogate', {out})"
 
         return _let(moved(e), use)
@@ -216,6 +235,27 @@ def collisions(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     return by.where("n_values > 1")
 
 
+def _names_of(made: str) -> str:
+    """SQL: the first names and surnames (w) of the persons found, with their surrogates (s);
+    titles and initials, which stay, are none."""
+    n = next(_serial)
+    e, x, y = (f"{c}{n}" for c in "exy")
+    pairs = f"zip_with(split({e}.value, ' '), split({e}.made.surrogate, ' '), ({x}, {y}) -> named_struct('w', {x}, 's', {y}))"
+    return f"filter(flatten(transform(filter({made}, {e} -> {e}.made.kind = 'person'), {e} -> {pairs})), {x} -> {x}.w <> {x}.s)"
+
+
+def _mentions(part: str, names: str) -> str:
+    """SQL: a part of a text between entities with its words that are one of ``names`` (an
+    ``'s`` at the end apart) replaced, in one pass over its words."""
+    n = next(_serial)
+    t, b, x = (f"{c}{n}" for c in "tbx")
+    word, owner = _quoted(r"[\p{L}'’\-]+|[^\p{L}'’\-]+"), _quoted(r"['’]s$")
+    found = lambda w: f"try_element_at(filter({names}, {x} -> {x}.w = {w}), 1).s"
+    base = f"regexp_replace({t}, {owner}, '')"
+    one = f"coalesce({found(t)}, {_let(base, lambda v: f'concat({found(v)}, substr({t}, length({v}) + 1))')}, {t})"
+    return f"array_join(transform(regexp_extract_all({part}, {word}, 0), {t} -> {one}), '')"
+
+
 def _replaced(docs: DataFrame, key: str, check: bool) -> DataFrame:
     """(row, pii): each row as a struct of all its columns, the replaced text and the kinds
     found in it."""
@@ -223,10 +263,13 @@ def _replaced(docs: DataFrame, key: str, check: bool) -> DataFrame:
         raise ValueError(f"two values of kind {bad[0]['kind']} share a surrogate: take another key")
 
     def whole(made: str) -> str:
-        text = f"if(size({made}) = 0, row.text, array_join(zip_with(split(row.text, {_quoted(DETECT)}, -1), {made}, (p, e) -> concat(p, coalesce(e.surrogate, ''))), ''))"
-        return f"named_struct('text', {text}, 'kinds', transform({made}, e -> e.kind))"
+        def text(names: str) -> str:
+            between = f"if(size({names}) = 0, p, {_mentions('p', names)})"
+            return f"array_join(zip_with(split(row.text, {_quoted(DETECT)}, -1), {made}, (p, e) -> concat({between}, coalesce(e.made.surrogate, ''))), '')"
+
+        return f"named_struct('text', if(size({made}) = 0, row.text, {_let(_names_of(made), text)}), 'kinds', transform({made}, e -> e.made.kind))"
 
-    made = f"transform({_found("coalesce(row.text, '')")}, m -> {surrogate_sql('m', key)})"
+    made = f"transform({_found("coalesce(row.text, '')")}, m -> named_struct('value', m, 'made', {surrogate_sql('m', key)}))"
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
     return rows.withColumn("pii", F.expr(_let(made, whole)))
 

@@ -43,7 +43,7 @@ def surrogate(m, key=pii.DEFAULT_KEY):
         front = HEAD.match(m)[0]
         core = m[len(front) :]
     elif kind == "iban":
-        front, core = m[:2], m[2:]
+        core = m[4:]
     elif kind == "phone":
         front = COUNTRY.match(m)[0] if COUNTRY.match(m) else ""
         core = regex.sub("[^0-9]", "", m[len(front) :])
@@ -64,8 +64,11 @@ def surrogate(m, key=pii.DEFAULT_KEY):
         v = _permuted(v, alphabets, f"{key}|{kind}")
         if rule(v) == want:
             break
-    if kind in ("secret", "iban", "person"):
+    if kind in ("secret", "person"):
         return kind, front + v
+    if kind == "iban":
+        off = int(m[2:4]) - right_check(m[:2], m[4:])
+        return kind, f"{m[:2]}{(right_check(m[:2], v) + off) % 100:02d}{v}"
     if kind == "email":
         return kind, v + m[m.rindex(".") :]
     if kind == "ip":
@@ -74,13 +77,29 @@ def surrogate(m, key=pii.DEFAULT_KEY):
     return kind, front + "".join(next(fill) if "0" <= c <= "9" else c for c in m[len(front) :])
 
 
-def replaced(text):
-    """(text, kinds) of one text."""
-    kinds = []
+def right_check(country, rest):
+    """Check digits of an account number: 98 less the remainder of all digits by 97."""
+    digits = "".join(str(int(c, 36)) for c in f"{rest}{country}00".replace(" ", ""))
+    return 98 - int(digits) % 97
 
-    def one(found):
-        kind, value = surrogate(found[0])
-        kinds.append(kind)
-        return value
 
-    return FIND.sub(one, text), kinds
+def replaced(text):
+    """(text, kinds) of one text."""
+    found = [(m.span(), m[0], *surrogate(m[0])) for m in FIND.finditer(text)]
+    names = {}
+    for _, value, kind, new in found:
+        if kind == "person":
+            for a, b in zip(value.split(" "), new.split(" "), strict=True):
+                if a != b:
+                    names.setdefault(a, b)
+
+    def mention(m):
+        word = m[0]
+        base = regex.sub("['’]s$", "", word)
+        return names[word] if word in names else names[base] + word[len(base) :] if base in names else word
+
+    out, at = "", 0
+    for (lo, hi), _, _, new in [*found, ((len(text), len(text)), "", "", "")]:
+        out += regex.sub(r"[\p{L}'’\-]+", mention, text[at:lo]) + new
+        at = hi
+    return out, [kind for _, _, kind, _ in found]

@@ -362,6 +362,41 @@ def test_each_kind_keeps_its_boundary(spark):
     assert all("Brown" not in r["text"] and "annabella" not in r["text"] for r in got.values())
 
 
+def test_later_mentions_follow_the_full_name(spark):
+    texts = [
+        "John Smith said. Later Smith and John left; Smith's car, John’s hat, smith, Smithers.",
+        "Smith came. Then Dr. Smith and Mary J. Smith-Jones; Smith-Jones, Jones and Mary.",
+        "Анна Павлова и Павлова, потом Анна.",
+        "Smith and John left.",
+        "Mr. Bean, a.bean@x.example.com and Bean",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.surrogate_report(docs).collect()}
+    for i, t in enumerate(texts):
+        if t.isascii() or i == 0:  # the plain version knows Latin letters only
+            assert (got[i]["text"], got[i]["kinds"]) == (plain_pii.replaced(t)[0], ",".join(plain_pii.replaced(t)[1]))
+    first = re.match(r"(\w+) (\w+) said\. Later (\w+) and (\w+) left; (\w+)'s car, (\w+)’s hat, smith, Smithers\.$", got[0]["text"]).groups()
+    assert first[0] == first[3] == first[5] != "John" and first[1] == first[2] == first[4] != "Smith"
+    second = re.match(r"(\w+) came\. Then Dr\. (\w+) and (\w+) J\. ([\w-]+); ([\w-]+), Jones and (\w+)\.$", got[1]["text"]).groups()
+    assert second[0] == second[1] == first[1] and second[3] == second[4] != "Smith-Jones" and second[2] == second[5] != "Mary"
+    assert "Павлов" not in got[2]["text"] and "Анна" not in got[2]["text"]
+    assert got[3]["text"] == texts[3] and "Bean" not in got[4]["text"]
+
+
+def test_account_numbers_stay_as_right_or_wrong_as_they_were(spark):
+    good = ["GB82 WEST 1234 5698 7654 32", "DE89370400440532013000", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    bad = ["GB81 WEST 1234 5698 7654 32", "DE00370400440532013000"]
+    docs = spark.createDataFrame([(i, f"to {x}.") for i, x in enumerate(good + bad)], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"][3:-1] for r in pii.surrogate_report(docs).collect()}
+    for i, x in enumerate(good + bad):
+        y = got[i]
+        assert y != x and len(y) == len(x) and y[:2] == x[:2] and [c == " " for c in y] == [c == " " for c in x]
+        assert (int(y[2:4]) == plain_pii.right_check(y[:2], y[4:])) == (i < len(good))
+    many = [f"DE{c:02d}3704004405320130{k:02d}" for c in range(100) for k in range(10)]
+    rows = spark.createDataFrame([(" ; ".join(many[i : i + 50]),) for i in range(0, len(many), 50)], "text string")
+    assert pii.entities(rows).select("surrogate").distinct().count() == 1000 and pii.collisions(rows).count() == 0
+
+
 def test_quick_look_and_plain_words(spark):
     docs = spark.createDataFrame([(0, "the token of thanks, secretly: passwords matter"), (1, "a secret = x")], "doc_id long, text string")
     assert [r["n_entities"] for r in pii.surrogate_report(docs).collect()] == [0, 0]
