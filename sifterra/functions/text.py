@@ -139,8 +139,7 @@ def fingerprint(x: Column) -> Column:
     """Comparable form: no diacritics, punctuation as space, lower case, single spaces;
     null gives ''."""
     y = F.regexp_replace(F.coalesce(x, F.lit("")), DIACRITICS, "")
-    y = F.lower(F.regexp_replace(y, PUNCTUATION, " "))
-    return F.trim(F.regexp_replace(y, r"(?U)\s+", " "))
+    return F.trim(F.lower(F.regexp_replace(y, f"(?U){PUNCTUATION[:-1]}\\s]+", " ")))
 
 
 def canonical_key(question: Column, options: Column) -> Column:

@@ -92,12 +92,11 @@ def zip_sources(names: Column, urls: Column, homepages: Mapping[str, str], displ
 def anonymized(rows: DataFrame, annotators: str, prefix: str = "ann_") -> DataFrame:
     """Map keys (names) replaced by ``prefix`` and the name's place in sorted order.
 
-    The table of names is small and checked to be: more than 100,000 are not broadcast.
+    Names are numbered over range partitions; adaptive execution broadcasts their table if it
+    is small.
     """
     names = rows.select(F.explode(F.map_keys(annotators)).alias("name")).distinct()
-    numbered = names.withColumn("__ann", F.concat(F.lit(prefix), (F.row_number().over(Window.orderBy("name")) - 1).cast("string")))
-    if numbered.limit(100_001).count() <= 100_000:
-        numbered = F.broadcast(numbered)
+    numbered = contiguous_ids(names, ["name"], "__i").select("name", F.concat(F.lit(prefix), F.col("__i").cast("string")).alias("__ann"))
     # written once, so that both uses see the same row numbers
     keyed = materialize(rows.withColumn("__row", F.monotonically_increasing_id()), "rows")
     entries = keyed.select("__row", F.explode(annotators).alias("name", "v")).join(numbered, "name")

@@ -108,7 +108,7 @@ def impute_level(rows: DataFrame, trusted: DataFrame, group: str, level: str, id
     arrays = table.groupBy(group).agg(F.array_sort(F.collect_list(F.struct("hi", level))).alias("__d"))
     overall = arrays.where(F.col(group).isNull()).first()  # one small array: the levels
     every = F.array(*[F.struct(F.lit(x["hi"]).alias("hi"), F.lit(x[level]).alias(level)) for x in (overall["__d"] if overall else [])]) if overall else F.lit(None)
-    drawn = rows.join(F.broadcast(arrays.where(F.col(group).isNotNull())), group, "left")
+    drawn = rows.join(arrays.where(F.col(group).isNotNull()), group, "left")
     drawn = drawn.withColumn("__d", F.coalesce("__d", every)) if overall else drawn
     u = hash_uniform(seed, ident)
     pick = F.filter("__d", lambda x: x["hi"] > u)[0][level]

@@ -263,7 +263,7 @@ def page_lists(t: Tables):
 @query("select c_custkey, 'Segment: ' || c_mktsegment || chr(10) || 'Nation: ' || coalesce(n_name, '') as prompt from customer left join nation on c_nationkey = n_nationkey")
 def prompts(t: Tables):
     """PRJ15."""
-    x = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey"), "left")
+    x = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"), "left")
     return x.select("c_custkey", rs.prompt("Segment: {s}\nNation: {n}", s=F.col("c_mktsegment"), n=F.col("n_name")).alias("prompt"))
 
 

@@ -154,7 +154,7 @@ def json_props(t: Tables):
 @query("with n as (select n_regionkey as sub, c_mktsegment as dom, count(*) as n, min(c_custkey) as p from customer join nation on c_nationkey = n_nationkey group by 1, 2) select sub, max_by(dom, (n, -p)) as dom from n group by 1")
 def agg_majority(t: Tables):
     """AGG8: majority with ties by first sight."""
-    x = t.customer.join(F.broadcast(t.nation), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("sub"), F.col("c_mktsegment").alias("dom"), "c_custkey")
+    x = t.customer.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("n_regionkey").alias("sub"), F.col("c_mktsegment").alias("dom"), "c_custkey")
     return ag.majority(x, "sub", "dom", "c_custkey")
 
 
