@@ -31,7 +31,6 @@ KEEP, REROLE, DELETE, INSERT, TRUNCATED = 0, 3, 4, 3, 3
 #: States: nothing yet, after s, after u, after a.  Where the next new row leads, and its role.
 _NEXT, _ROLE = (2, 2, 3, 2), ("user", "user", "assistant", "user")
 _AFTER = {"s": (1, None, None, None), "u": (2, 2, None, 2), "a": (None, None, 3, None)}
-_NO = float("inf")
 #: Letters of a plan and the initials of their edits: u and a insert, U and A rerole.
 PLAN, INITIALS = "DuaKUA", "DIIKRR"
 _STATS = ("gaps", "blank", "duplicate", "truncated", "illegal")
