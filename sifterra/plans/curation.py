@@ -64,13 +64,22 @@ def fuzzy_pairs(t: Tables):
     return _pairs(t)
 
 
-@query(_PAIRS + ", e as (select k, t, i as u, j as v from pairs, (values " + ", ".join(f"({i}, {x}::double)" for i, x in enumerate(SWEEP)) + ") th(k, t) where s >= t - 1e-12), both_ as (select k, u, v from e union select k, v, u from e), reach as (select k, u as node, u as r from both_ union select reach.k, node, v from reach join both_ on both_.k = reach.k and both_.u = reach.r), comp as (select k, node, min(r) as c from reach group by 1, 2) select t as threshold, (select count(*) from documents) - coalesce(g.n, 0) as kept, coalesce(g.n, 0) as removed from (values " + ", ".join(f"({i}, {x}::double)" for i, x in enumerate(SWEEP)) + ") th(k, t) left join (select k, count(*) filter (where node <> c)::bigint as n from comp group by 1) g using (k)")
+def _sweep_sql(thresholds: list[float]) -> str:
+    table = "(values " + ", ".join(f"({i}, {x}::double)" for i, x in enumerate(thresholds)) + ") th(k, t)"
+    return (
+        _PAIRS.replace("0.85", str(min(thresholds)))
+        + f", e as (select k, t, i as u, j as v from pairs, {table} where s >= t - 1e-12), both_ as (select k, u, v from e union select k, v, u from e), reach as (select k, u as node, u as r from both_ union select reach.k, node, v from reach join both_ on both_.k = reach.k and both_.u = reach.r), comp as (select k, node, min(r) as c from reach group by 1, 2) "
+        + f"select t as threshold, (select count(*) from documents) - coalesce(g.n, 0) as kept, coalesce(g.n, 0) as removed from {table} left join (select k, count(*) filter (where node <> c)::bigint as n from comp group by 1) g using (k)"
+    )
+
+
+@query(_sweep_sql(SWEEP))
 def threshold_sweep(t: Tables):
     """CMP4: rows kept at each threshold, all in one component search."""
     return dd.threshold_sweep(_pairs(t), t.documents.count(), SWEEP)
 
 
-@query()
+@query(_sweep_sql(FULL_SWEEP))
 def threshold_sweep_full(t: Tables):
     """CMP4 at all nine thresholds, over pairs from the lowest of them up."""
     return dd.threshold_sweep(_pairs(t, min(FULL_SWEEP)), t.documents.count(), FULL_SWEEP)
