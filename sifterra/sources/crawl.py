@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from sifterra.storage import discard, materialize
 
+#: Tables of levels that a round's plan may read.
+KEPT = 12
 _HREF = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 _PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
@@ -68,18 +70,25 @@ def crawl(links: DataFrame, seeds: DataFrame, follow: Column, max_levels: int =
     spark = links.sparkSession
     edges = materialize(links.where(follow).select("url", "link").distinct(), "links")
     level = materialize(seeds.select("url").where("url is not null").distinct().select("url", F.lit(0).alias("level"), F.lit(None).cast("string").alias("parent")), "level")
-    levels = [level]
+    seen = [level]
     for k in range(1, max_levels + 1):
-        seen = reduce(DataFrame.unionAll, levels).select("url")
-        reached = edges.join(levels[-1].select("url"), "url").groupBy(F.col("link").alias("to")).agg(F.min("url").alias("parent"))
-        level = materialize(reached.select(F.col("to").alias("url"), F.lit(k).alias("level"), "parent").join(seen, "url", "left_anti"), "level")
+        if len(seen) > KEPT:  # one table again, so that plans stay short however deep the crawl
+            parts, seen = seen, [materialize(reduce(DataFrame.unionAll, seen), "seen")]
+            for old in parts:
+                if old is not level:
+                    discard(old)
+        known = reduce(DataFrame.unionAll, seen).select("url")
+        reached = edges.join(level.select("url"), "url").groupBy(F.col("link").alias("to")).agg(F.min("url").alias("parent"))
+        before, level = level, materialize(reached.select(F.col("to").alias("url"), F.lit(k).alias("level"), "parent").join(known, "url", "left_anti"), "level")
+        if all(before is not old for old in seen):
+            discard(before)
         if level.isEmpty():
             break
-        levels.append(level)
+        seen.append(level)
     else:
         raise RuntimeError(f"the crawl goes on after {max_levels} levels")
-    out = materialize(reduce(DataFrame.unionAll, levels), "reached")
-    for old in (*levels, level, edges):
+    out = materialize(reduce(DataFrame.unionAll, seen), "reached")
+    for old in (*seen, level, edges):
         discard(old)
     return out
 

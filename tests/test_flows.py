@@ -119,13 +119,17 @@ def test_links_resolve_as_the_standard_library_has_it(spark):
         assert got.lower() == urldefrag(urljoin(b, x))[0].lower(), (b, x)
 
 
-def test_crawl_of_cycles_seeds_and_nothing(spark):
+def test_crawl_of_cycles_seeds_and_nothing(spark, monkeypatch):
     edges = [("a", "b"), ("b", "a"), ("b", "c"), ("a", "c"), ("c", "c"), ("x", "y"), ("c", None)]
     links = spark.createDataFrame([(u, i, v) for i, (u, v) in enumerate(edges)], "url string, pos long, link string").where("link is not null")
     seeds = spark.createDataFrame([("a",), ("a",), (None,), ("z",)], "url string")
     got = crawl.crawl(links, seeds, F.lit(True)).collect()
     assert sorted((r.url, r.level, r.parent) for r in got) == [("a", 0, None), ("b", 1, "a"), ("c", 1, "a"), ("z", 0, None)]
     assert crawl.crawl(links, seeds.limit(0), F.lit(True)).collect() == []
+    monkeypatch.setattr(crawl, "KEPT", 2)  # levels are put together on the way
+    chain = spark.range(9).selectExpr("cast(id as string) as url", "0L as pos", "cast(id + 1 as string) as link")
+    got = crawl.crawl(chain, spark.createDataFrame([("0",), ("4",)], "url string"), F.lit(True)).collect()
+    assert sorted((r.url, r.level) for r in got) == [(str(i), i % 4) for i in range(8)] + [("8", 4), ("9", 5)]
     with pytest.raises(RuntimeError, match="levels"):
         crawl.crawl(spark.range(9).selectExpr("cast(id as string) as url", "0L as pos", "cast(id + 1 as string) as link"), spark.createDataFrame([("0",)], "url string"), F.lit(True), 3)
 
