@@ -41,6 +41,22 @@ def pair_agreement(rows: DataFrame, item: str, annotator: str, pick: str) -> Dat
     return out.withColumn("rate", F.bround(F.col("agree") / F.col("total"), 3))
 
 
+def disagreements(rows: DataFrame, item: str, annotator: str, pick: str, least: int = 10) -> DataFrame:
+    """(annotator, disagree, total) over all pairs with others at the same items, from
+    ``least`` pairs on: counted from the picks of each item, without its pairs.
+
+    A row for each item and annotator is expected.  A pair with a missing pick counts in
+    ``total`` only; ``disagree`` is null where no pair has both.
+    """
+    kept = rows.select(F.col(item).alias("item"), F.col(annotator).alias("annotator"), F.col(pick).alias("pick")).where("item is not null and annotator is not null")
+    votes = kept.groupBy("item", "pick").agg(F.count(F.lit(1)).alias("same"))
+    known = F.coalesce(F.sum(F.when(F.col("pick").isNotNull(), F.col("same"))), F.lit(0))
+    items = votes.groupBy("item").agg(F.sum("same").alias("all"), known.alias("known"))
+    each = kept.join(items, "item").join(votes.where("pick is not null"), ["item", "pick"], "left")
+    each = each.select("annotator", F.when(F.col("known") > 1, F.col("known") - F.col("same")).alias("d"), (F.col("all") - 1).alias("n"))
+    return each.groupBy("annotator").agg(F.sum("d").alias("disagree"), F.sum("n").alias("total")).where(F.col("total") >= least)
+
+
 def fixed_chance_kappa(agree: Column, total: Column, categories: int = 4, empty: float = 0.0) -> Column:
     """Agreement beyond a chance of 1 / categories; ``empty`` where there is nothing."""
     p = agree / total

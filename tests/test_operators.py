@@ -220,3 +220,25 @@ def test_nothing_is_left_when_a_result_is_written(spark, sf_dir, tmp_path):
     assert set(root.iterdir()) > before
     storage.clear(spark)
     assert set(root.iterdir()) <= before and spark.read.parquet(str(tmp_path / "out")).count() > 0
+
+
+def _noted(seed: int, named: bool):
+    """Rows (item, who, pick) with missing picks, items and annotators; one item has them all."""
+    rng = random.Random(seed)
+    people = [f"ä{i}" if named else i * 7 for i in range(40)]
+    rows = [(i, p, rng.choice(["a", "b", "c", None])) for i in range(12) for p in people if i == 3 or rng.random() < 0.5]
+    return [*rows, (50, people[0], None), (50, people[1], "a"), (51, people[2], "b"), (None, people[0], "a"), (None, people[1], "a"), (4, None, "a")]
+
+
+def test_disagreements_with_missing_picks(spark):
+    from sifterra.operators import agreement as ag
+
+    rows = _noted(2, False)
+    ok, want = [r for r in rows if r[0] is not None and r[1] is not None], set()
+    for p in {r[1] for r in ok}:
+        pairs = [(x, y) for i, who, x in ok if who == p for j, other, y in ok if i == j and other != p]
+        both = [x != y for x, y in pairs if x is not None and y is not None]
+        if len(pairs) >= 10:
+            want.add((p, sum(both) if both else None, len(pairs)))
+    got = ag.disagreements(spark.createDataFrame(rows, "item long, who long, pick string"), "item", "who", "pick", 10)
+    assert {tuple(r) for r in got.collect()} == want
