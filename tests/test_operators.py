@@ -230,6 +230,32 @@ def _noted(seed: int, named: bool):
     return [*rows, (50, people[0], None), (50, people[1], "a"), (51, people[2], "b"), (None, people[0], "a"), (None, people[1], "a"), (4, None, "a")]
 
 
+def _counted(rows):
+    agree, total, ok = {}, {}, [r for r in rows if r[0] is not None and r[1] is not None]
+    for i, p, x in ok:
+        for j, q, y in ok:
+            if i == j and p < q:
+                total[p, q] = total.get((p, q), 0) + 1
+                agree[p, q] = agree.get((p, q), 0) + (x is not None and x == y)
+    return {(*k, agree[k], n) for k, n in total.items()}
+
+
+@pytest.mark.parametrize("named", [False, True])
+def test_pairs_of_annotators_are_not_moved_where_items_are_shared_by_many(spark, monkeypatch, named):
+    from sifterra.operators import agreement as ag
+
+    rows = _noted(1, named)
+    df = spark.createDataFrame(rows, f"item long, who {'string' if named else 'long'}, pick string")
+    for least, chunk, joined in ((10**6, 100, True), (5, 100, False), (5, 10**6, False), (2, 1, False)):
+        monkeypatch.setattr(ag, "MIN_BLOCKS", least)
+        monkeypatch.setattr(ag, "CHUNK", chunk)
+        out = ag._pairs_by_blocks(df.where("item is not null and who is not null"), least) if least < 10 else ag.pair_agreement(df, "item", "who", "pick")
+        assert {(r["first"], r["second"], r["agree"], r["total"]) for r in out.collect()} == _counted(rows) and out.count() == len(_counted(rows))
+        assert ("Join" in out._jdf.queryExecution().toString()) == joined
+    monkeypatch.setattr(ag, "MIN_BLOCKS", 2)  # 12 items of some 20 annotators: blocks move less
+    assert "Join" not in ag.pair_agreement(df, "item", "who", "pick")._jdf.queryExecution().toString()
+
+
 def test_disagreements_with_missing_picks(spark):
     from sifterra.operators import agreement as ag
 
