@@ -40,6 +40,8 @@ CLEAN_WEIGHT = 5
 MAX_ROWS_PER_CLASS = 1200
 MAX_TEXT_BYTES = 16_000
 TRAIN_BLOCK = 1 << 18
+#: Words of the texts that the training holds windows of at once.
+TRAIN_WORDS = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -168,9 +170,7 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
     word_of, doc, grams, ends, texts_with = _bags(texts)
     if not len(word_of):
         return ToxicityModel(np.zeros(BUCKETS, np.float32), 0.0)
-    size = np.maximum(1, _sliding(np.diff(ends)[word_of], doc)).astype(np.float32)
     some, first = np.unique(doc, return_index=True)
-    last = np.append(first[1:], len(doc))
     y = y[some]
     weight = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum())).astype(np.float32)
     common = texts_with >= MIN_TEXTS  # others would only learn single texts by heart
@@ -178,21 +178,29 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
     out = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     moments = [[np.zeros_like(x), np.zeros_like(x)] for x in (emb, out, bias)]
-    text_of = np.repeat(np.arange(len(some)), last - first)
-    gram_word = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    gram_word = np.repeat(np.arange(len(ends) - 1, dtype=np.int32), np.diff(ends))
+    parts = _parts(np.append(first, len(doc)), TRAIN_WORDS)
+    grams_of = np.diff(ends).astype(np.int32)
     for step in range(1, epochs + 1):
         side = out[:, 1] - out[:, 0]
         margin = (emb @ side).astype(np.float32)
         word = np.bincount(gram_word, margin[grams], len(ends) - 1)
-        window = _sliding(word[word_of], doc) / size
-        # windows share a text's gradient by their scores, ever more sharply
-        sharp = np.exp(np.minimum(1.0, step / (0.7 * epochs)) * SHARPNESS * (window - np.maximum.reduceat(window, first)[text_of]))
-        share = sharp / np.add.reduceat(sharp, first)[text_of]
-        logit = np.add.reduceat(share * window, first) + bias[1] - bias[0]
-        g = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y) * weight
-        # a word takes part in the windows that start at it and at the WINDOW - 1 before it
-        each = _sliding((g[text_of] * share / size)[::-1], doc[::-1])[::-1]
-        flow = np.bincount(grams, np.bincount(word_of, each, len(ends) - 1)[gram_word], BUCKETS)
+        g, pull_of = np.zeros(len(some)), np.zeros(len(ends) - 1)
+        for lo, hi in parts:  # whole texts, so that what is kept for each window stays small
+            own = slice(first[lo], first[hi] if hi < len(first) else len(doc))
+            words_, doc_, first_ = word_of[own], doc[own], first[lo:hi] - first[lo]
+            text_of = np.repeat(np.arange(hi - lo), np.diff(np.append(first_, len(doc_))))
+            size = np.maximum(1, _sliding(grams_of[words_], doc_)).astype(np.float32)
+            window = _sliding(word[words_], doc_) / size
+            # windows share a text's gradient by their scores, ever more sharply
+            sharp = np.exp(np.minimum(1.0, step / (0.7 * epochs)) * SHARPNESS * (window - np.maximum.reduceat(window, first_)[text_of]))
+            share = sharp / np.add.reduceat(sharp, first_)[text_of]
+            logit = np.add.reduceat(share * window, first_) + bias[1] - bias[0]
+            g[lo:hi] = (1 / (1 + np.exp(-np.clip(logit, -60, 60))) - y[lo:hi]) * weight[lo:hi]
+            # a word takes part in the windows that start at it and at the WINDOW - 1 before it
+            each = _sliding((g[lo:hi][text_of] * share / size)[::-1], doc_[::-1])[::-1]
+            np.add.at(pull_of, words_, each)
+        flow = np.bincount(grams, pull_of[gram_word], BUCKETS)
         flow *= common
         pull = (flow @ emb).astype(np.float32)
         grads = ((flow[:, None] * side).astype(np.float32) + DECAY * emb, np.stack([-pull, pull], 1), np.array([-g.sum(), g.sum()], np.float32))
@@ -206,6 +214,16 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = 60, seed: int = 7)
     return model if not check else _calibrated(model, check, y_check)
 
 
+def _parts(bounds: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Ranges of texts with at most ``limit`` words each, or of one text."""
+    out, lo = [], 0
+    while lo < len(bounds) - 1:
+        hi = max(lo + 1, int(np.searchsorted(bounds, bounds[lo] + limit, "right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def _bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words' n-grams, once: (number of each word, text of each word, n-grams of word
     i at ends[i]:ends[i + 1], ends, texts that hold each n-gram)."""

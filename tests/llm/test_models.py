@@ -175,3 +175,21 @@ def test_toxicity_against_plain_loops(spark, sf_dir):
     got = model.score_texts(pa.array(texts, pa.string()))
     assert np.allclose(got, [_plain_score(model, t) for t in texts], atol=1e-5)
     assert len(set(np.round(got, 3))) > 60
+
+
+def test_toxicity_training_in_parts_gives_the_same_model(monkeypatch):
+    import random
+
+    from sifterra.llm import toxicity
+
+    rng, kept = random.Random(2), []
+    texts = [" ".join(f"w{rng.randrange(300)}" for _ in range(rng.choice([0, 1, 30, 200]))) + " bad" * (i % 2) for i in range(60)]
+    plain = toxicity._sliding
+    monkeypatch.setattr(toxicity, "_sliding", lambda total, doc: kept.append(len(total)) or plain(total, doc))
+    models = []
+    for words in (1 << 18, 250, 1):
+        kept.clear()
+        monkeypatch.setattr(toxicity, "TRAIN_WORDS", words)
+        models.append((toxicity.train(texts[:9], np.arange(9) % 2, epochs=4), max(kept)))
+    assert all((m.scores == models[0][0].scores).all() and m.offset == models[0][0].offset for m, _ in models)
+    assert models[0][1] > 250 >= models[1][1] >= models[2][1]
