@@ -54,14 +54,14 @@ _PAIRS = (
 )
 
 
-def _pairs(t: Tables, threshold: float = 0.85):
-    return dd.jaccard_pairs(t.documents, "doc_id", tx.tokens(F.col("text")), threshold)
+def _pairs(t: Tables, threshold: float = 0.85, stop_df: int | None = 200):
+    return dd.jaccard_pairs(t.documents, "doc_id", tx.tokens(F.col("text")), threshold, stop_df)
 
 
 @query(_PAIRS + "select i, j, inter::int as inter, n_i::int as n_i, n_j::int as n_j from pairs")
 def fuzzy_pairs(t: Tables):
     """JN7, AGG18 and TXT12: pairs of token Jaccard 0.85 and more."""
-    return _pairs(t)
+    return _pairs(t, stop_df=None)
 
 
 def _sweep_sql(thresholds: list[float]) -> str:

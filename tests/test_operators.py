@@ -304,3 +304,58 @@ def test_whole_sets_travel_for_few_more_pairs_than_there_are(spark, monkeypatch,
     assert {(r["i"], r["j"], r["inter"]) for r in got.collect()} == want
     assert len(want) > 20
     assert len(want) <= made["near"].count() <= (3 if threshold >= 0.5 else 9) * len(want)
+
+
+@pytest.mark.parametrize("threshold, links", [(0.5, False), (0.7, True), (0.85, False), (1.0, True)])
+def test_pairs_that_share_frequent_tokens_only_and_copies_are_found(spark, monkeypatch, threshold, links):
+    from sifterra.operators import dedup as dd
+
+    rng = random.Random(5)
+    rows, common, rare = [], [f"c{k}" for k in range(30)], [f"r{k}" for k in range(300)]
+    for k in range(200):  # rows of frequent tokens only, of both, and of rare ones, and copies of all
+        words = [*rng.sample(common, rng.choice([4, 6, 15, 25])), *rng.sample(rare, rng.choice([0, 0, 1, 5]))] if k % 5 else rng.sample(rare, 6)
+        rows += [(1000 * c + k, rng.sample(words, len(words))) for c in range(rng.choice([1, 1, 2, 6]))]
+    rows += [(9000, None), (9001, []), (9002, ["c1", "c2"]), (9003, ["c1", "c2"])]
+    sets = {n: frozenset(w) for n, w in rows if w and len(w) >= 4}
+    want = {(i, j, len(sets[i] & sets[j]), len(sets[i]), len(sets[j])) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= threshold * len(sets[i] | sets[j]) - 1e-9}
+    for hot, least, block in ((200_000, 200, 8192), (20, 10, 7)):
+        for name, value in (("HOT_TOKENS", hot), ("RARE", least), ("BLOCK_ROWS", block), ("MET_PAIRS", 50)):
+            monkeypatch.setattr(dd, name, value)
+        out = [tuple(r) for r in dd.jaccard_pairs(spark.createDataFrame(rows, "n long, w array<string>"), "n", F.col("w"), threshold, links=links).select("i", "j", "inter", "n_i", "n_j").collect()]
+        assert len(out) == len(set(out)) and set(out) <= want
+        if not links:
+            assert set(out) == want
+        assert _parts(sets, out) == _parts(sets, want)
+
+
+def _parts(nodes, pairs):
+    """Smallest node that each of ``nodes`` reaches by ``pairs``."""
+    up = {n: n for n in nodes}
+
+    def root(n):
+        while up[n] != n:
+            n = up[n]
+        return n
+
+    for i, j, *_ in pairs:
+        i, j = root(i), root(j)
+        up[max(i, j)] = min(i, j)
+    return {n: root(n) for n in nodes}
+
+
+@pytest.fixture(scope="module")
+def frequent(spark, tmp_path_factory):
+    """Documents 0 to 229 share all of their five words, 230 to 449 five of six; each word is in more than 200."""
+    path = str(tmp_path_factory.mktemp("frequent"))
+    texts = ["one two three four five" if k < 230 else "six seven eight nine ten " + ("one" if k % 2 else "two") for k in range(450)]
+    spark.createDataFrame([(k, x, "en", f"s{k % 3}") for k, x in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(k, 1) for k in range(450)], "doc_id long, quality long").write.parquet(f"{path}/labels.parquet")
+    return path
+
+
+def test_fuzzy_pairs_of_frequent_words(spark, frequent):
+    from sifterra.plans import QUERIES
+
+    got = [tuple(r) for r in QUERIES["fuzzy_pairs"](spark, frequent).select("i", "j", "inter", "n_i", "n_j").collect()]
+    want = {(i, j, 5, 5, 5) for j in range(230) for i in range(j)} | {(i, j, 6, 6, 6) for j in range(230, 450) for i in range(230, j) if (i - j) % 2 == 0}
+    assert set(got) == want and len(got) == len(want)
