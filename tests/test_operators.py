@@ -359,3 +359,9 @@ def test_fuzzy_pairs_of_frequent_words(spark, frequent):
     got = [tuple(r) for r in QUERIES["fuzzy_pairs"](spark, frequent).select("i", "j", "inter", "n_i", "n_j").collect()]
     want = {(i, j, 5, 5, 5) for j in range(230) for i in range(j)} | {(i, j, 6, 6, 6) for j in range(230, 450) for i in range(230, j) if (i - j) % 2 == 0}
     assert set(got) == want and len(got) == len(want)
+
+
+def test_fuzzy_dedup_of_frequent_words(spark, frequent):
+    from sifterra.plans import QUERIES
+
+    assert {tuple(r) for r in QUERIES["fuzzy_dedup"](spark, frequent).select("doc_id", "group_size").collect()} == {(0, 230), (230, 110), (231, 110)}
