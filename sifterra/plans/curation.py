@@ -76,7 +76,7 @@ def _sweep_sql(thresholds: list[float]) -> str:
 @query(_sweep_sql(SWEEP))
 def threshold_sweep(t: Tables):
     """CMP4: rows kept at each threshold, all in one component search."""
-    return dd.threshold_sweep(_pairs(t), t.documents.count(), SWEEP)
+    return dd.threshold_sweep(_pairs(t, stop_df=None, links=True), t.documents.count(), SWEEP)
 
 
 @query(_sweep_sql(FULL_SWEEP))

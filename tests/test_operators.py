@@ -365,3 +365,10 @@ def test_fuzzy_dedup_of_frequent_words(spark, frequent):
     from sifterra.plans import QUERIES
 
     assert {tuple(r) for r in QUERIES["fuzzy_dedup"](spark, frequent).select("doc_id", "group_size").collect()} == {(0, 230), (230, 110), (231, 110)}
+
+
+def test_threshold_sweep_of_frequent_words(spark, frequent):
+    from sifterra.plans import QUERIES
+
+    got = {tuple(r) for r in QUERIES["threshold_sweep"](spark, frequent).select("threshold", "kept", "removed").collect()}
+    assert got == {(t, 3, 447) for t in (0.85, 0.9, 0.95, 1.0)}
