@@ -54,14 +54,14 @@ _PAIRS = (
 )
 
 
-def _pairs(t: Tables, threshold: float = 0.85, stop_df: int | None = 200, links: bool = False):
+def _pairs(t: Tables, threshold: float = 0.85, stop_df: int | None = None, links: bool = False):
     return dd.jaccard_pairs(t.documents, "doc_id", tx.tokens(F.col("text")), threshold, stop_df, links=links)
 
 
 @query(_PAIRS + "select i, j, inter::int as inter, n_i::int as n_i, n_j::int as n_j from pairs")
 def fuzzy_pairs(t: Tables):
     """JN7, AGG18 and TXT12: pairs of token Jaccard 0.85 and more."""
-    return _pairs(t, stop_df=None)
+    return _pairs(t)
 
 
 def _sweep_sql(thresholds: list[float]) -> str:
@@ -76,19 +76,19 @@ def _sweep_sql(thresholds: list[float]) -> str:
 @query(_sweep_sql(SWEEP))
 def threshold_sweep(t: Tables):
     """CMP4: rows kept at each threshold, all in one component search."""
-    return dd.threshold_sweep(_pairs(t, stop_df=None, links=True), t.documents.count(), SWEEP)
+    return dd.threshold_sweep(_pairs(t, links=True), t.documents.count(), SWEEP)
 
 
 @query(_sweep_sql(FULL_SWEEP))
 def threshold_sweep_full(t: Tables):
     """CMP4 at all nine thresholds, over pairs from the lowest of them up."""
-    return dd.threshold_sweep(_pairs(t, min(FULL_SWEEP)), t.documents.count(), FULL_SWEEP)
+    return dd.threshold_sweep(_pairs(t, min(FULL_SWEEP), links=True), t.documents.count(), FULL_SWEEP)
 
 
 @query(_PAIRS + ", both_ as (select i as u, j as v from pairs union select j, i from pairs), reach as (select u as node, u as r from both_ union select node, v from reach join both_ on both_.u = reach.r), comp as (select node, min(r) as c from reach group by 1), g as (select coalesce(c, d.doc_id) as c, coalesce(quality::varchar, '∅') as a from documents d left join labels using (doc_id) left join comp on node = d.doc_id) select c as doc_id, count(*) as group_size from g group by c having count(distinct a) = 1")
 def fuzzy_dedup(t: Tables):
     """CMP5 and CMP6: components at 0.85; those whose labels differ go."""
-    return dd.fuzzy_dedup(_labelled(t), "doc_id", "quality", _pairs(t, stop_df=None, links=True).select("i", "j"))
+    return dd.fuzzy_dedup(_labelled(t), "doc_id", "quality", _pairs(t, links=True).select("i", "j"))
 
 
 @query("select doc_id, lang, source from documents d where doc_id = (select min(doc_id) from documents e where trim(e.text) = trim(d.text))")

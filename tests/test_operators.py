@@ -372,3 +372,10 @@ def test_threshold_sweep_of_frequent_words(spark, frequent):
 
     got = {tuple(r) for r in QUERIES["threshold_sweep"](spark, frequent).select("threshold", "kept", "removed").collect()}
     assert got == {(t, 3, 447) for t in (0.85, 0.9, 0.95, 1.0)}
+
+
+def test_threshold_sweep_full_of_frequent_words(spark, frequent):
+    from sifterra.plans import QUERIES
+
+    got = {tuple(r) for r in QUERIES["threshold_sweep_full"](spark, frequent).select("threshold", "kept", "removed").collect()}
+    assert got == {(t, 2 if t <= 0.7 else 3, 448 if t <= 0.7 else 447) for t in (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)}
