@@ -13,6 +13,7 @@ from sifterra.operators.agreement import last_wins, majority, merge_edits, verdi
 from sifterra.operators.components import connected_components
 from sifterra.operators.dedup import jaccard_pairs
 from sifterra.operators.restructure import contiguous_ids
+from sifterra.storage import materialize
 
 
 def arranged(rows: DataFrame, columns: Mapping[str, str]) -> DataFrame:
@@ -120,21 +121,31 @@ def union_of_new(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.join(seen, same, "left_anti"))
 
 
-def correlated_dedup(rows: DataFrame, node: str, question: Column, options: Column, answer: str, threshold: float = 0.9, option_threshold: float = 0.5, check_answer: bool = True, names: str | None = None, urls: str | None = None, stop_df: int = 200) -> DataFrame:
+def correlated_dedup(rows: DataFrame, node: str, question: Column, options: Column, answer: str, threshold: float = 0.9, option_threshold: float = 0.5, check_answer: bool = True, names: str | None = None, urls: str | None = None, stop_df: int | None = None) -> DataFrame:
     """The first row of each group of near-duplicate questions with near-duplicate options,
     plus ``group_size``.
 
     Rows link at a question-token Jaccard of ``threshold`` and an option-signature Jaccard
-    of ``option_threshold``; token frequencies are those of all rows, however short.  With
+    of ``option_threshold``; token frequencies are those of all rows, however short, and with
+    ``stop_df`` only rows that share a token of frequency up to it link.  With
     ``check_answer`` a group whose answers differ (empty ones are ignored) goes as a whole.
     ``names`` and ``urls`` (parallel arrays) of a group of several rows become its distinct
     names in order of first sight with their URLs ('' where one is missing).  ``node`` is
     unique and not null.
     """
-    pairs = jaccard_pairs(rows, node, question, threshold, stop_df, df_of_long_rows_only=False).select("i", "j")
-    each = rows.select(F.col(node).cast("long").alias("n"), tx.option_signatures(options).alias("s"))
-    both = pairs.join(each.select(F.col("n").alias("i"), F.col("s").alias("si")), "i").join(each.select(F.col("n").alias("j"), F.col("s").alias("sj")), "j")
-    comp = connected_components(both.where(tx.jaccard(F.col("si"), F.col("sj")) >= option_threshold - 1e-12), "i", "j")
+    each = rows.select(F.col(node).cast("long").alias("n"), F.transform(question, lambda t: F.xxhash64(t)).alias("q"), tx.option_signatures(options).alias("s"))
+    first, copies = each, None
+    if stop_df is None:  # of rows with the same tokens and options one meets the others
+        ordered = F.array_sort("q")
+        each = materialize(each.withColumns({"k": F.xxhash64(F.size("q"), ordered), "l": F.xxhash64(F.lit(7), ordered), "o": F.array_sort("s")}), "questions")
+        group = materialize(each.groupBy("k", "l", "o").agg(F.min("n").alias("r")), "copies")
+        first = each.join(group.select(F.col("r").alias("n")), "n", "left_semi")
+        copies = each.where((F.size("q") >= 4) & (tx.jaccard(F.col("s"), F.col("s")) >= option_threshold - 1e-12)).select("k", "l", "o", "n").join(group, ["k", "l", "o"])
+        copies = copies.where("r <> n").select(F.col("r").alias("i"), F.col("n").alias("j"))
+    pairs = jaccard_pairs(first, "n", F.col("q"), threshold, stop_df, df_of_long_rows_only=False).select("i", "j")
+    both = pairs.join(first.select(F.col("n").alias("i"), F.col("s").alias("si")), "i").join(first.select(F.col("n").alias("j"), F.col("s").alias("sj")), "j")
+    both = both.where(tx.jaccard(F.col("si"), F.col("sj")) >= option_threshold - 1e-12).select("i", "j")
+    comp = connected_components(both if copies is None else both.unionByName(copies), "i", "j")
     # only rows of groups travel; the others stand for themselves
     member = rows.join(comp.select(F.col("node").alias("__n"), F.col("component").alias("__c")), F.col(node).cast("long") == F.col("__n"), "left").drop("__n")
     single = member.where("__c is null").withColumn("group_size", F.lit(1).cast("long"))

@@ -379,3 +379,10 @@ def test_threshold_sweep_full_of_frequent_words(spark, frequent):
 
     got = {tuple(r) for r in QUERIES["threshold_sweep_full"](spark, frequent).select("threshold", "kept", "removed").collect()}
     assert got == {(t, 2 if t <= 0.7 else 3, 448 if t <= 0.7 else 447) for t in (0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1.0)}
+
+
+def test_correlated_dedup_of_frequent_words(spark, frequent):
+    from sifterra.plans import QUERIES
+
+    got = {(r["doc_id"], r["group_size"], r["sources"]) for r in QUERIES["correlated_dedup"](spark, frequent).collect()}
+    assert got == {(0, 230, "s0,s1,s2"), (230, 110, "s2,s1,s0"), (231, 110, "s0,s2,s1")}
