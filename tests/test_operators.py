@@ -386,3 +386,13 @@ def test_correlated_dedup_of_frequent_words(spark, frequent):
 
     got = {(r["doc_id"], r["group_size"], r["sources"]) for r in QUERIES["correlated_dedup"](spark, frequent).collect()}
     assert got == {(0, 230, "s0,s1,s2"), (230, 110, "s2,s1,s0"), (231, 110, "s0,s2,s1")}
+
+
+def test_rows_go_packed_to_the_blocks_of_annotators(spark):
+    from sifterra.operators import agreement as ag
+
+    rows = spark.range(60_000).selectExpr("id * 31 % 997 as item", "id div 60 as who", "elt(cast(id * 7 % 5 as int) + 1, 'click', 'view', 'error', 'signup', 'purchase') as pick")
+    plan = ag._pairs_by_blocks(rows, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" in plan and "pick" not in plan.split("Generate explode")[0]  # what is repeated has no plain rows
+    packed = ag._packed(rows, 3).selectExpr("count(distinct g)", "sum(length(data))").first()
+    assert packed[0] == 3 and packed[1] < 6 * 60_000
